@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from mediaqc.llm import exact_dedup
+from mediaqc.llm import exact_dedup, mixing, sharding
 
 
 def queries() -> dict:
-    return {"op8_exact_dedup": exact_dedup.query}
+    return {
+        "op6_mix_sources": mixing.query,
+        "op8_exact_dedup": exact_dedup.query,
+        "op9_shard_documents": sharding.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
