@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from mediaqc.llm import exact_dedup, mixing, sharding
+from mediaqc.llm import bpe, exact_dedup, mixing, sharding
 
 
 def queries() -> dict:
     return {
+        "op2_byte_bpe": bpe.query,
         "op6_mix_sources": mixing.query,
         "op8_exact_dedup": exact_dedup.query,
         "op9_shard_documents": sharding.query,
