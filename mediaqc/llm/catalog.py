@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from mediaqc.llm import bpe, exact_dedup, mixing, sharding
+from mediaqc.llm import bpe, exact_dedup, mixing, pii, sharding
 
 
 def queries() -> dict:
     return {
+        "op1_pii": pii.query,
         "op2_byte_bpe": bpe.query,
         "op6_mix_sources": mixing.query,
         "op8_exact_dedup": exact_dedup.query,
