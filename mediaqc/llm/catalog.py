@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mediaqc.llm import bpe, exact_dedup, mixing, pii, sharding
+from mediaqc.llm import bpe, exact_dedup, mixing, pii, quality, sharding
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op6_mix_sources": mixing.query,
         "op8_exact_dedup": exact_dedup.query,
         "op9_shard_documents": sharding.query,
+        "op10_quality_classifier": quality.query,
     }
 
 
