@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from mediaqc.llm import bpe, exact_dedup, mixing, pii, quality, sharding
+from mediaqc.llm import bpe, exact_dedup, mixing, near_dedup, pii, quality, sharding
 
 
 def queries() -> dict:
     return {
         "op1_pii": pii.query,
         "op2_byte_bpe": bpe.query,
+        "op3_minhash_near_dedup": near_dedup.query,
         "op6_mix_sources": mixing.query,
         "op8_exact_dedup": exact_dedup.query,
         "op9_shard_documents": sharding.query,

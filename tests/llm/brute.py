@@ -32,3 +32,39 @@ def base_spans(text: str | None) -> str:
 
 def sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def shingle_set(text: str | None, width: int = 5) -> frozenset:
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return frozenset()
+    width = min(width, len(words))
+    return frozenset(tuple(words[i : i + width]) for i in range(len(words) - width + 1))
+
+
+def near_components(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
+    """doc_id -> (n_shingles, component_id), all pairs that share a shingle compared."""
+    sets = {i: shingle_set(t) for i, t in rows}
+    by_shingle: dict = {}
+    for i, s in sets.items():
+        for x in s:
+            by_shingle.setdefault(x, []).append(i)
+    parent = {i: i for i in sets}
+
+    def top(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, s in sets.items():
+        common: dict = {}
+        for x in s:
+            for j in by_shingle[x]:
+                if j < i:
+                    common[j] = common.get(j, 0) + 1
+        for j, c in common.items():
+            if 100 * c >= 75 * (len(s) + len(sets[j]) - c):
+                a, b = sorted((top(i), top(j)))
+                parent[b] = a
+    return {i: (len(sets[i]), top(i)) for i in sets}
