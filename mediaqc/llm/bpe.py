@@ -168,14 +168,14 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return _map(docs, path, pattern, id_col, text_col, "ids array<int>", lambda codec, text: (codec.encode(text),))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of each text: encoded, then decoded from the ids."""
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of each text, and its ids if asked: encoded, then decoded from the ids."""
 
     def figures(codec: Codec, text: str):
         ids = codec.encode(text)
-        return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
+        return *((ids,) if with_ids else ()), len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
 
-    return _map(docs, path, pattern, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", figures)
+    return _map(docs, path, pattern, id_col, text_col, "ids array<int>, " * with_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string", figures)
 
 
 def _map(docs, path, pattern, id_col, text_col, columns, figures) -> DataFrame:

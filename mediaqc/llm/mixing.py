@@ -4,7 +4,7 @@ Each source is a shuffled stream of its documents, passed over up to ``MAX_EPOCH
 virtual finish time (words of its source up to and with it) / (the source's target); the mix is the head of all copies
 in order of finish time, as long as the total budget (all words) holds it.
 
-The stream of a source is ordered by a hash of the id in buckets of hash ranges, whose number follows the source's rows;
+The stream of a source is ordered by a hash of the id in buckets of hash ranges, as many as the root of the source's rows;
 cumulative words are prefix sums over buckets plus a window inside each, so that no source meets in one task. The global
 order is cut the same way: ranges of finish time are summed, and only the range in which the budget ends is looked at
 closer.
@@ -76,7 +76,8 @@ def queued(slim: DataFrame, by_source: DataFrame) -> DataFrame:
         .withColumn("earlier", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)))
         .drop("bucket_size")
     )
-    inside = Window.partitionBy(*key).orderBy("lot", "tie", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    # rows that are equal in all four stay or go together
+    inside = Window.partitionBy(*key).orderBy("lot", "tie", "id", "size").rangeBetween(Window.unboundedPreceding, 0)
     return (
         rows.withColumn("inside", F.sum("size").over(inside))
         .join(offsets, key)
@@ -140,7 +141,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     else:
         end = F.struct(F.lit(float(last[0])).alias("finish"), F.lit(int(last[1])).alias("source_rank"), F.lit(int(last[2])).cast("long").alias("words"))
         copies = sum((F.when((F.col("size") > 0) & (F.col("target") > 0) & (place(F.lit(e)) <= end), 1).otherwise(0) for e in range(max_epochs)), F.lit(0))
-    return rows.select("id", "source", "size", "source_size", "target", copies.alias("copies"), "tie")
+    return rows.select("id", "source", "size", "source_size", "target", copies.alias("copies"), "lot", "tie")
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of the mix, all columns as they came, each as often as the mix takes it.
+
+    What a source gives is some whole passes over its stream and the head of one more, so a row a source tells each row
+    of ``docs`` how often it is taken; no text is moved.
+    """
+    taken = mix(docs, weights, max_epochs, seed, id_col, text_col, source_col).where("size > 0")
+    place_in = F.struct("lot", "tie", "id", "size")
+    passes = taken.groupBy("source").agg(F.min("copies").alias("_passes"))
+    heads = taken.join(passes.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).where("copies > _passes")
+    heads = heads.groupBy("source").agg(F.max(place_in).alias("_head"))
+    ends = cut(passes.join(heads.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").select(F.col("source").alias("_source"), "_passes", "_head"), "ends")
+    order = F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col))
+    here = F.struct(F.shiftrightunsigned(order, 33).alias("lot"), order.alias("tie"), F.col(id_col).alias("id"), F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"))
+    times = F.col("_passes") + F.when(F.col("_head").isNotNull() & (F.col("_here") <= F.col("_head")), 1).otherwise(0)
+    counted = docs.withColumn("_here", here).where(F.col("_here.size") > 0).join(ends, F.col(source_col).eqNullSafe(F.col("_source"))).withColumn("_times", times)
+    return counted.where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -230,10 +230,14 @@ def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def keep_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one document a component, as they came."""
+    """The rows of ``docs`` that stay, one row a component, as they came."""
     found = near_duplicates(docs, id_col, text_col)
     lost = cut(found.where("component IS NOT NULL AND id <> component").select(F.col("id").alias("_lost_id")).distinct(), "dropped")
-    return docs.join(lost, F.col(id_col).cast("long") == F.col("_lost_id"), "left_anti").select(*docs.columns)
+    again = cut(found.where("id = component").groupBy(F.col("id").alias("_lost_id")).count().where("count > 1").select("_lost_id"), "repeated")
+    match = F.col(id_col).cast("long") == F.col("_lost_id")
+    stay = docs.join(lost, match, "left_anti").join(again, match, "left_anti")
+    once = docs.join(lost, match, "left_anti").join(again, match, "left_semi").dropDuplicates([id_col])
+    return stay.unionByName(once).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
