@@ -4,19 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mediaqc.llm import bpe, exact_dedup, mixing, near_dedup, quality
 from mediaqc.llm.common import cut, documents
-from mediaqc.llm.exact_dedup import keep_exact
 
-#: No SQL can express the classifier, the near-duplicate verification and the encoding.
+#: No SQL can express the classifier, the shuffled mix and the encoding.
 ORACLE_SQL = None
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality.score(docs, quality.production(spark, docs, sf_dir), carry=True)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
-    return keep_exact(docs)
+    return exact_dedup.keep_exact(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return near_dedup.keep_near(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it: not at all, once or repeated."""
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each row, with digests of the ids and of the bytes decoded from them."""
+    return bpe.round_trip(docs, *bpe.vocabulary(), with_ids=True).withColumnRenamed("id", "doc_id")
 
 
-STAGES = [("exact_dedup", exact)]
+STAGES = [
+    ("quality_classifier", classify),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("mix_sources", mix),
+    ("byte_bpe", encode),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
