@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mediaqc.llm import bpe, exact_dedup, mixing, near_dedup, pii, quality, sharding
+from mediaqc.llm import bpe, exact_dedup, mixing, near_dedup, pii, quality, sharding, substring_dedup
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_byte_bpe": bpe.query,
         "op3_minhash_near_dedup": near_dedup.query,
         "op6_mix_sources": mixing.query,
+        "op7_substring_dedup": substring_dedup.query,
         "op8_exact_dedup": exact_dedup.query,
         "op9_shard_documents": sharding.query,
         "op10_quality_classifier": quality.query,

@@ -68,3 +68,21 @@ def near_components(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int,
                 a, b = sorted((top(i), top(j)))
                 parent[b] = a
     return {i: (len(sets[i]), top(i)) for i in sets}
+
+
+def without_repeats(rows: list[tuple[int, str | None]], width: int = 35) -> list[tuple]:
+    """(doc_id, n_words, n_removed, sha of the kept words), row by row."""
+    words = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
+    seen: dict = {}
+    for _, w in words:
+        for k in range(len(w) - width + 1):
+            x = tuple(w[k : k + width])
+            seen[x] = seen.get(x, 0) + 1
+    out = []
+    for i, w in words:
+        gone = [False] * len(w)
+        for k in range(len(w) - width + 1):
+            if seen[tuple(w[k : k + width])] > 1:
+                gone[k : k + width] = [True] * width
+        out.append((i, len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone, strict=True) if not g))))
+    return out
