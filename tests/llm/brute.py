@@ -86,3 +86,23 @@ def without_repeats(rows: list[tuple[int, str | None]], width: int = 35) -> list
                 gone[k : k + width] = [True] * width
         out.append((i, len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone, strict=True) if not g))))
     return out
+
+
+def base_scores(rows: list[tuple[int, str | None]]) -> dict[int, tuple]:
+    """doc_id -> (held_out, n_tokens, n_known, train_tokens, base_score)."""
+    import math
+    import zlib
+    from collections import Counter
+
+    counts: Counter = Counter()
+    split = {}
+    for i, t in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) + [None]
+        split[i] = (zlib.crc32(str(i).encode()) % 5 == 1, words)
+        if not split[i][0]:
+            counts.update(words)
+    n, v = sum(counts.values()), len(counts)
+    return {
+        i: (held, len(words), sum(counts[w] > 0 for w in words), n, sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words))
+        for i, (held, words) in split.items()
+    }
