@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mediaqc.llm import bpe, exact_dedup, lm_score, mixing, near_dedup, pii, quality, sharding, substring_dedup
+from mediaqc.llm import ann, bpe, exact_dedup, lm_score, mixing, near_dedup, pii, quality, sharding, substring_dedup
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_pii": pii.query,
         "op2_byte_bpe": bpe.query,
         "op3_minhash_near_dedup": near_dedup.query,
+        "op4_nearest_neighbours": ann.query,
         "op5_lm_score": lm_score.query,
         "op6_mix_sources": mixing.query,
         "op7_substring_dedup": substring_dedup.query,
