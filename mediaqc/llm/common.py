@@ -46,5 +46,24 @@ def forget(df: DataFrame) -> None:
         where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Words of 64 bits of a sieve: 16 million bits, at most about 10 MB to broadcast whatever it is made from.
+SIEVE_WORDS = 1 << 18
+
+
+def sieve(keys: DataFrame, *columns: str) -> DataFrame:
+    """(_word, _bits): a bit for the hash of each key, at most SIEVE_WORDS rows. A key whose bit is unset is not in it."""
+    h = F.xxhash64(*columns)
+    words = keys.select(F.pmod(h, F.lit(SIEVE_WORDS)).alias("_word"), F.shiftrightunsigned(h, 58).cast("int").alias("_bit"))
+    return cut(words.groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits")), "sieve")
+
+
+def sifted(rows: DataFrame, made: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with ``_maybe``, false where the key is surely not in the sieve: those rows need no join, so no shuffle."""
+    h = F.xxhash64(*columns)
+    marked = rows.withColumn("_word", F.pmod(h, F.lit(SIEVE_WORDS))).join(F.broadcast(made), "_word", "left")
+    hit = F.call_function("getbit", F.col("_bits"), F.shiftrightunsigned(F.xxhash64(*columns), 58).cast("int"))
+    return marked.withColumn("_maybe", F.coalesce(hit == 1, F.lit(False))).drop("_word", "_bits")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaqc.llm.common import cut, documents, forget, text_of
+from mediaqc.llm.common import cut, documents, forget, sieve, sifted, text_of
 
 WINDOW = 35
 #: Words of an anchor. A window holds K of them, so that neighbouring anchors are at most K words apart.
@@ -166,7 +166,7 @@ def repeated_windows(rows: DataFrame, marks: DataFrame) -> DataFrame:
                     hashes.append(kmers(words, WINDOW)[at].view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(starts, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], names=["did", "th", "starts", "hs"])
 
-    lists = cut(rows.select("did", "th", "text").join(marks, ["did", "th"]).mapInArrow(run, "did string, th int, starts array<int>, hs array<long>"), "windows")
+    lists = cut(rows.where("_maybe").select("did", "th", "text").join(marks, ["did", "th"]).mapInArrow(run, "did string, th int, starts array<int>, hs array<long>"), "windows")
     places = lists.select("did", "th", F.explode(F.arrays_zip(F.col("starts").alias("start"), F.col("hs").alias("h"))).alias("x")).select("did", "th", "x.start", "x.h")
     several = places.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
     found = places.join(several, "h").groupBy("did", "th").agg(F.collect_set("start").alias("starts"))
@@ -192,9 +192,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, n_words, n_removed, kept_sha256) of each row, and the kept text if asked."""
     rows = keyed(docs, id_col, text_col)
     marks = repeated_anchors(rows)
+    rows = sifted(rows, sieve(marks, "did", "th"), "did", "th")
     found = repeated_windows(rows, marks)
     per_doc = marks.join(found, ["did", "th"], "left").select("did", "th", "marks", "starts")
-    joined = rows.join(per_doc, ["did", "th"], "left").select("id", "text", "marks", "starts")
+    out = ["id", "text", "marks", "starts"]
+    joined = rows.where("_maybe").join(per_doc, ["did", "th"], "left").select(out)
+    alone = rows.where("NOT _maybe").select("id", "text", *[F.lit(None).cast(joined.schema[c].dataType).alias(c) for c in out[2:]])
+    joined = joined.unionByName(alone)  # most documents repeat nothing: their texts are not moved
     id_type = joined.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
