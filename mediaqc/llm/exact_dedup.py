@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediaqc.llm.common import SPACE, cut, documents, text_of
+from mediaqc.llm.common import SPACE, cut, documents, sieve, sifted, text_of
 
 #: Counters of the Misra-Gries summary: each digest with more than 1/COUNTERS of all rows is found.
 COUNTERS = 2000
@@ -75,16 +75,17 @@ def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lost = found.groupBy("id", "digest").agg(
         F.count_if("kept").alias("n_kept"), F.count(F.lit(1)).alias("n_rows")
     )
-    lost = cut(lost.where("n_kept < n_rows").select(F.col("id").alias("_lost_id"), F.col("digest").alias("_lost_digest"), "n_kept"), "dropped")
-    text = text_of(text_col)
-    keyed = docs.withColumn("_digest", F.unhex(F.sha2(F.regexp_replace(text, SPACE + "+", ""), 256)))
-    match = F.col(id_col).eqNullSafe(F.col("_lost_id")) & (F.col("_digest") == F.col("_lost_digest"))
-    stay = keyed.join(lost, match, "left_anti")
-    again = lost.where("n_kept > 0")  # ids whose row is repeated and stays once
-    once = keyed.join(again, match, "left_semi")
-    ordered = Window.partitionBy(id_col, "_digest").orderBy(F.length(text).desc())
-    once = once.withColumn("_rn", F.row_number().over(ordered)).where("_rn = 1").drop("_rn")
-    return stay.unionByName(once).select(*docs.columns)
+    lost = cut(lost.where("n_kept < n_rows").select(F.col("id").alias("_lost_id"), F.col("digest").alias("_digest"), "n_kept"), "dropped")
+    text, out = text_of(text_col), docs.columns
+    keyed = docs.withColumn("_lost_id", F.col(id_col)).withColumn("_digest", F.unhex(F.sha2(F.regexp_replace(text, SPACE + "+", ""), 256)))
+    rows = sifted(keyed, sieve(lost, "_digest", "_lost_id"), "_digest", "_lost_id")
+    lost = lost.select(F.col("_lost_id").alias("_id"), F.col("_digest").alias("_key"), "n_kept")
+    match = F.col("_lost_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_key"))
+    stay = rows.where("_maybe").join(lost, match, "left_anti")
+    # ids whose row is repeated and stays once
+    ordered = Window.partitionBy("_lost_id", "_digest").orderBy(F.length(text).desc())
+    once = rows.where("_maybe").join(lost.where("n_kept > 0"), match, "left_semi").withColumn("_rn", F.row_number().over(ordered)).where("_rn = 1")
+    return rows.where("NOT _maybe").select(out).unionByName(stay.select(out)).unionByName(once.select(out))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
