@@ -28,13 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaqc.llm.common import cut, documents, forget, text_of
+from mediaqc.llm.common import cut, documents, forget, sieve, sifted, text_of
 from mediaqc.llm.components import components
 
 WORDS = 5
 PERCENT = 75
 PARTS, ROWS = 18, 3
-CENTRES = 3
+CENTRES = 2
 REMEMBERED = 300_000
 
 _N = 2 * PARTS * ROWS
@@ -118,7 +118,8 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(node, set) of the documents in ``ids`` (node)."""
-    slim = docs.select(F.col(id_col).cast("long").alias("node"), text_of(text_col).alias("text")).join(ids, "node", "left_semi")
+    slim = docs.select(F.col(id_col).cast("long").alias("node"), text_of(text_col).alias("text"))
+    slim = sifted(slim, sieve(ids, "node"), "node").where("_maybe").drop("_maybe").join(ids, "node", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,10 +235,12 @@ def keep_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     found = near_duplicates(docs, id_col, text_col)
     lost = cut(found.where("component IS NOT NULL AND id <> component").select(F.col("id").alias("_lost_id")).distinct(), "dropped")
     again = cut(found.where("id = component").groupBy(F.col("id").alias("_lost_id")).count().where("count > 1").select("_lost_id"), "repeated")
-    match = F.col(id_col).cast("long") == F.col("_lost_id")
-    stay = docs.join(lost, match, "left_anti").join(again, match, "left_anti")
-    once = docs.join(lost, match, "left_anti").join(again, match, "left_semi").dropDuplicates([id_col])
-    return stay.unionByName(once).select(*docs.columns)
+    touched = sieve(lost.unionByName(again), "_lost_id")
+    rows = sifted(docs.withColumn("_lost_id", F.col(id_col).cast("long")), touched, "_lost_id")
+    maybe = rows.where("_maybe").join(lost, "_lost_id", "left_anti")
+    once = maybe.join(again, "_lost_id", "left_semi").dropDuplicates(["_lost_id"])
+    out = docs.columns
+    return rows.where("NOT _maybe").select(out).unionByName(maybe.join(again, "_lost_id", "left_anti").select(out)).unionByName(once.select(out))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
