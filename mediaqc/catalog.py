@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from mediaqc.plans import rule_queries
+
+_MODULES = [rule_queries]
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q for m in _MODULES for name, q in m.ORACLE.items()}
