@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from mediaqc.llm.common import WORD, cut, documents, text_of
 
 MAX_EPOCHS = 3
-ROWS_PER_BUCKET = 20_000
 #: Ranges of finish time that are summed at once, and how often the range that holds the end is cut again.
 RANGES, CUTS = 4096, 3
 
@@ -67,7 +66,7 @@ def targets(slim: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: i
 def queued(slim: DataFrame, by_source: DataFrame) -> DataFrame:
     """Each row with its source's figures and ``upto``, the words of its source's stream up to and with it."""
     joined = slim.join(by_source, slim["source"].eqNullSafe(by_source["source"])).drop(by_source["source"])
-    n_buckets = F.ceil(F.col("n_rows") / ROWS_PER_BUCKET)
+    n_buckets = F.ceil(F.sqrt("n_rows"))  # as many buckets as rows in a bucket
     rows = joined.withColumn("bucket", F.shiftright(F.col("lot") * n_buckets, 31).cast("int"))
     key = ["source_rank", "bucket"]
     earlier = Window.partitionBy("source_rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

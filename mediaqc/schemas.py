@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_KINDS = {"s": T.StringType(), "i": T.IntegerType(), "d": T.DoubleType(), "b": T.BooleanType()}
+_KINDS = {
+    "s": T.StringType(), "i": T.IntegerType(), "l": T.LongType(), "d": T.DoubleType(), "b": T.BooleanType(), "t": T.TimestampType(),
+    "as": T.ArrayType(T.StringType()), "af": T.ArrayType(T.FloatType()),
+}
 _DEFAULTS = {"s": "", "i": 0, "d": 0.0, "b": False}
 
 # fixed values: names, kinds and defaults other than empty, 0 or false
@@ -34,14 +37,19 @@ VERDICT_FIELDS = [tuple(x.split(":")) for x in _VERDICT.split()]
 VERDICT = T.StructType([T.StructField(n, _KINDS[k]) for n, k in VERDICT_FIELDS])
 VERDICT_DEFAULTS = {n: _OTHER_DEFAULTS.get(n, _DEFAULTS[k]) for n, k in VERDICT_FIELDS}
 EXPORT = [tuple(x.rsplit(":", 1)) for x in _EXPORT.split()]
-FORENSICS = T.StructType.fromDDL(
-    "has_moire boolean, moire_score double, has_bezel boolean, bezel_score double, ela_score double, is_blurry boolean, blur_score double, "
-    "face_count int, has_gps boolean, gps_lat double, gps_lon double, ss_software boolean, flags array<string>, score double, "
-    "is_borderline_moire boolean, is_photo_of_photo boolean, ioi_score double, ioi_signals array<string>"
+
+
+def _struct(fields: str) -> T.StructType:
+    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (x.split(":") for x in fields.split())])
+
+
+FORENSICS = _struct(
+    "has_moire:b moire_score:d has_bezel:b bezel_score:d ela_score:d is_blurry:b blur_score:d face_count:i has_gps:b gps_lat:d gps_lon:d "
+    "ss_software:b flags:as score:d is_borderline_moire:b is_photo_of_photo:b ioi_score:d ioi_signals:as"
 )
-REGISTRY = T.StructType.fromDDL("image_id string, md5 string, ph_hi long, ph_lo long, dh_hi long, dh_lo long, wh_hi long, wh_lo long, seq long, created_at timestamp")
-VECTORS = T.StructType.fromDDL("image_id string, emb array<float>, seq long")
-CLUSTERS = T.StructType.fromDDL("cluster_id string, image_id string, is_original int, created_at timestamp")
+REGISTRY = _struct("image_id:s md5:s ph_hi:l ph_lo:l dh_hi:l dh_lo:l wh_hi:l wh_lo:l seq:l created_at:t")
+VECTORS = _struct("image_id:s emb:af seq:l")
+CLUSTERS = _struct("cluster_id:s image_id:s is_original:i created_at:t")
 
 
 def completed(df: DataFrame, schema: T.StructType = VERDICT, defaults: dict | None = None) -> DataFrame:
