@@ -48,13 +48,13 @@ def insert_if_absent(old: DataFrame, new: DataFrame, key: str, *order: str) -> D
     return old.unionByName(first.join(old.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType, spare: str | None = None) -> DataFrame:
-    """A stored table, else its spare copy, else an empty one."""
+def read_table(spark: SparkSession, path: str, schema: T.StructType, spare: str | None = None, nested: bool = False) -> DataFrame:
+    """A stored table, else its spare copy, else an empty one; ``nested`` if it is a folder of tables."""
     fs = spark._jvm.org.apache.hadoop.fs
     for p in filter(None, (path, spare)):
         where = fs.Path(p)
         if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-            return spark.read.schema(schema).option("mergeSchema", True).parquet(p)
+            return spark.read.schema(schema).option("mergeSchema", True).option("recursiveFileLookup", nested).parquet(p)
     return spark.createDataFrame([], schema)
 
 
