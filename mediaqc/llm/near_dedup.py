@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for turn in range(CENTRES):
         if turn and open_buckets.isEmpty():
             break
-        labelled = open_buckets.withColumn("root", F.col("node")) if roots is None else with_roots(open_buckets, roots)
+        labelled = with_roots(open_buckets, roots)
         member = F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "root")
         centre = labelled.groupBy("key").agg(F.min(member).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "c")
         held = cut(labelled.join(centre, "key").where("node <> c.node").select("key", "node", "n", "root", F.col("c.node").alias("c"), F.col("c.n").alias("c_n"), F.col("c.root").alias("c_root")), "held")
@@ -220,13 +220,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = cut(with_roots(open_buckets.select("node").distinct(), roots).select("node", "root"), "rest")
     if not rest.isEmpty():
         found = verified(prefix_pairs(rest, docs, id_col, text_col), nodes, docs, id_col, text_col)
-        roots = components(links.unionByName(found))
-    of_class = classes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component"))
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
+    of_class = with_roots(classes, roots).select("digest", F.col("root").alias("component"))
     return rows.join(of_class, "digest", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
 
 
-def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+def with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     """Adds the root of ``node``; a node without links is its own."""
+    if roots is None:
+        return rows.withColumn("root", F.col("node"))
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
