@@ -7,8 +7,8 @@ words of the training documents; the arc of a whole word has its discounted shar
 recursion in log space sums over all segmentations. Begin and end of words follow from the pieces, so the weights are a
 distribution over token sequences: a text's probability is the product over its words and one end.
 
-Training words are counted in a table that grows with the corpus. The counts of the ``HEAD`` most frequent words are
-broadcast (a fixed bound); for all others (document, word) pairs are joined with the table. The base score is the
+Words are counted in a table that grows with the corpus, and each word's lattice is summed once, there. What the ``HEAD``
+most frequent words add is broadcast (a fixed bound); for all others (document, word) pairs are joined with the table. The base score is the
 additively smoothed word model of the contract, from the same counts.
 
 Defined results: a null or empty text has one token, the end; rows without an id are in training by the checksum of the
@@ -28,10 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaqc.llm.common import cut, documents, text_of
+from mediaqc.llm.common import cut, documents, forget, text_of
 
 HEAD = 200_000
-REMEMBERED = 300_000
 #: Taken from each count of a known word and given to the subword arcs.
 DISCOUNT = 0.5
 #: Weight of the vocabulary's own order against the counts, in tokens.
@@ -166,28 +165,42 @@ def slim_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def count_words(rows: DataFrame) -> DataFrame:
-    """(h, word, c) over the training documents."""
+    """(h, word, c) of each word of the corpus: its count in the training documents, 0 for words of others only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        others: set = set()
 
         def out():
-            words = list(counts)
-            return pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in words], pa.int64()), pa.array(words, pa.string()), pa.array(list(counts.values()), pa.int64())], names=["h", "word", "c"])
+            words = [*counts, *(others - counts.keys())]
+            return pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in words], pa.int64()), pa.array(words, pa.string()), pa.array([counts.get(w, 0) for w in words], pa.int64())], names=["h", "word", "c"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(tokens(text))
-                if len(counts) > 200_000:
+            for held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                (others if held else counts).update(tokens(text))
+                if len(counts) + len(others) > 200_000:
                     yield out()
                     counts.clear()
-        if counts:
+                    others.clear()
+        if counts or others:
             yield out()
 
-    seen = rows.where("NOT held_out").select("text").mapInArrow(run, "h long, word string, c long")
+    seen = rows.select("held_out", "text").mapInArrow(run, "h long, word string, c long")
     return seen.groupBy("h").agg(F.min("word").alias("word"), F.sum("c").alias("c"))
 
 
+def marginals(counted: DataFrame, pieces: Pieces) -> DataFrame:
+    """(h, word, c, x): log10 of each word's lattice, once a word."""
+    shared = counted.sparkSession.sparkContext.broadcast(pieces)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = shared.value.lattices(batch.column(1).to_pylist()) / _LN10
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(x)], names=["h", "word", "c", "x"])
+
+    return counted.select("h", "word", "c").mapInArrow(run, "h long, word string, c long, x double")
+
+
 def expected_pieces(counted: DataFrame, pieces: Pieces) -> np.ndarray:
     """Expected counts of the pieces over all training words: partial sums by task, one row a piece in the end."""
     shared = counted.sparkSession.sparkContext.broadcast(pieces)
@@ -208,37 +221,11 @@ def expected_pieces(counted: DataFrame, pieces: Pieces) -> np.ndarray:
     return out
 
 
-class _Scorer:
-    """What a task needs to score the words of the head; of others it gives hash and lattice."""
-
-    def __init__(self, pieces: Pieces, head: dict[str, int], n_train: int, share: float):
-        self.pieces, self.head, self.n_train, self.share = pieces, head, n_train, share
-
-    def start(self):
-        self.known: dict = {}
-        self.older: dict = {}
-        return self
-
-    def learn(self, words) -> None:
-        new = []
-        if len(self.known) > REMEMBERED // 2:
-            self.older, self.known = self.known, {}
-        for w in words:
-            if w not in self.known:
-                if w in self.older:
-                    self.known[w] = self.older[w]
-                else:
-                    new.append(w)
-        if new:
-            for w, x in zip(new, (self.pieces.lattices(new) / _LN10).tolist(), strict=True):
-                c = self.head.get(w)
-                self.known[w] = (None, word_hash(w), x) if c is None else (log10(c + 0.5), self.score(c, x), 0.0)
-
-    def score(self, c: int, lattice: float) -> float:
-        """log10 of the word's probability, of its count in training and its lattice."""
-        if c == 0 or self.n_train == 0:
-            return log10(self.share) + lattice
-        return log10((c - DISCOUNT) / self.n_train + self.share * 10.0 ** max(lattice, -300.0))
+def log10_chance(c: int, x: float, n_train: int, share: float) -> float:
+    """log10 of a token's probability, of its count in training and its lattice."""
+    if c == 0 or n_train == 0:
+        return log10(share) + x
+    return log10((c - DISCOUNT) / n_train + share * 10.0 ** max(x, -300.0))
 
 
 def score_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
@@ -247,58 +234,59 @@ def score_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     rows = slim_rows(docs, id_col, text_col)
     counted = cut(count_words(rows), "word-counts")
     n_docs = rows.where("NOT held_out").count()
-    n_words, n_types = counted.agg(F.sum("c"), F.count(F.lit(1))).first()
+    n_words, n_types = counted.where("c > 0").agg(F.sum("c"), F.count(F.lit(1))).first()
     n_train, types = (n_words or 0) + n_docs, n_types + (n_docs > 0)
     pieces = read_pieces(path)
     if n_docs:
-        expected = expected_pieces(counted, pieces)
+        expected = expected_pieces(counted.where("c > 0"), pieces)
         expected[-1] = n_docs
         pieces.reweighed(expected)
     share = DISCOUNT * types / n_train if n_train else 1.0
-    frequent = {r.word: r.c for r in counted.orderBy(F.desc("c"), "h").limit(head).select("word", "c").collect()}
-    shared = spark.sparkContext.broadcast(_Scorer(pieces, frequent, n_train, share))
+    known = cut(marginals(counted, pieces), "words")
+    forget(counted)
+    top = known.where("c > 0").orderBy(F.desc("c"), "h").limit(head).select("word", "c", "x").collect()
+    # what each token of the head adds to the base score and to the score
+    shared = spark.sparkContext.broadcast({r.word: (log10(r.c + 0.5), log10_chance(r.c, r.x, n_train, share)) for r in top})
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = shared.value.start()
+        of_head = shared.value.get
         for batch in batches:
-            for part in (batch.slice(at, 128) for at in range(0, batch.num_rows, 128)):
-                counts = [Counter(tokens(t)) for t in part.column(2).to_pylist()]
-                scorer.learn(dict.fromkeys(w for c in counts for w in c))
-                known = scorer.known
-                n, n_known, base, score, hs, xs, tfs = [], [], [], [], [], [], []
-                for c in counts:
-                    b = s = k = 0
-                    h, x, f = [], [], []
-                    for w, tf in c.items():
-                        of_word = known[w]
-                        if of_word[0] is None:
-                            h.append(of_word[1])
-                            x.append(of_word[2])
+            for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
+                n, n_known, base, score, hs, tfs = [], [], [], [], [], []
+                for text in part.column(2).to_pylist():
+                    words = tokens(text)
+                    b = s = 0.0
+                    k, h, f = 0, [], []
+                    for w, tf in Counter(words).items():
+                        found = of_head(w)
+                        if found is None:
+                            h.append(word_hash(w))
                             f.append(tf)
                         else:
-                            b += tf * of_word[0]
-                            s += tf * of_word[1]
+                            b += tf * found[0]
+                            s += tf * found[1]
                             k += tf
-                    for out, value in ((n, sum(c.values()) + 1), (n_known, k), (base, float(b)), (score, float(s)), (hs, h), (xs, x), (tfs, f)):
+                    for out, value in ((n, len(words) + 1), (n_known, k), (base, b), (score, s), (hs, h), (tfs, f)):
                         out.append(value)
-                columns = [pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(score), pa.array(hs, pa.list_(pa.int64())), pa.array(xs, pa.list_(pa.float64())), pa.array(tfs, pa.list_(pa.int32()))]
+                columns = [pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(score), pa.array(hs, pa.list_(pa.int64())), pa.array(tfs, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=names)
 
-    names = ["id", "held_out", "n_tokens", "known", "base", "part", "hs", "xs", "tfs"]
-    schema = f"id {id_type}, held_out boolean, n_tokens long, known long, base double, part double, hs array<long>, xs array<double>, tfs array<int>"
+    names = ["id", "held_out", "n_tokens", "known", "base", "part", "hs", "tfs"]
+    schema = f"id {id_type}, held_out boolean, n_tokens long, known long, base double, part double, hs array<long>, tfs array<int>"
     lists = cut(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rest = lists.select("row", F.explode(F.arrays_zip("hs", "xs", "tfs")).alias("t")).select("row", F.col("t.hs").alias("h"), F.col("t.xs").alias("x"), F.col("t.tfs").alias("tf"))
-    c = F.coalesce("c", F.lit(0))
+    rest = lists.select("row", F.explode(F.arrays_zip("hs", "tfs")).alias("t")).select("row", F.col("t.hs").alias("h"), F.col("t.tfs").alias("tf"))
+    c = F.col("c")
     of_known = F.log10((c - DISCOUNT) / F.lit(float(max(n_train, 1))) + F.lit(share) * F.pow(F.lit(10.0), F.greatest("x", F.lit(-300.0))))
     of_word = F.when(c == 0, F.lit(log10(share)) + F.col("x")).otherwise(of_known)
-    sums = rest.join(counted.select("h", "c"), "h", "left").groupBy("row").agg(
-        F.sum(F.col("tf") * F.log10(c + 0.5)).alias("base2"), F.sum(F.col("tf") * of_word).alias("part2"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("known2")
+    words = known.select("h", "c", F.log10(c + 0.5).alias("of_base"), of_word.alias("of_score"))
+    sums = rest.join(words, "h").groupBy("row").agg(
+        F.sum(F.col("tf") * F.col("of_base")).alias("base2"), F.sum(F.col("tf") * F.col("of_score")).alias("part2"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("known2")
     )
-    end = _Scorer(pieces, frequent, n_train, share).score(n_docs, pieces.log_end() / _LN10)
+    end = log10_chance(n_docs, pieces.log_end() / _LN10, n_train, share)
     base_end, norm = log10(n_docs + 0.5), log10(n_train + 0.5 * (types + 1))
     zero = lambda name: F.coalesce(F.col(name), F.lit(0))
-    return lists.drop("hs", "xs", "tfs").join(sums, "row", "left").select(
+    return lists.drop("hs", "tfs").join(sums, "row", "left").select(
         "id",
         "held_out",
         "n_tokens",
