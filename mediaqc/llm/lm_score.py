@@ -221,6 +221,18 @@ def expected_pieces(counted: DataFrame, pieces: Pieces) -> np.ndarray:
     return out
 
 
+def least_count(known: DataFrame, head: int) -> int:
+    """A count that at most ``head`` words reach, from the numbers of words by ranges of their count: a few hundred rows."""
+    ranges = known.where("c > 0").groupBy(F.floor(F.log2("c") * 16).alias("r")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c"), F.max("c").alias("most")).collect()
+    least, words = 1 + max((x.most for x in ranges), default=0), 0
+    for x in sorted(ranges, key=lambda x: -x.c):
+        words += x.n
+        if words > head:
+            break
+        least = x.c
+    return least
+
+
 def log10_chance(c: int, x: float, n_train: int, share: float) -> float:
     """log10 of a token's probability, of its count in training and its lattice."""
     if c == 0 or n_train == 0:
@@ -244,7 +256,7 @@ def score_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     share = DISCOUNT * types / n_train if n_train else 1.0
     known = cut(marginals(counted, pieces), "words")
     forget(counted)
-    top = known.where("c > 0").orderBy(F.desc("c"), "h").limit(head).select("word", "c", "x").collect()
+    top = known.where(F.col("c") >= least_count(known, head)).select("word", "c", "x").collect()
     # what each token of the head adds to the base score and to the score
     shared = spark.sparkContext.broadcast({r.word: (log10(r.c + 0.5), log10_chance(r.c, r.x, n_train, share)) for r in top})
     id_type = rows.schema["id"].dataType.simpleString()
