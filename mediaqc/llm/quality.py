@@ -1,9 +1,11 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
-A text is hashed to a sparse vector: its words, the shapes of its words (runs of capitals, small letters, digits and
-signs) and how much it repeats. All grades share the weights; ordered thresholds part them: P(grade >= k) is the logistic
-of score minus threshold k. The fit is made on the driver over at most ``MOST_RATED`` rated documents, those of the
-smallest hash of their id; their vectors are made on the executors. All documents are then scored where they lie.
+A text is hashed to a sparse vector: its words, the beginnings of its longer words, the shapes of its words (runs of
+capitals, small letters, digits and signs) and how much it repeats. All grades share the weights; ordered thresholds part
+them: P(grade >= k) is the logistic of score minus threshold k. The fit is made on the driver over the ``MOST_RATED``
+rated documents of the smallest hash of their id and, as the middle grades are rare, over those of each up to
+``MOST_MIDDLE``; the loss is weighted back to the shares of the grades among all ratings. Vectors are made on the
+executors. All documents are then scored where they lie.
 
 Defined results: null and empty texts are the same document without words and are scored by that; rows without a rating
 are scored like others; a document with several ratings counts with the lowest, null ratings don't count; without
@@ -27,9 +29,17 @@ from mediaqc.llm.common import documents, text_of
 
 DIMENSIONS = 1 << 18
 MOST_RATED = 8_000
+#: Documents of each middle grade (of three: good but toxic).
+MOST_MIDDLE = 4_000
+#: Words that differ in their endings alone share the weight of their first letters.
+BEGINNING = 5
 REMEMBERED = 400_000
 #: Documents of the sample that must have a feature for it to get a weight (fewer in samples of under 1000).
 MOST_NEEDED = 6
+#: The same for what only documents of one middle grade have.
+NEEDED_ALONE = 2
+ROUNDS = 150
+FIT_BLOCK = 1_000
 #: A document is kept if the tail probability of the selected grade is at least this.
 LEAST_TAIL = 0.4
 
@@ -42,13 +52,14 @@ def _at(token: str) -> int:
 
 
 class _Places(dict):
-    """word -> (place of the word, place of its shape), for at most REMEMBERED words."""
+    """word -> (place of the word, of its shape, of its beginning or -1 for a short word), for at most REMEMBERED words."""
 
-    def __missing__(self, word: str) -> tuple[int, int]:
+    def __missing__(self, word: str) -> tuple[int, int, int]:
         shape = word[:64].replace("a", "b")
         for pattern, sign in _RUNS:
             shape = pattern.sub(sign, shape)
-        found = _at("w:" + _EDGE.sub("", word.lower())), _at("s:" + shape[:12])
+        bare = _EDGE.sub("", word.lower())
+        found = _at("w:" + bare), _at("s:" + shape[:12]), _at("p:" + bare[:BEGINNING]) if len(bare) > BEGINNING else -1
         if len(self) >= REMEMBERED:
             self.clear()
         self[word] = found
@@ -60,7 +71,7 @@ _ADJACENT, _DISTINCT, _EMPTY = _at("r:adjacent"), _at("r:distinct"), _at("r:empt
 
 
 def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values of a text."""
+    """Places and values of a text; a place may come several times, its values add up. One insult counts the same in a long text."""
     words = text.split()
     n = len(words)
     if not n:
@@ -70,8 +81,9 @@ def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
     places = np.array([_places[w] for w in counts], np.int32)
     tf = np.fromiter(counts.values(), np.float32, k)
     same = sum(map(str.__eq__, words, words[1:])) / n
-    at = np.concatenate([places[:, 0], places[:, 1], np.array([_ADJACENT, _DISTINCT], np.int32)])
-    return at, np.concatenate([np.log1p(tf) / np.float32(k**0.25), tf * np.float32(4 / n), np.array([4 * same, 2 * k / n], np.float32)])
+    often, long = np.log1p(tf) / 2, places[:, 2] >= 0
+    at = np.concatenate([places[:, 0], places[long, 2], places[:, 1], np.array([_ADJACENT, _DISTINCT], np.int32)])
+    return at, np.concatenate([often, often[long], tf * np.float32(4 / n), np.array([4 * same, 2 * k / n], np.float32)])
 
 
 @dataclass
@@ -88,19 +100,52 @@ def _logistic(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(vectors: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, rounds: int = 150, rate: float = 0.2, decay: float = 2e-5) -> Model:
-    """Full-batch gradient steps with momentum scaled by root mean square (Adam), the same on each run."""
+def _merged(vector: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The vector with each place once."""
+    places, at = np.unique(vector[0], return_inverse=True)
+    return places.astype(np.int32), np.bincount(at, vector[1], len(places)).astype(np.float32)
+
+
+def _known(vectors: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int) -> np.ndarray:
+    """Places that get a weight: what few documents have is noise, but less so if all of them have the same middle grade."""
+    seen = np.zeros((n_grades, DIMENSIONS), np.int32)
+    for (places, _), grade in zip(vectors, grades, strict=True):
+        seen[grade, places] += 1
+    total = seen.sum(axis=0)
+    needed = min(MOST_NEEDED, 1 + len(vectors) // 200)
+    alone = (seen[1:-1] == total).any(axis=0)
+    return total >= np.where(alone, min(NEEDED_ALONE, needed), needed)
+
+
+def fit(
+    vectors: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int, rounds: int = ROUNDS, rate: float = 0.2, decay: float = 2e-5, shares: np.ndarray | None = None
+) -> Model:
+    """Full-batch gradient steps with momentum scaled by root mean square (Adam), the same on each run.
+
+    ``shares`` are those of the grades among all ratings; the loss is weighted to them.
+    """
     model = Model(thresholds=np.zeros(n_grades - 1))
     if not vectors:
         return model
-    at = np.concatenate([v[0] for v in vectors])
-    x = np.concatenate([v[1] for v in vectors]).astype(np.float64)
-    row = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors])
+    vectors = [_merged(v) for v in vectors]
     n = len(vectors)
-    known = np.bincount(at, minlength=DIMENSIONS) >= min(MOST_NEEDED, 1 + n // 200)  # what few documents have is noise
-    x, row, at = x[known[at]], row[known[at]], at[known[at]]
-    used, at = np.unique(at, return_inverse=True)
+    known = _known(vectors, grades, n_grades)
+    used = np.flatnonzero(known)
     d = len(used)
+    number = np.full(DIMENSIONS, -1, np.int32)
+    number[used] = np.arange(d)
+    blocks = []  # so that a step's temporary arrays are small
+    for start in range(0, n, FIT_BLOCK):
+        part = vectors[start : start + FIT_BLOCK]
+        row = np.repeat(np.arange(len(part), dtype=np.int32), [len(v[0]) for v in part])
+        at, x = number[np.concatenate([v[0] for v in part])], np.concatenate([v[1] for v in part])
+        blocks.append((slice(start, start + len(part)), row[at >= 0], at[at >= 0], x[at >= 0]))
+    del vectors
+    here = np.bincount(grades, minlength=n_grades)
+    part = np.full(n, 1 / n)  # of the loss, by row
+    if shares is not None:
+        part = (np.asarray(shares) / np.maximum(here, 1))[grades]
+        part /= part.sum()
     # weights, first threshold, logarithms of the steps between thresholds
     p = np.zeros(d + n_grades - 1)
     p[d + 1 :] = 0.0
@@ -108,15 +153,17 @@ def fit(vectors: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grad
     for t in range(1, rounds + 1):
         steps = np.exp(p[d + 1 :])
         cuts = np.concatenate([[-np.inf], p[d] + np.concatenate([[0.0], np.cumsum(steps)]), [np.inf]])
-        s = np.bincount(row, x * p[at], n)
+        s = np.concatenate([np.bincount(row, x * p[at], rows.stop - rows.start) for rows, row, at, x in blocks])
         low, high = _logistic(cuts[grades] - s), _logistic(cuts[grades + 1] - s)
         chance = np.maximum(high - low, 1e-12)
-        d_high, d_low = high * (1 - high) / chance, low * (1 - low) / chance
-        d_s = (d_high - d_low) / n  # of the loss, by the score
+        d_high, d_low = part * high * (1 - high) / chance, part * low * (1 - low) / chance
+        d_s = d_high - d_low  # of the loss, by the score
         d_cut = np.bincount(grades + 1, -d_high, n_grades + 1)[: n_grades + 1] + np.bincount(grades, d_low, n_grades + 1)[: n_grades + 1]
-        d_cut = d_cut[1:n_grades] / n
+        d_cut = d_cut[1:n_grades]
         g = np.empty_like(p)
-        g[:d] = np.bincount(at, x * d_s[row], d) + decay * p[:d]
+        g[:d] = decay * p[:d]
+        for rows, row, at, x in blocks:
+            g[:d] += np.bincount(at, x * d_s[rows][row], d)
         g[d] = d_cut.sum()
         for k in range(n_grades - 2):
             g[d + 1 + k] = d_cut[k + 1 :].sum() * steps[k]
@@ -127,26 +174,40 @@ def fit(vectors: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grad
     return model
 
 
-def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, most: int = MOST_RATED, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def sample(rated: DataFrame, n_grades: int, most: int = MOST_RATED, most_middle: int = MOST_MIDDLE) -> DataFrame:
+    """The rows (id, grade) of the smallest hashes: ``most`` of all, and of each middle grade up to ``most_middle``."""
+    order = F.xxhash64("id"), F.col("id")
+    chosen = rated.orderBy(*order).limit(most)
+    for grade in range(1, n_grades - 1):
+        chosen = chosen.unionByName(rated.where(F.col("grade") == grade).orderBy(*order).limit(most_middle))
+    return chosen.distinct()
+
+
+def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, most: int = MOST_RATED, id_col: str = "doc_id", text_col: str = "text", most_middle: int = MOST_MIDDLE) -> Model:
     """``ratings`` has the id and ``grade``, 0 to n_grades - 1."""
-    rated = (
+    all_rated = (
         ratings.select(F.col(id_col).alias("id"), F.col("grade").cast("int").alias("grade"))
         .where("id IS NOT NULL AND grade IS NOT NULL")
         .groupBy("id").agg(F.min("grade").alias("grade"))
-        .orderBy(F.xxhash64("id"), "id").limit(most)
     )
+    shares = np.zeros(n_grades)
+    for r in all_rated.groupBy("grade").count().collect():
+        shares[r.grade] = r["count"]
+    rated = sample(all_rated, n_grades, most, most_middle)
     slim = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     chosen = slim.join(F.broadcast(rated), "id").select("id", "grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [vector(t) for t in batch.column(2).to_pylist()]
+            found = [_merged(vector(t)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([v[0].tobytes() for v in found], pa.binary()), pa.array([v[1].tobytes() for v in found], pa.binary()), batch.column(0).cast(pa.string())], names=["grade", "places", "parts", "id"])
 
     rows = chosen.mapInArrow(run, "grade int, places binary, parts binary, id string").collect()
     rows = sorted({(r.id, r.grade, bytes(r.places), bytes(r.parts)) for r in rows})
     vectors = [(np.frombuffer(p, np.int32), np.frombuffer(v, np.float32)) for _, _, p, v in rows]
-    return fit(vectors, np.array([g for _, g, _, _ in rows], np.int64), n_grades)
+    graded = np.array([g for _, g, _, _ in rows], np.int64)
+    del rows
+    return fit(vectors, graded, n_grades, shares=shares)
 
 
 def score(docs: DataFrame, model: Model, least_tail: float = LEAST_TAIL, grade: int | None = None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:

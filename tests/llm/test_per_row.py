@@ -77,6 +77,36 @@ def test_quality_held_out(spark):
     assert order == sorted(order)
 
 
+def test_quality_finds_toxic_texts(spark):
+    """At the production threshold, with all ratings and with a sample that a uniform draw would leave without enough toxic ones."""
+    d = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    grades = quality.grades(spark.read.parquet(f"{d}/labels.parquet"))
+    for most, least in ((quality.MOST_RATED, 0.4), (500, 0.3)):
+        model = quality.train(docs, grades.where("doc_id % 4 <> 0"), most=most)
+        got = quality.score(docs, model).join(grades.where("doc_id % 4 = 0"), F.col("id") == F.col("doc_id"))
+        dropped = {r.grade: r.k for r in got.groupBy("grade").agg(F.avg((F.col("tail") < 0.4).cast("int")).alias("k")).collect()}
+        assert dropped[1] > least and dropped[2] < 0.02 and dropped[0] > 0.95
+
+
+def test_quality_sample_is_filled_by_grade(spark):
+    rated = spark.range(1000).select("id", F.when(F.col("id") % 50 == 0, 1).otherwise(F.col("id") % 2 * 2).cast("int").alias("grade"))
+    n = {r.grade: r["count"] for r in quality.sample(rated, 3, 100, 15).groupBy("grade").count().collect()}
+    assert n[1] >= 15 and n[0] + n[2] <= 100 and {r.id for r in rated.orderBy(F.xxhash64("id"), "id").limit(100).collect()} <= {r.id for r in quality.sample(rated, 3, 100, 15).collect()}
+
+
+def test_quality_keeps_rare_features_of_a_middle_grade():
+    """A word that only three toxic texts have gets a weight, and weighting back leaves the shares as they are."""
+    rest = [(np.array([1], np.int32), np.array([1.0], np.float32))] * 1200
+    toxic = [(np.array([1, 2], np.int32), np.array([1.0, 1.0], np.float32))] * 3
+    model = quality.fit(rest + toxic, np.array([2] * 1200 + [1] * 3), 3)
+    assert model.weights[2] < -1
+    v = [(np.array([1], np.int32), np.array([1.0], np.float32))] * 200
+    model = quality.fit(v, np.array([0] * 50 + [1] * 100 + [2] * 50), 3, rounds=800, rate=0.05, decay=0.0, shares=np.array([0.25, 0.25, 0.5]))
+    tails = model.tails(model.weights[[1]].astype(float))
+    assert abs(tails[0, 0] - 0.75) < 0.03 and abs(tails[0, 1] - 0.5) < 0.03
+
+
 def test_quality_cases(spark, messy):
     none = spark.createDataFrame([], "doc_id long, grade int")
     scored = quality.score(messy, quality.train(messy, none)).collect()
