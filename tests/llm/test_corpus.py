@@ -119,6 +119,24 @@ def test_ann_recall_and_cases(spark):
     assert ann.nearest(odd.limit(0), lambda i: i % 20 == 0, 3).collect() == []
 
 
+def test_ann_third_of_equal_vectors(spark):
+    """A group of copies larger than the beam: recall by id, and the smallest ids of a tie."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1800, 24))
+    x[rng.permutation(1800)[:600]] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, lambda i: i % 30 == 0, 20).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id))
+    hits = 0
+    for q in range(0, 1800, 30):
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -np.inf
+        hits += len(set(np.lexsort((np.arange(1800), -s))[:20].tolist()) & {i for _, i in got[q]})
+        assert len(got[q]) == 20
+    assert hits / (20 * 60) >= 0.97
+
+
 def test_lm(messy, spark):
     named = messy.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     data = [(r.doc_id, r.text) for r in named.select("doc_id", "text").collect()]
