@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mediaqc.config import Thresholds
-from mediaqc.functions.hashing import sign_hashes
+from mediaqc.functions.hashing import HASHES, hamming, sign_hashes
 from mediaqc.operators import duplicates as dup
 from mediaqc.operators import reports
 
@@ -75,11 +75,16 @@ def cosine_topk(spark, d):
 
 
 def cosine_decision(spark, d):
-    first = _topk(spark, d).where("place = 1")
-    votes = dup.vote_pairs(hashes(spark, d), Thresholds(phash=T.phash, dhash=T.dhash, whash=T.whash, votes=2), "seq").select("l", "r", "votes")
-    both = first.join(votes, ["l", "r"], "left").withColumn("votes", F.coalesce("votes", F.lit(0)))
-    strict = Thresholds(cosine_strong=T.cosine_strong, cosine=T.cosine, cosine_votes=2)
-    return both.withColumn("method", dup.cosine_method(strict)).where("method IS NOT NULL").select(F.col("r").alias("vec_id"), F.col("l").alias("match_id"), F.round(F.col("cos") * 100, 2).alias("similarity"), "votes", "method")
+    """Judges each row's first candidate by its cosine and all of its hash votes, a single one included."""
+    return decided(_topk(spark, d).where("place = 1"), hashes(spark, d))
+
+
+def decided(first, h):
+    """The pairs (l, r, cos) that count as duplicates; ``h`` has the hashes by seq. Two equi-joins, as each row has one candidate."""
+    a = h.select(F.col("seq").alias("l"), F.struct(*h.columns[1:]).alias("a"))
+    b = h.select(F.col("seq").alias("r"), F.struct(*h.columns[1:]).alias("b"))
+    both = first.join(a, "l").join(b, "r").withColumns({f"{n}_d": hamming(n) for n in HASHES}).withColumn("votes", dup.votes(T))
+    return both.withColumn("method", dup.cosine_method(T)).where("method IS NOT NULL").select(F.col("r").alias("vec_id"), F.col("l").alias("match_id"), F.round(F.col("cos") * 100, 2).alias("similarity"), "votes", "method")
 
 
 def cluster_roots(spark, d):

@@ -95,3 +95,14 @@ def test_keypoint_scan_takes_first_by_rank(spark):
 def test_exact_first(spark):
     df = spark.createDataFrame([(3, "a"), (1, "a"), (2, "b")], "id long, t string")
     assert {r.id: r.first_id for r in dup.exact_first(df, "id", F.md5("t")).collect()} == {3: 1, 1: 1, 2: 2}
+
+
+def test_cosine_decision_counts_a_single_vote(spark):
+    from mediaqc.plans import dedup_queries
+
+    zero, far = (0, 0), (-1, -1)
+    rows = [(1, *zero, *zero, *zero), (2, *zero, *far, *far), (3, *far, *far, *far), (4, *zero, *zero, *far), (5, *far, *far, *far)]
+    h = spark.createDataFrame(rows, "seq long, ph_hi long, ph_lo long, dh_hi long, dh_lo long, wh_hi long, wh_lo long")
+    first = spark.createDataFrame([(1, 2, 0.40), (1, 3, 0.40), (1, 4, 0.40), (1, 5, 0.46)], "l long, r long, cos double")
+    got = {(r.vec_id, r.votes) for r in dedup_queries.decided(first, h).collect()}
+    assert got == {(2, 1), (4, 2), (5, 0)}
