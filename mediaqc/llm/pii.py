@@ -64,15 +64,28 @@ class Kind:
     score: float
     words: str
     base: bool = True
+    #: Characters of the shortest match.
+    shortest: int = 2
 
 
+#: Characters of an account by country; a country that isn't listed may have 15 to 34.
+ACCOUNTS = {
+    15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_LISTED = "|".join(" ".join(ACCOUNTS.values()).split())
+_ACCOUNT = "|".join([f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:[\\x20]?[A-Z0-9]){{{n - 4}}}" for n, c in ACCOUNTS.items()] + [rf"(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?:[\x20]?[A-Z0-9]){{11,30}}"])
+
+BEFORE, AFTER = 60, 30
+
 KINDS = [
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", lambda m: F.lit(True), 0.9, "e-?mail|contact|write|mailto"),
     Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", _parts, 0.6, "ip|address|host|server|from|login"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9][ -]?[0-9]", _luhn, 0.8, "card|visa|credit|debit|payment|amex"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", _digits(9, 15), 0.6, "phone|tel|call|mobile|fax|contact"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", _mod97, 0.7, "iban|account|bank|transfer", False),
-    Kind("ssn", r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])", "[0-9]-[0-9]", lambda m: F.lit(True), 0.3, "ssn|social|security|taxpayer", False),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?:{_ACCOUNT})(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", _mod97, 0.7, "iban|account|bank|transfer", False, 15),
+    Kind("ssn", r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])", "[0-9]-[0-9]", lambda m: F.lit(True), 0.3, "ssn|social|security|taxpayer", False, 11),
 ]
 
 
@@ -112,13 +125,28 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select("id", F.array_sort(joined).alias("spans"))
 
 
+def _before(m: Column, g: Column, i: Column, shortest: int) -> Column:
+    """The BEFORE characters ahead of match ``i``, over as many earlier matches and gaps as they can hold: linear in long texts."""
+    end = lambda x: F.right(x, F.lit(BEFORE))
+    n = F.least(i, F.lit(-(-BEFORE // shortest)))
+    pieces = F.zip_with(F.slice(g, i - n + 1, n), F.slice(m, i - n + 1, n), lambda gap, match: F.concat(end(gap), end(match)))
+    return end(F.concat(F.array_join(pieces, ""), end(F.element_at(g, i + 1))))
+
+
+def _after(m: Column, g: Column, i: Column, shortest: int) -> Column:
+    """The AFTER characters that follow match ``i``."""
+    start = lambda x: F.left(x, F.lit(AFTER))
+    n = F.least(F.size(m) - i - 1, F.lit(-(-AFTER // shortest)))
+    pieces = F.zip_with(F.slice(m, i + 2, n), F.slice(g, i + 3, n), lambda match, gap: F.concat(start(match), start(gap)))
+    return start(F.concat(start(F.element_at(g, i + 2)), F.array_join(pieces, "")))
+
+
 def _spans(kind: Kind, k: int) -> Column:
     """The spans of one kind that its validator confirms and, if it isn't a base kind, whose score is enough."""
     m, g, s = F.col(f"m{k}"), F.col(f"g{k}"), F.col(f"s{k}")
 
     def span(match: Column, i: Column) -> Column:
-        before, after = F.element_at(g, i + 1), F.element_at(g, i + 2)
-        near = F.concat(F.substring(F.right(before, F.lit(60)), 1, 60), F.lit(" | "), F.left(after, F.lit(30)))
+        near = F.concat(_before(m, g, i, kind.shortest), F.lit(" | "), _after(m, g, i, kind.shortest))
         score = F.when(near.rlike(rf"(?i)\b(?:{kind.words})\b"), F.lit(min(1.0, kind.score + 0.3))).otherwise(F.lit(kind.score))
         start = F.element_at(s, i + 1)
         return F.struct(start.alias("start"), F.lit(k).alias("kind"), (start + F.length(match)).alias("end"), score.alias("score"), kind.valid(match).alias("valid"))

@@ -30,6 +30,18 @@ def test_pii_kinds_and_context(spark):
     assert "iban:5:32" in got[4] and got[4].count("iban") == 1 and got[5] == "ssn:4:15" and got[6] == "" and got[7] == "email:2:8"
 
 
+def test_pii_lists_and_accounts_before_other_words(spark):
+    texts = [
+        "SSN: 123-45-6789, 234-56-7890, 345-67-8901", "DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "GB82WEST12345698765432 DE89370400440532013000",
+        "DE89 3704 0044 0532 0130 01 BIC COBADEFFXXX", "x" * 70 + " 123-45-6789 " + "y" * 40, "123-45-6789 234-56-7890 taxpayer", "ssn " + "z" * 60 + " 123-45-6789",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.s for r in pii.find_spans(df).select("id", pii.spelled(F.col("spans")).alias("s")).collect()}
+    own = {k: [x for x in v.split(",") if x.startswith(("ssn", "iban"))] for k, v in got.items()}
+    assert own[0] == ["ssn:5:16", "ssn:18:29", "ssn:31:42"] and own[1] == ["iban:0:27"] and own[2] == ["iban:0:22", "iban:23:45"]
+    assert own[3] == own[4] == own[6] == [] and own[5] == ["ssn:0:11", "ssn:12:23"]
+
+
 @pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 1000])
 def test_prefix_sums(spark, n):
     r = spark.range(1).select(pii.prefix_sums(F.expr(f"transform(slice(sequence(1, {n} + 1), 1, {n}), x -> x % 7)").cast("array<int>")).alias("x")).first()
