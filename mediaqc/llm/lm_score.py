@@ -1,26 +1,30 @@
 """Language-model scores: the marginal probability of a text over all its segmentations in a subword lattice.
 
-The lattice of a word has an arc for each piece of an existing subword vocabulary that fits (the first piece carries the
-word-begin sign; characters without a piece go by their bytes) and one arc for the word as a whole. A piece's weight
-starts from its score in the vocabulary, which orders the pieces, and is re-estimated once by expected counts over all
-words of the training documents; the arc of a whole word has its discounted share of the training tokens. A forward
-recursion in log space sums over all segmentations. Begin and end of words follow from the pieces, so the weights are a
-distribution over token sequences: a text's probability is the product over its words and one end.
+The entries of the lattice are the pieces of an existing subword vocabulary (the first piece of a word carries the
+word-begin sign; characters without a piece go by their bytes) and the words of the training documents. A piece's weight
+starts from its score in the vocabulary, which orders the pieces; a word starts with the weight that the vocabulary gives
+it, the sum over its segmentations. All entries are then re-estimated once together, by their expected counts in the
+lattices of all training words, so a word keeps half of its count and its pieces share the other half. A forward recursion
+in log space sums over all segmentations, the word itself among them. Begin and end of words follow from the entries, so
+the weights are a distribution over texts: a text's probability is the product over its words and one end.
 
 Words are counted in a table that grows with the corpus, and each word's lattice is summed once, there. What the ``HEAD``
-most frequent words add is broadcast (a fixed bound); for all others (document, word) pairs are joined with the table. The base score is the
-additively smoothed word model of the contract, from the same counts.
+most frequent words of up to ``MOST_CHARS`` characters add is broadcast (a fixed bound, in bytes too); for all others
+(document, word) pairs are joined with the table. The base score is the additively smoothed word model of the contract,
+from the same counts. A word of n characters takes 8 n bytes and its recursion rolls over a few columns.
 
 Defined results: a null or empty text has one token, the end; rows without an id are in training by the checksum of the
-empty text; repeated rows count and are scored as often as they come; without training documents the counts are 0 and
-the whole-word arcs vanish; an empty table gives an empty table; other columns are not read.
+empty text; repeated rows count and are scored as often as they come; words of equal count are in the head together or
+not at all; without training documents the counts are 0 and the lattice has the vocabulary alone; an empty table gives an
+empty table; columns of any other names are not read.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
-from math import log, log10
+from math import exp, inf, log, log1p, log10
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaqc.llm.common import cut, documents, forget, text_of
+from mediaqc.llm.common import cut, documents, forget, slices, text_of
 
-HEAD = 200_000
-#: Taken from each count of a known word and given to the subword arcs.
-DISCOUNT = 0.5
+HEAD, MOST_CHARS = 200_000, 64
+#: Longer words go through the recursion one by one.
+LONG = 256
+#: Words and characters that a task counts before it hands them on.
+COUNTED, READ = 200_000, 32_000_000
 #: Weight of the vocabulary's own order against the counts, in tokens.
 PRIOR = 1000.0
 BEGIN = "▁"
@@ -62,7 +68,7 @@ class Pieces:
         for i in data.values():
             p[i] = 1e-3 / len(data)
         p[n] = 0.01
-        self.p = p / p.sum()
+        self.p, self.word = p / p.sum(), 0.0
         self.bytes_at = [data[b] for b in range(256)]
         self.index: dict[str, int] = {}  # a piece or, with -1, the begin of one
         for i in usable:
@@ -74,23 +80,35 @@ class Pieces:
             raise ValueError("the vocabulary has no piece for the begin of a word")
         self.begins = np.array([n.startswith(BEGIN) for n in names] + [False])
         self.widest = max(len(names[i]) for i in usable)
+        self.begin = self.p[-1] + self.p[:-1][self.begins[:-1]].sum()
 
-    def reweighed(self, expected: np.ndarray) -> None:
-        total = expected.sum() + PRIOR
+    def reweighed(self, expected: np.ndarray, n_words: int) -> None:
+        """New weights from the expected counts of the pieces; the ``n_words`` training tokens are half their words' own."""
+        total = expected.sum() + n_words / 2 + PRIOR
         self.p = (expected + PRIOR * self.p) / total
+        self.word = 0.5 / total  # of each occurrence
+        self.begin = self.p[-1] + self.p[:-1][self.begins[:-1]].sum() + self.word * n_words
 
     def log_end(self) -> float:
         """Natural log of the chance that no further word begins."""
-        return log(self.p[-1] / (self.p[-1] + self.p[:-1][self.begins[:-1]].sum()))
+        return log(self.p[-1] / self.begin)
+
+    def word_weight(self) -> float:
+        """What an occurrence adds to the weight of a word's own entry. After it no piece can follow, only a begin or the end."""
+        return self.word / self.begin
 
     def lattices(self, words: list[str], counts: np.ndarray | None = None):
-        """Natural log of each word's marginal; with ``counts`` the expected counts of the pieces instead."""
+        """Natural log of each word's marginal over its pieces; with ``counts`` the expected counts of the pieces instead,
+        in lattices where the word's own entry weighs as much as all its segmentations."""
         logs = np.log(np.maximum(self.p, 1e-300))
         out = np.zeros(len(words))
         expected = np.zeros(len(self.p))
         by_length: dict[int, list[int]] = {}
         for k, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(k)
+            if len(w) <= LONG:
+                by_length.setdefault(len(w), []).append(k)
+            else:
+                out[k] = self._one(BEGIN + w.replace(BEGIN, ""), logs.tolist(), None if counts is None else counts[k], expected)
         for n, group in by_length.items():
             size = max(1, 400_000 // ((n + 1) * self.widest))
             for at in range(0, len(group), size):
@@ -140,13 +158,58 @@ class Pieces:
                 most = reach.max(axis=0)
                 back[:, i] = most + np.log(np.exp(reach - most).sum(axis=0))
         k, i, width = at // (n * m), at // m % n, at % m + 1
-        share = counts[k] * np.exp(forward[k, i] + logs[ids] + back[k, i + width] - forward[k, n])
+        total = forward[:, n] + log(2)
+        share = counts[k] * np.exp(forward[k, i] + logs[ids] + back[k, i + width] - total[k])
         expected += np.bincount(ids, share, len(expected))
         for a, pieces in spelled:
             k, i = a // (n * m), a // m % n
-            np.add.at(expected, pieces, counts[k] * np.exp(forward[k, i] + logs[pieces].sum() + back[k, i + 1] - forward[k, n]))
+            np.add.at(expected, pieces, counts[k] * np.exp(forward[k, i] + logs[pieces].sum() + back[k, i + 1] - total[k]))
         return forward[:, n]
 
+    def _arcs(self, w: str, i: int):
+        """(end, pieces) of the arcs that start at ``i``."""
+        one = False
+        for j in range(i + 1, min(len(w), i + self.widest) + 1):
+            piece = self.index.get(w[i:j])
+            if piece is None:
+                break
+            if piece >= 0:
+                one = one or j == i + 1
+                yield j, (piece,)
+        if not one:
+            yield i + 1, [self.bytes_at[b] for b in w[i].encode("utf-8", "surrogatepass")]
+
+    def _one(self, w: str, logs: list[float], count, expected: np.ndarray) -> float:
+        """The same for one word of any length."""
+        n = len(w)
+        forward = array("d", [-inf]) * (n + 1)
+        forward[0] = 0.0
+        for i in range(n):
+            here = forward[i]
+            for j, pieces in self._arcs(w, i):
+                forward[j] = _added(forward[j], here + sum(logs[p] for p in pieces))
+        if count is not None:
+            total = forward[n] + log(2)
+            back = {n: 0.0}  # of the next few columns
+            for i in range(n - 1, -1, -1):
+                sum_here = -inf
+                for j, pieces in self._arcs(w, i):
+                    rest = sum(logs[p] for p in pieces) + back[j]
+                    sum_here = _added(sum_here, rest)
+                    share = float(count) * exp(forward[i] + rest - total)
+                    for p in pieces:
+                        expected[p] += share
+                back[i] = sum_here
+                back.pop(i + self.widest + 1, None)
+        return forward[n]
+
+
+def _added(a: float, b: float) -> float:
+    """log(exp(a) + exp(b))."""
+    if a < b:
+        a, b = b, a
+    return a if b == -inf else a + log1p(exp(b - a))
+
 
 def read_pieces(path: str) -> Pieces:
     import sentencepiece
@@ -170,18 +233,21 @@ def count_words(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         others: set = set()
+        read = 0
 
         def out():
             words = [*counts, *(others - counts.keys())]
             return pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in words], pa.int64()), pa.array(words, pa.string()), pa.array([counts.get(w, 0) for w in words], pa.int64())], names=["h", "word", "c"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 (others if held else counts).update(tokens(text))
-                if len(counts) + len(others) > 200_000:
+                read += len(text)
+                if len(counts) + len(others) > COUNTED or read > READ:
                     yield out()
                     counts.clear()
                     others.clear()
+                    read = 0
         if counts or others:
             yield out()
 
@@ -194,7 +260,7 @@ def marginals(counted: DataFrame, pieces: Pieces) -> DataFrame:
     shared = counted.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2048):
             x = shared.value.lattices(batch.column(1).to_pylist()) / _LN10
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(x)], names=["h", "word", "c", "x"])
 
@@ -233,11 +299,9 @@ def least_count(known: DataFrame, head: int) -> int:
     return least
 
 
-def log10_chance(c: int, x: float, n_train: int, share: float) -> float:
-    """log10 of a token's probability, of its count in training and its lattice."""
-    if c == 0 or n_train == 0:
-        return log10(share) + x
-    return log10((c - DISCOUNT) / n_train + share * 10.0 ** max(x, -300.0))
+def log10_chance(c: int, x: float, own: float) -> float:
+    """log10 of a token's probability: its segmentations and, of ``c`` occurrences in training, its own entry."""
+    return log10(c * own + 10.0 ** max(x, -300.0)) if c * own > 0 else x
 
 
 def score_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", head: int = HEAD) -> DataFrame:
@@ -252,50 +316,49 @@ def score_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     if n_docs:
         expected = expected_pieces(counted.where("c > 0"), pieces)
         expected[-1] = n_docs
-        pieces.reweighed(expected)
-    share = DISCOUNT * types / n_train if n_train else 1.0
+        pieces.reweighed(expected, int(n_words or 0))
+    own = pieces.word_weight()
     known = cut(marginals(counted, pieces), "words")
     forget(counted)
-    top = known.where(F.col("c") >= least_count(known, head)).select("word", "c", "x").collect()
+    top = known.where((F.col("c") >= least_count(known, head)) & (F.length("word") <= MOST_CHARS)).select("word", "c", "x").collect()
     # what each token of the head adds to the base score and to the score
-    shared = spark.sparkContext.broadcast({r.word: (log10(r.c + 0.5), log10_chance(r.c, r.x, n_train, share)) for r in top})
+    shared = spark.sparkContext.broadcast({r.word: (log10(r.c + 0.5), log10_chance(r.c, r.x, own)) for r in top})
     id_type = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_head = shared.value.get
-        for batch in batches:
-            for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
-                n, n_known, base, score, hs, tfs = [], [], [], [], [], []
-                for text in part.column(2).to_pylist():
-                    words = tokens(text)
-                    b = s = 0.0
-                    k, h, f = 0, [], []
-                    for w, tf in Counter(words).items():
-                        found = of_head(w)
-                        if found is None:
-                            h.append(word_hash(w))
-                            f.append(tf)
-                        else:
-                            b += tf * found[0]
-                            s += tf * found[1]
-                            k += tf
-                    for out, value in ((n, len(words) + 1), (n_known, k), (base, b), (score, s), (hs, h), (tfs, f)):
-                        out.append(value)
-                columns = [pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(score), pa.array(hs, pa.list_(pa.int64())), pa.array(tfs, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=names)
+        for part in slices(batches):
+            n, n_known, base, score, hs, tfs = [], [], [], [], [], []
+            for text in part.column(2).to_pylist():
+                words = tokens(text)
+                b = s = 0.0
+                k, h, f = 0, [], []
+                for w, tf in Counter(words).items():
+                    found = of_head(w)
+                    if found is None:
+                        h.append(word_hash(w))
+                        f.append(tf)
+                    else:
+                        b += tf * found[0]
+                        s += tf * found[1]
+                        k += tf
+                for out, value in ((n, len(words) + 1), (n_known, k), (base, b), (score, s), (hs, h), (tfs, f)):
+                    out.append(value)
+            columns = [pa.array(n, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(score), pa.array(hs, pa.list_(pa.int64())), pa.array(tfs, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=names)
 
     names = ["id", "held_out", "n_tokens", "known", "base", "part", "hs", "tfs"]
     schema = f"id {id_type}, held_out boolean, n_tokens long, known long, base double, part double, hs array<long>, tfs array<int>"
     lists = cut(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     rest = lists.select("row", F.explode(F.arrays_zip("hs", "tfs")).alias("t")).select("row", F.col("t.hs").alias("h"), F.col("t.tfs").alias("tf"))
     c = F.col("c")
-    of_known = F.log10((c - DISCOUNT) / F.lit(float(max(n_train, 1))) + F.lit(share) * F.pow(F.lit(10.0), F.greatest("x", F.lit(-300.0))))
-    of_word = F.when(c == 0, F.lit(log10(share)) + F.col("x")).otherwise(of_known)
+    of_known = F.log10(c * F.lit(own) + F.pow(F.lit(10.0), F.greatest("x", F.lit(-300.0))))
+    of_word = F.when(c * F.lit(own) > 0, of_known).otherwise(F.col("x"))
     words = known.select("h", "c", F.log10(c + 0.5).alias("of_base"), of_word.alias("of_score"))
     sums = rest.join(words, "h").groupBy("row").agg(
         F.sum(F.col("tf") * F.col("of_base")).alias("base2"), F.sum(F.col("tf") * F.col("of_score")).alias("part2"), F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("known2")
     )
-    end = log10_chance(n_docs, pieces.log_end() / _LN10, n_train, share)
+    end = pieces.log_end() / _LN10
     base_end, norm = log10(n_docs + 0.5), log10(n_train + 0.5 * (types + 1))
     zero = lambda name: F.coalesce(F.col(name), F.lit(0))
     return lists.drop("hs", "tfs").join(sums, "row", "left").select(
