@@ -1,14 +1,15 @@
 """Sharding by longest-processing-time scheduling under the law ``bytes``: shard sizes are near equal.
 
-Groups of equal texts stay together; sorted by size, each goes to the least-loaded shard through a heap. The schedule
-is made over a bounded number of items, whatever the input: small groups are scheduled in at most ``BUNDLES`` bundles
-(a group is never cut by its bundle), and the at most ``2 * GRAINS`` groups that hold a share of more than
-``1 / (2 * GRAINS)`` of all bytes are items of their own. A group that alone exceeds a shard's even share cannot stay
-together under this law and is cut into the fewest equal pieces. Slots are numbered by shard, then cell (a bundle or a
-part of a large group), so that no shard, group or source meets in one task.
-
-Defined results: a null text counts as empty (size 1) and groups with empty texts; rows repeated with their id get slots
-of their own; an empty table gives an empty table; other columns are not read.
+Groups of equal texts stay together; sorted by size, each goes to the least-loaded shard through a heap. The heap takes a
+bounded number of items whatever the input: the ``GROUPS`` largest groups (all, if there are no more) and those with many
+rows are items of their own, the small rest is scheduled in at most ``BUNDLES`` bundles of whole groups. A group that alone
+exceeds a shard's even share cannot stay together under this law and is cut into the fewest pieces. Slots are numbered by
+shard, then cell (a bundle, or a part of a group); a group has a cell for each 1/GRAINS of all rows, so that no shard,
+group or source meets in one task.
+
+Defined results: a null text counts as empty (size 1) and groups with empty texts; groups of equal size go by their digest;
+rows repeated with their id get slots of their own; an empty table gives an empty table; columns of any other names are
+not read.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediaqc.llm.common import cut, documents, text_of
+from mediaqc.llm.common import cut, documents, forget, text_of
 
-BUNDLES = 65536
+#: Groups that are items of their own, and bundles of the others. What is collected and broadcast is bounded by them.
+GROUPS, BUNDLES = 20_000, 16_384
+#: A group with more than 1/GRAINS of all rows is an item of its own too.
 GRAINS = 4096
 
 
@@ -42,67 +45,79 @@ def slim_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("crc"),
         F.unhex(F.md5(text.cast("binary"))).alias("digest"),
-    ).withColumn("bundle", F.pmod(F.xxhash64("digest"), F.lit(BUNDLES)).cast("int"))
+        F.monotonically_increasing_id().alias("row"),
+    )
+
+
+def least_size(groups: DataFrame, most: int) -> int:
+    """A size that at most ``most`` groups reach, from the numbers of groups by ranges of their size: some hundred rows."""
+    ranges = groups.groupBy(F.floor(F.log2("bytes") * 16).alias("r")).agg(F.count(F.lit(1)).alias("n"), F.min("bytes").alias("least"), F.max("bytes").alias("most")).collect()
+    least, n = 1 + max((x.most for x in ranges), default=0), 0
+    for x in sorted(ranges, key=lambda x: -x.least):
+        n += x.n
+        if n > most:
+            break
+        least = x.least
+    return least
 
 
-def schedule(slim: DataFrame, n_shards: int) -> tuple[DataFrame, DataFrame]:
-    """(cell, shard, first slot) and (digest, first cell, cells) of the large groups. Both are bounded."""
+def schedule(slim: DataFrame, n_shards: int, most: int = GROUPS) -> tuple[DataFrame, DataFrame]:
+    """(cell, shard, first_slot), and (digest, first_cell, n_cells) of the groups that are items. Both are bounded."""
     spark = slim.sparkSession
-    bundles = {r[0]: [r[1], r[2]] for r in slim.groupBy("bundle").agg(F.sum("size"), F.count(F.lit(1))).collect()}
-    total = sum(b for b, _ in bundles.values())
-    heavy = [(b,) for b, (size, _) in bundles.items() if size * GRAINS > total]  # fewer than GRAINS
-    large = []
-    if heavy:
-        heavy_bundles = F.broadcast(spark.createDataFrame(heavy, "bundle int"))
-        groups = slim.join(heavy_bundles, "bundle").groupBy("digest").agg(F.sum("size").alias("bytes"), F.first("bundle").alias("bundle"))
-        large = sorted((r.bundle, bytes(r.digest), r.bytes) for r in groups.where(F.col("bytes") * F.lit(2 * GRAINS) > F.lit(total)).collect())
-    rows, first = [], BUNDLES
-    for _, digest, size in large:
-        n_cells = -(-size * GRAINS // total)
-        rows.append((bytearray(digest), first, int(n_cells)))
+    groups = cut(slim.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "groups")
+    total, n_rows = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    own = (F.col("bytes") >= least_size(groups, most)) | (F.col("n") * GRAINS > F.lit(n_rows))
+    large = sorted((bytes(r.digest), r.bytes, r.n) for r in groups.where(own).collect())
+    bundle = F.pmod(F.xxhash64("digest"), F.lit(BUNDLES)).cast("int").alias("bundle")
+    bundles = groups.where(~own).groupBy(bundle).agg(F.sum("bytes"), F.sum("n")).collect()
+    forget(groups)
+    items, inside, cells_of, first = [], {}, [], BUNDLES
+    for digest, size, n in large:
+        n_cells = max(-(-n * GRAINS // n_rows), 1)
+        cells_of.append((bytearray(digest), first, n_cells))
         first += n_cells
-    cells_of = spark.createDataFrame(rows, "digest binary, first_cell int, n_cells int")
-    items, members = [], {}
-    if rows:
-        counted = with_cells(slim.join(F.broadcast(cells_of.select("digest")), "digest", "left_semi"), cells_of)
-        inside = {r[0]: (r[1], r[2]) for r in counted.groupBy("cell").agg(F.sum("size"), F.count(F.lit(1))).collect()}
-        for (bundle, _, size), (_, start, n_cells) in zip(large, rows, strict=True):
-            own = [c for c in range(start, start + n_cells) if c in inside]
-            pieces = -(-size * n_shards // total)  # 1 if an even share can hold the group
-            part = deal([(inside[c][0], c) for c in own], pieces)
-            for p in range(pieces):
-                piece = [c for c in own if part[c] == p]
-                if piece:
-                    items.append((sum(inside[c][0] for c in piece), piece[0]))
-                    members[piece[0]] = [(c, inside[c][1]) for c in piece]
-            bundles[bundle][0] -= size
-            bundles[bundle][1] -= sum(inside[c][1] for c in own)
-    for b, (size, n) in bundles.items():
-        if n:
-            items.append((size, b))
-            members[b] = [(b, n)]
+    cells_of = spark.createDataFrame(cells_of, "digest binary, first_cell int, n_cells int")
+    counted, at = {}, BUNDLES
+    if first > BUNDLES + len(large):  # some group has several cells
+        cells = with_cells(slim, cells_of.where("n_cells > 1")).where(F.col("cell") >= BUNDLES)
+        counted = {r[0]: (r[1], r[2]) for r in cells.groupBy("cell").agg(F.sum("size"), F.count(F.lit(1))).collect()}
+    for digest, size, n in large:
+        n_cells = max(-(-n * GRAINS // n_rows), 1)
+        parts = {c: counted[c] for c in range(at, at + n_cells) if c in counted} if n_cells > 1 else {at: (size, n)}
+        pieces = max(-(-size * n_shards // total), 1)  # 1 if an even share can hold the group
+        bin_of = deal([(x[0], c) for c, x in parts.items()], pieces)
+        for p in range(pieces):
+            piece = [c for c in parts if bin_of[c] == p]
+            if piece:
+                items.append((sum(parts[c][0] for c in piece), (digest, p)))
+                inside[digest, p] = [(c, parts[c][1]) for c in piece]
+        at += n_cells
+    for b, size, n in bundles:
+        items.append((size, (b"", b)))
+        inside[b"", b] = [(b, n)]
     shard_of = deal(items, n_shards)
     slots, cells = [0] * n_shards, []
-    for key in sorted(members):
+    for key in sorted(inside):
         shard = shard_of[key]
-        for cell, n in members[key]:
+        for cell, n in inside[key]:
             cells.append((cell, shard, slots[shard]))
             slots[shard] += n
     return spark.createDataFrame(cells, "cell int, shard int, first_slot long"), cells_of
 
 
 def with_cells(slim: DataFrame, cells_of: DataFrame) -> DataFrame:
-    """The cell of each row: its bundle, or its part of a large group."""
+    """The cell of each row: its bundle, or its part of a group that is an item."""
     joined = slim.join(F.broadcast(cells_of), "digest", "left")
-    part = F.pmod(F.xxhash64("id", F.lit("cell")), F.coalesce("n_cells", F.lit(1))).cast("int")
-    return joined.withColumn("cell", F.coalesce(F.col("first_cell") + part, F.col("bundle"))).drop("first_cell", "n_cells")
+    part = F.pmod(F.xxhash64("row"), F.coalesce("n_cells", F.lit(1))).cast("int")
+    cell = F.coalesce(F.col("first_cell") + part, F.pmod(F.xxhash64("digest"), F.lit(BUNDLES)).cast("int"))
+    return joined.withColumn("cell", cell).drop("first_cell", "n_cells")
 
 
-def shard(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", most: int = GROUPS) -> DataFrame:
     """(id, size, crc, shard, slot) of each row."""
     slim = cut(slim_rows(docs, id_col, text_col), "sizes")
-    cells, cells_of = schedule(slim, n_shards)
-    ordered = Window.partitionBy("cell").orderBy("id", "digest")
+    cells, cells_of = schedule(slim, n_shards, most)
+    ordered = Window.partitionBy("cell").orderBy("id", "digest", "row")
     return (
         with_cells(slim, cells_of)
         .withColumn("at", F.row_number().over(ordered) - 1)
