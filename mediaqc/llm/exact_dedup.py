@@ -3,11 +3,11 @@
 A Misra-Gries summary (Spark's frequent-items aggregate) over the digests of the normalised texts names the few digests
 that may hold a large share of all rows. Their groups are counted exactly with map-side partial aggregation, and those
 that are truly frequent are broadcast, at most ``counters`` rows, so that their rows never meet in one task. All other
-digests are grouped by an ordinary shuffle of slim rows (digest, length, id).
+digests are grouped by an ordinary shuffle of slim rows (digest, length, id, number of the row).
 
 Defined results: a null text counts as empty; empty texts are equal to each other and to texts of white space only; of
 equal rows of the largest length and the smallest id (null ids last) exactly one is kept, also when a row is repeated;
-an empty table gives an empty table; other columns are not read, so their names cannot clash.
+an empty table gives an empty table; columns of any other names are not read, or carried as they came.
 """
 
 from __future__ import annotations
@@ -15,25 +15,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediaqc.llm.common import SPACE, cut, documents, sieve, sifted, text_of
+from mediaqc.llm.common import COUNTERS, SPACE, cut, documents, forget, text_of, thinned
 
-#: Counters of the Misra-Gries summary: each digest with more than 1/COUNTERS of all rows is found.
-COUNTERS = 2000
+
+def digest_of(text_col: str):
+    return F.unhex(F.sha2(F.regexp_replace(text_of(text_col), SPACE + "+", ""), 256))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, digest of the text without white space, code points of the text)."""
-    text = text_of(text_col)
+    """(id, digest of the text without white space, code points of the text, number of the row)."""
     return docs.select(
-        F.col(id_col).alias("id"),
-        F.unhex(F.sha2(F.regexp_replace(text, SPACE + "+", ""), 256)).alias("digest"),
-        F.length(text).cast("long").alias("n_chars"),
+        F.col(id_col).alias("id"), digest_of(text_col).alias("digest"), F.length(text_of(text_col)).cast("long").alias("n_chars"), F.monotonically_increasing_id().alias("row")
     )
 
 
 def frequent(slim: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """At most ``counters`` rows: the digests that hold more than 1/counters of the rows, with winner and exact size."""
-    short = slim.select(F.xxhash64("digest").alias("short"), "digest", "n_chars", "id")
+    short = slim.select(F.xxhash64("digest").alias("short"), "digest", "n_chars", "id", "row")
     found = short.freqItems(["short"], 1.0 / counters).select(F.explode("short_freqItems").alias("short"))
     exact = (
         short.join(F.broadcast(found), "short")
@@ -45,20 +43,15 @@ def frequent(slim: DataFrame, counters: int = COUNTERS) -> DataFrame:
 
 
 def rank():
-    """Order of the rows of a group: the row that stays comes first."""
-    return F.struct((-F.col("n_chars")).alias("less"), F.col("id").isNull().alias("no_id"), F.col("id"))
+    """Order of the rows of a group: the row that stays comes first. No two rows are equal in it."""
+    return F.struct((-F.col("n_chars")).alias("less"), F.col("id").isNull().alias("no_id"), F.col("id"), F.col("row"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, digest (binary)."""
     slim = cut(digests(docs, id_col, text_col), "digests")
     winners = cut(frequent(slim, counters), "frequent-digests")
-    hot = slim.join(F.broadcast(winners), "digest")
-    best = hot.where(rank() == F.col("best"))
-    one = Window.partitionBy("digest").orderBy("id")  # rows repeated with their id: one of them stays
-    out = ["id", "keep_id", "group_size", "kept", "digest"]
-    hot_best = best.withColumn("kept", F.row_number().over(one) == 1).withColumn("keep_id", F.col("best.id"))
-    hot_rest = hot.where(rank() != F.col("best")).withColumn("kept", F.lit(False)).withColumn("keep_id", F.col("best.id"))
+    hot = slim.join(F.broadcast(winners), "digest").withColumn("kept", rank() == F.col("best")).withColumn("keep_id", F.col("best.id"))
     cold = slim.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
     group, ordered = Window.partitionBy("digest"), Window.partitionBy("digest").orderBy(rank())
     cold = (
@@ -66,26 +59,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("keep_id", F.first("id").over(ordered))
         .withColumn("group_size", F.count(F.lit(1)).over(group))
     )
-    return cold.select(out).unionByName(hot_best.select(out)).unionByName(hot_rest.select(out))
+    out = ["id", "keep_id", "group_size", "kept", "digest"]
+    found = cold.select(out).unionByName(hot.select(out))
+    found._reads = [slim, winners]
+    return found
 
 
 def keep_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they came. Only the dropped ids are moved, not the texts."""
+    """The rows of ``docs`` that stay, all columns as they came whatever their names. Texts move only where a row is repeated with its id."""
     found = exact_dedup(docs, id_col, text_col, counters)
-    lost = found.groupBy("id", "digest").agg(
-        F.count_if("kept").alias("n_kept"), F.count(F.lit(1)).alias("n_rows")
-    )
-    lost = cut(lost.where("n_kept < n_rows").select(F.col("id").alias("_lost_id"), F.col("digest").alias("_digest"), "n_kept"), "dropped")
-    text, out = text_of(text_col), docs.columns
-    keyed = docs.withColumn("_lost_id", F.col(id_col)).withColumn("_digest", F.unhex(F.sha2(F.regexp_replace(text, SPACE + "+", ""), 256)))
-    rows = sifted(keyed, sieve(lost, "_digest", "_lost_id"), "_digest", "_lost_id")
-    lost = lost.select(F.col("_lost_id").alias("_id"), F.col("_digest").alias("_key"), "n_kept")
-    match = F.col("_lost_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_key"))
-    stay = rows.where("_maybe").join(lost, match, "left_anti")
-    # ids whose row is repeated and stays once
-    ordered = Window.partitionBy("_lost_id", "_digest").orderBy(F.length(text).desc())
-    once = rows.where("_maybe").join(lost.where("n_kept > 0"), match, "left_semi").withColumn("_rn", F.row_number().over(ordered)).where("_rn = 1")
-    return rows.where("NOT _maybe").select(out).unionByName(stay.select(out)).unionByName(once.select(out))
+    per_id = found.groupBy("digest", "id").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n_rows"))
+    changed = cut(per_id.where("NOT stays OR n_rows > 1"), "dropped")
+    forget(*found._reads)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), digest_of(text_col).alias("digest"), text_of(text_col).alias("text"))
+    return thinned(rows, changed, ["digest", "id"], docs.count(), F.struct(F.length("text").alias("n"), F.col("text")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
