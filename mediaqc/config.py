@@ -80,4 +80,8 @@ PENDING = "Pending Review → Invalid (production policy)"
 CV_ANOMALY = "CV anomaly"
 CV_FLAGS = "CV forensic flags (AI unavailable)"
 INCONCLUSIVE = "Flash and Pro inconclusive; defaulting to Invalid by production policy"
+PRO_FAILED = "AI pipeline error (graceful): "
 LOAD_FAILED = "Image load failed"
+EXACT = "MD5 fingerprint matched a recent/current-batch image."
+VOTED = "Hash votes=%d/3 (pHash=%d, dHash=%d, wHash=%d)."
+SUPPORTED = "%s: score=%.3f, support=%d."

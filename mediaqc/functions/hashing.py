@@ -8,23 +8,29 @@ from pyspark.sql import functions as F
 HASHES = ("ph", "dh", "wh")
 
 
-def _half(bit, first: int, last: int) -> Column:
-    """Bits first to last (from 1) as a number, the first as the highest of 32."""
-    value = F.aggregate(F.sequence(F.lit(first), F.lit(last)), F.lit(0).cast("long"), lambda acc, i: acc * 2 + F.when(bit(i), 1).otherwise(0))
-    return value * F.lit(1 << (32 - (last - first + 1)))
+def _bits(values: Column, n: int, start: Column, bit, follow=lambda held, x: held) -> Column:
+    """The ``n`` bits of up to 32 values as a number, the first as the highest of 32. ``bit`` compares what is held, computed once, with a value."""
+    begin = F.struct(F.lit(0).cast("long").alias("acc"), start.alias("held"))
+
+    def step(s: Column, x: Column) -> Column:
+        return F.struct((s["acc"] * 2 + F.when(bit(s["held"], x), 1).otherwise(0)).alias("acc"), follow(s["held"], x).alias("held"))
+
+    return F.aggregate(values, begin, step, lambda s: s["acc"] * F.lit(1 << (32 - n)))
 
 
 def sign_hashes(vector: Column) -> dict[str, Column]:
-    """Hashes of a vector of 64: its signs, its gradients and its comparison with the median."""
+    """Hashes of a vector of 64: its signs, its gradients and its comparison with the median. Each reads the vector once."""
     e = vector.cast("array<double>")
     ordered = F.array_sort(e)
     median = (F.element_at(ordered, 32) + F.element_at(ordered, 33)) / 2
-    bits = {
-        "ph": (lambda i: F.element_at(e, i) > 0, 64),
-        "dh": (lambda i: F.element_at(e, i) < F.element_at(e, i + 1), 63),
-        "wh": (lambda i: F.element_at(e, i) > median, 64),
-    }
-    return {f"{name}_{side}": _half(bit, first, min(first + 31, n)) for name, (bit, n) in bits.items() for side, first in (("hi", 1), ("lo", 33))}
+    above = lambda held, x: x > held
+    out = {}
+    for side, first in (("hi", 1), ("lo", 33)):
+        half = F.slice(e, first, 32)
+        out[f"ph_{side}"] = _bits(half, 32, F.lit(0.0), above)
+        out[f"dh_{side}"] = _bits(F.slice(e, first + 1, 32), 32 if first == 1 else 31, F.element_at(e, first), above, lambda held, x: x)
+        out[f"wh_{side}"] = _bits(half, 32, median, above)
+    return {f"{n}_{side}": out[f"{n}_{side}"] for n in HASHES for side in ("hi", "lo")}
 
 
 def hamming(name: str, a: str = "a", b: str = "b") -> Column:

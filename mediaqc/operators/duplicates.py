@@ -3,28 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediaqc.config import Thresholds
+from mediaqc.config import EXACT, SUPPORTED, VOTED, Thresholds
 from mediaqc.functions.hashing import HASHES, hamming, whole
-from mediaqc.plans.lineage import cut
+from mediaqc.plans.lineage import cut, forget
 
-#: Bands narrower than this share their value with too many rows to prune.
-LEAST_BAND_BITS = 8
-#: With narrow bands, a table of at most so many rows is held against the other as a whole.
-MOST_BROADCAST_ROWS = 20_000
-BLOCK = 1024
+#: Of all pairs of rows, bands may bring together this share; beyond it they prune nothing.
+MOST_MET = 1 / 8
+#: Rows of a block of vectors, at least and at most, and of a matrix product.
+LEAST_BLOCK, BLOCK, PRODUCT = 256, 16_384, 512
 
 
 def exact_first(df: DataFrame, id_col: str, digest: Column) -> DataFrame:
-    """Adds first_id, the smallest id of an equal digest. Partial aggregation, so a hot digest never meets in one task."""
-    keyed = df.withColumn("_digest", digest)
-    first = keyed.groupBy("_digest").agg(F.min(id_col).alias("first_id"))
-    return keyed.join(first, "_digest").drop("_digest")
+    """Adds first_id, the smallest id of an equal digest, to rows whose columns may have any other name.
+
+    Partial aggregation, and a join of two plain exchanges, which the adaptive skew join splits at a hot digest.
+    """
+    keyed = df.select(F.struct("*").alias("row"), digest.alias("digest"), F.col(id_col).alias("id"))
+    first = cut(keyed.groupBy("digest").agg(F.min("id").alias("first_id")), "first")
+    return keyed.join(first, "digest").select("row.*", "first_id")
 
 
 def votes(t: Thresholds) -> Column:
@@ -37,71 +40,125 @@ def confidence(t: Thresholds) -> Column:
     return sum((F.greatest(F.lit(0.0), 1.0 - F.col(f"{n}_d") / F.lit(max(limit, 1))) for n, limit in limits.items()), F.lit(0.0)) / 3.0
 
 
-def _bands(h: DataFrame, t: Thresholds) -> DataFrame:
-    """A row a band. Two of three votes include ph or wh, and of T + 1 bands one is equal at a distance of T."""
-    bands = []
-    for name, limit in (("ph", t.phash), ("wh", t.whash)):
-        cuts = [64 * k // (limit + 1) for k in range(limit + 2)]
-        for k, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
-            mask = (1 << (high - low)) - 1
-            value = F.shiftrightunsigned(whole(name), low).bitwiseAND(F.lit(mask)) if high - low < 64 else whole(name)
-            bands.append(F.struct(F.lit(f"{name}{k}").alias("band"), value.alias("value")))
-    return h.withColumn("_b", F.explode(F.array(*bands))).select("*", "_b.band", "_b.value").drop("_b")
+def _cuts(limit: int) -> list[tuple[int, int]]:
+    """The bits of a hash in limit + 1 bands: at a distance of ``limit`` one of them is equal."""
+    ends = [64 * k // (limit + 1) for k in range(limit + 2)]
+    return list(zip(ends, ends[1:], strict=False))
+
+
+def _band_pairs(t: Thresholds) -> tuple[list[Column], float]:
+    """A key for each pair of bands of two hashes, and the share of all pairs of random rows that keys bring together."""
+    limits = dict(zip(HASHES, (t.phash, t.dhash, t.whash), strict=True))
+    values = {
+        n: [(F.shiftrightunsigned(whole(n), low).bitwiseAND(F.lit((1 << (high - low)) - 1)) if high - low < 64 else whole(n), high - low) for low, high in _cuts(limit)]
+        for n, limit in limits.items()
+    }
+    keys, met = [], 0.0
+    for one, other in (("ph", "dh"), ("ph", "wh"), ("dh", "wh")):
+        for i, (a, bits_a) in enumerate(values[one]):
+            for j, (b, bits_b) in enumerate(values[other]):
+                keys.append(F.xxhash64(F.lit(f"{one}{i}{other}{j}"), a, b))
+                met += 2.0 ** -(bits_a + bits_b)
+    return keys, met
+
+
+def _grid(h: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join of all rows with all, in as many cells as there are tasks: a row is sent by the root of their number."""
+    g = max(1, round(int(h.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
+    place, every = F.pmod(F.xxhash64(id_col), F.lit(g)), F.sequence(F.lit(0), F.lit(g - 1))
+    return h.withColumn("key", F.explode(F.transform(every, lambda k: place * g + k))), h.withColumn("key", F.explode(F.transform(every, lambda k: k * g + place)))
 
 
 def vote_pairs(h: DataFrame, t: Thresholds = Thresholds(), id_col: str = "seq") -> DataFrame:
-    """(l, r, ph_d, dh_d, wh_d, votes) of all rows l < r that at least ``t.votes`` (two or three) hashes bring together. Exact."""
+    """(l, r, ph_d, dh_d, wh_d, votes) of all rows l < r that at least ``t.votes`` (two or three) hashes bring together. Exact.
+
+    Two hashes agree, so that a band of one and a band of the other are equal: rows meet by pairs of bands. Thresholds that
+    leave bands of a few bits bring nearly all rows together anyway; those go through a grid of all pairs.
+    """
     if t.votes < 2:
         raise ValueError("a single vote is not enough to find pairs by bands")
-    columns = [id_col, *(f"{n}_{s}" for n in HASHES for s in ("hi", "lo"))]
-    h = h.select(*columns)
-    narrow = 64 // (max(t.phash, t.whash) + 1) < LEAST_BAND_BITS
-    small = narrow and h.count() <= MOST_BROADCAST_ROWS
-    if small:
-        pairs = h.alias("a").join(F.broadcast(h).alias("b"), F.col(f"a.{id_col}") < F.col(f"b.{id_col}"))
-    else:
-        banded = _bands(h, t)
-        pairs = banded.alias("a").join(banded.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col(f"a.{id_col}") < F.col(f"b.{id_col}")))
+    h = h.select(id_col, *(f"{n}_{s}" for n in HASHES for s in ("hi", "lo")))
+    keys, met = _band_pairs(t)
+    a, b = _grid(h, id_col) if met > MOST_MET else (h.withColumn("key", F.explode(F.array_distinct(F.array(*keys)))),) * 2
+    pairs = a.alias("a").join(b.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col(f"a.{id_col}") < F.col(f"b.{id_col}")))
     out = pairs.select(F.col(f"a.{id_col}").alias("l"), F.col(f"b.{id_col}").alias("r"), *[hamming(n).alias(f"{n}_d") for n in HASHES])
     out = out.withColumn("votes", votes(t)).where(F.col("votes") >= t.votes)
-    return out if small else out.distinct()
+    return out if met > MOST_MET else out.distinct()
 
 
 def best_match(pairs: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """(r, match_id, votes, similarity): most votes, then confidence, then the earliest."""
+    """(r, match_id, votes, similarity, and the distances): most votes, then confidence, then the earliest."""
     scored = pairs.withColumn("conf", confidence(t))
-    best = F.min(F.struct((-F.col("votes")).alias("v"), (-F.col("conf")).alias("c"), F.col("l")))
-    return scored.groupBy("r").agg(best.alias("b")).select("r", F.col("b.l").alias("match_id"), (-F.col("b.v")).alias("votes"), F.round(70.0 + -F.col("b.c") * 30.0, 2).alias("similarity"))
+    distances = [f"{n}_d" for n in HASHES]
+    best = F.min(F.struct((-F.col("votes")).alias("v"), (-F.col("conf")).alias("c"), F.col("l"), *distances))
+    found = scored.groupBy("r").agg(best.alias("b"))
+    return found.select("r", F.col("b.l").alias("match_id"), (-F.col("b.v")).alias("votes"), F.round(70.0 + -F.col("b.c") * 30.0, 2).alias("similarity"), *[F.col(f"b.{d}") for d in distances])
+
+
+def record(digests: DataFrame | None, hashes: DataFrame | None, vectors: DataFrame | None) -> DataFrame:
+    """(r, match_id, status, similarity, layer, reason): one record a duplicate, by the first kind of match that it has.
+
+    ``digests`` has r and match_id; ``hashes`` is as of best_match; ``vectors`` has r, match_id, score, votes and method.
+    """
+    kinds = []
+
+    def kind(rows, status, similarity, layer, reason):
+        what = F.struct(F.lit(len(kinds)).alias("rank"), "match_id", status.alias("status"), similarity.cast("double").alias("similarity"), F.lit(layer).alias("layer"), reason.alias("reason"))
+        kinds.append(rows.select("r", what.alias("what")))
+
+    if digests is not None:
+        kind(digests, F.lit("Exact Duplicate"), F.lit(100.0), 1, F.lit(EXACT))
+    if hashes is not None:
+        kind(hashes, F.lit("Perceptual Duplicate"), F.col("similarity"), 1, F.format_string(VOTED, "votes", *[f"{n}_d" for n in HASHES]))
+    if vectors is not None:
+        kind(vectors, F.col("method"), F.round(F.col("score") * 100, 2), 3, F.format_string(SUPPORTED, "method", "score", "votes"))
+    first = reduce(DataFrame.unionByName, kinds).groupBy("r").agg(F.min("what").alias("what"))
+    return first.select("r", *[f"what.{c}" for c in ("match_id", "status", "similarity", "layer", "reason")])
+
+
+def explained(found: DataFrame) -> DataFrame:
+    """Adds the text of a record; ``found`` has the record and original_status."""
+    match, original = F.col("match_id").cast("string"), F.col("original_status")
+    near = F.format_string("%s Matched %s. Similarity %.1f%%. Original: %s.", "reason", match, "similarity", original)
+    return found.withColumn("forensic_reasoning", F.when(F.col("layer") == 1, near).otherwise(F.format_string("%s Matched %s. Original: %s.", "reason", match, original)))
 
 
 def registered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, registered): in order, a row registers unless an earlier registered row is its duplicate.
 
     ``nodes`` has node, ``edges`` (l, r) with l < r. Done in rounds: a row with a registered earlier neighbour is a
-    duplicate; one whose earlier neighbours are all duplicates registers. Rounds follow the longest chain.
+    duplicate; one whose earlier neighbours are all duplicates registers. A round joins only what the last one decided and
+    writes only what is decided or still open, so all rounds together write each row a few times; their number follows
+    the longest chain.
     """
-    edges = cut(edges.select("l", "r").distinct(), "edges")
-    degree = edges.groupBy(F.col("r").alias("node")).agg(F.count(F.lit(1)).alias("d"))
-    waiting = cut(nodes.select("node").join(degree, "node"), "waiting")
-    done = cut(nodes.select("node").join(degree, "node", "left_anti").withColumn("registered", F.lit(True)), "done")
+    left = cut(edges.select("l", "r").distinct(), "edges")
+    degree = left.groupBy(F.col("r").alias("node")).agg(F.count(F.lit(1)).alias("d"))
+    waiting = cut(degree, "waiting")
+    now = cut(nodes.select("node").join(waiting, "node", "left_anti").withColumn("registered", F.lit(True)), "now")
+    done = now
     while not waiting.isEmpty():
-        seen = edges.join(done.withColumnRenamed("node", "l"), "l").groupBy(F.col("r").alias("node")).agg(F.max("registered").alias("hit"), F.count(F.lit(1)).alias("c"))
-        now = waiting.join(seen, "node").where(F.col("hit") | (F.col("c") == F.col("d"))).select("node", (~F.col("hit")).alias("registered"))
-        now = cut(now, "now")
-        done = cut(done.unionByName(now), "done")
-        waiting = cut(waiting.join(now, "node", "left_anti"), "waiting")
+        told = left.join(now.withColumnRenamed("node", "l"), "l").groupBy(F.col("r").alias("node")).agg(F.max("registered").alias("hit"), F.count(F.lit(1)).alias("c"))
+        both = cut(waiting.join(told, "node", "left").select("node", F.coalesce("hit", F.lit(False)).alias("hit"), (F.col("d") - F.coalesce("c", F.lit(0))).alias("d")), "told")
+        decided = F.col("hit") | (F.col("d") == 0)
+        now = cut(both.where(decided).select("node", (~F.col("hit")).alias("registered")), "now")
+        rest = cut(both.where(~decided).select("node", "d"), "waiting")
+        open_ = cut(left.join(rest.select(F.col("node").alias("r")), "r", "left_semi"), "edges")
+        forget(waiting, both, left)
+        waiting, left, done = rest, open_, done.unionByName(now)
+    forget(waiting, left)
     return done
 
 
 def cosine_pairs(vectors: DataFrame, k: int, floor: float, id_col: str = "seq", vec_col: str = "emb") -> DataFrame:
     """(l, r, cos, rank): for each row its k nearest earlier rows with a cosine of at least ``floor``.
 
-    Exact: rows are packed in blocks, each pair of blocks is one matrix product, and only its k best a row go on. A floor
-    below the ranking leaves the ranks above it as they are.
+    Exact: rows are packed in blocks, each pair of blocks goes through matrix products, and only its k best a row go on. A
+    row is sent n / BLOCK times. A floor below the ranking leaves the ranks above it as they are.
     """
     v = F.col(vec_col).cast("array<double>")
     packed = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
-    n_blocks = max(1, -(-packed.count() // BLOCK))
+    n, tasks = packed.count(), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_blocks = max(1, -(-n // BLOCK), min(-(-n // LEAST_BLOCK), round((2 * tasks) ** 0.5)))  # n_blocks ** 2 / 2 pairs
     blocks = packed.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows"))
     left = blocks.select(F.col("block").alias("a"), F.explode(F.sequence(F.col("block"), F.lit(n_blocks - 1))).alias("b"), F.col("rows").alias("x"))
     right = blocks.select(F.explode(F.sequence(F.lit(0), F.col("block"))).alias("a"), F.col("block").alias("b"), F.col("rows").alias("y"))
@@ -111,18 +168,24 @@ def cosine_pairs(vectors: DataFrame, k: int, floor: float, id_col: str = "seq",
         m = np.array([np.asarray(r["v"], np.float64) for r in rows])
         return ids, m / np.maximum(np.sqrt((m * m).sum(axis=1)), 1e-300)[:, None]
 
+    def nearest(ids, m, others, mo):
+        for at in range(0, len(ids), PRODUCT):
+            own = ids[at : at + PRODUCT]
+            s = np.round(m[at : at + PRODUCT] @ mo.T, 6)
+            i, j = np.nonzero((s >= floor) & (others[None, :] < own[:, None]))
+            o = np.lexsort((others[j], -s[i, j], i))
+            i, j = i[o], j[o]
+            first = np.searchsorted(i, np.arange(len(own)))
+            best = np.arange(len(i)) - first[i] < k
+            yield pd.DataFrame({"l": others[j[best]], "r": own[i[best]], "cos": s[i[best], j[best]]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for x, y, same in zip(pdf["x"], pdf["y"], pdf["a"] == pdf["b"], strict=True):
                 (ia, ma), (ib, mb) = unpack(x), unpack(y)
-                s = np.round(ma @ mb.T, 6)
-                for ids, others, m in ((ib, ia, s.T),) if same else ((ib, ia, s.T), (ia, ib, s)):
-                    i, j = np.nonzero((m >= floor) & (others[None, :] < ids[:, None]))
-                    o = np.lexsort((others[j], -m[i, j], i))
-                    i, j = i[o], j[o]
-                    first = np.searchsorted(i, np.arange(len(ids)))
-                    best = np.arange(len(i)) - first[i] < k
-                    yield pd.DataFrame({"l": others[j[best]], "r": ids[i[best]], "cos": m[i[best], j[best]]})
+                yield from nearest(ib, mb, ia, ma)
+                if not same:
+                    yield from nearest(ia, ma, ib, mb)
 
     found = left.join(right, ["a", "b"]).mapInPandas(run, "l long, r long, cos double")
     order = Window.partitionBy("r").orderBy(F.desc("cos"), "l")
@@ -169,7 +232,8 @@ def cluster_roots(matches: DataFrame) -> DataFrame:
     up = cut(matches.select("r", F.col("match_id").alias("root")), "roots")
     while True:
         above = up.select(F.col("r").alias("root"), F.col("root").alias("above"))
-        up = cut(up.join(above, "root", "left").select("r", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "roots")
+        after = cut(up.select("r", "root").join(above, "root", "left").select("r", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "roots")
+        forget(up)
+        up = after
         if up.where("moved").isEmpty():
             return up.select("r", "root")
-        up = up.select("r", "root")

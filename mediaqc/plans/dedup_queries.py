@@ -44,7 +44,7 @@ def hash_vote_pairs(spark, d):
 
 
 def hash_best_match(spark, d):
-    return dup.best_match(dup.vote_pairs(hashes(spark, d), T), T)
+    return dup.best_match(dup.vote_pairs(hashes(spark, d), T), T).select("r", "match_id", "votes", "similarity")
 
 
 def _registered(spark, d):
@@ -80,11 +80,32 @@ def cosine_decision(spark, d):
 
 
 def decided(first, h):
-    """The pairs (l, r, cos) that count as duplicates; ``h`` has the hashes by seq. Two equi-joins, as each row has one candidate."""
+    """The pairs (l, r, cos) that count as duplicates; ``h`` has the hashes by seq."""
+    return judged(first, h).where("method IS NOT NULL").select(F.col("r").alias("vec_id"), F.col("l").alias("match_id"), F.round(F.col("cos") * 100, 2).alias("similarity"), "votes", "method")
+
+
+def judged(first, h):
+    """The pairs (l, r, cos) with votes and method. Two equi-joins, as each row has one candidate."""
     a = h.select(F.col("seq").alias("l"), F.struct(*h.columns[1:]).alias("a"))
     b = h.select(F.col("seq").alias("r"), F.struct(*h.columns[1:]).alias("b"))
     both = first.join(a, "l").join(b, "r").withColumns({f"{n}_d": hamming(n) for n in HASHES}).withColumn("votes", dup.votes(T))
-    return both.withColumn("method", dup.cosine_method(T)).where("method IS NOT NULL").select(F.col("r").alias("vec_id"), F.col("l").alias("match_id"), F.round(F.col("cos") * 100, 2).alias("similarity"), "votes", "method")
+    return both.withColumn("method", dup.cosine_method(T))
+
+
+def first_candidates(spark, d):
+    """Each row's first candidate, all of its hash votes, and the method if that makes it a duplicate (one vote is support)."""
+    return judged(_topk(spark, d).where("place = 1"), hashes(spark, d)).select(F.col("r").alias("vec_id"), F.col("l").alias("match_id"), F.round("cos", 6).alias("cos"), "votes", "method")
+
+
+def dup_decision(spark, d):
+    """One record a duplicate: equal digests first, then hash votes, then the vectors' first candidate."""
+    e = _read(spark, d, "embeddings")
+    digest = F.when(F.col("vec_id") % 10 == 1, F.col("vec_id") - 1).otherwise(F.col("vec_id"))
+    exact = dup.exact_first(e.select("vec_id"), "vec_id", digest).where("vec_id <> first_id").select(F.col("vec_id").alias("r"), F.col("first_id").alias("match_id"))
+    h = hashes(spark, d)
+    voted = dup.best_match(dup.vote_pairs(h, T), T)
+    near = judged(_topk(spark, d).where("place = 1"), h).where("method IS NOT NULL").select("r", F.col("l").alias("match_id"), F.col("cos").alias("score"), "votes", "method")
+    return dup.record(exact, voted, near).withColumnRenamed("r", "vec_id")
 
 
 def cluster_roots(spark, d):
@@ -103,7 +124,7 @@ def cluster_report(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (exact_dup_md5, dup_status_kpi, sign_hash, hash_vote_pairs, hash_best_match, registered_rows, hash_duplicates, cosine_topk, cosine_decision, cluster_roots, cluster_report)
+    for f in (exact_dup_md5, dup_status_kpi, sign_hash, hash_vote_pairs, hash_best_match, registered_rows, hash_duplicates, cosine_topk, cosine_decision, first_candidates, dup_decision, cluster_roots, cluster_report)
 }
 
 
@@ -137,6 +158,11 @@ k AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY r ORDER BY cos DES
 t AS MATERIALIZED (SELECT k.*, row_number() OVER (PARTITION BY r ORDER BY cos DESC, l) AS place FROM k JOIN embeddings m ON m.vec_id = k.l AND m.label <> 3 WHERE cos >= 0.25::DOUBLE)
 """
 
+#: Each row's first candidate with all of its votes.
+_FIRST = """f AS MATERIALIZED (SELECT t.r AS vec_id, t.l AS match_id, cos, (ph_d <= 20)::INT + (dh_d <= 18)::INT + (wh_d <= 20)::INT AS votes,
+  CASE WHEN cos >= 0.45::DOUBLE OR cos >= 0.35::DOUBLE AND (ph_d <= 20 OR dh_d <= 18 OR wh_d <= 20) THEN 'CLIP Semantic' END AS method FROM t JOIN d ON d.l = t.l AND d.r = t.r WHERE place = 1)"""
+_BEST_D = _BEST.format("q").replace("AS similarity FROM", "AS similarity, ph_d, dh_d, wh_d FROM")
+
 ORACLE = {
     "exact_dup_md5": "SELECT doc_id, first_value(doc_id) OVER (PARTITION BY md5(text) ORDER BY doc_id) AS first_id, doc_id <> first_value(doc_id) OVER (PARTITION BY md5(text) ORDER BY doc_id) AS is_duplicate FROM documents",
     "dup_status_kpi": "WITH s AS (SELECT CASE WHEN row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) > 1 THEN 'Duplicate' ELSE 'Valid' END AS status FROM documents) SELECT status, count(*) AS n, round(count(*) * 100::DOUBLE / (SELECT count(*) FROM s), 1) AS pct FROM s GROUP BY status",
@@ -148,6 +174,12 @@ ORACLE = {
     "cosine_topk": f"WITH {_COS} SELECT r, l, cos, place FROM t WHERE place <= 24",
     "cosine_decision": f"""WITH {_COS} SELECT t.r AS vec_id, t.l AS match_id, round(cos * 100, 2) AS similarity, coalesce(votes, 0) AS votes, 'CLIP Semantic' AS method
       FROM t LEFT JOIN p ON p.l = t.l AND p.r = t.r WHERE place = 1 AND (cos >= 0.45::DOUBLE OR cos >= 0.35::DOUBLE AND coalesce(votes, 0) >= 2)""",
+    "first_candidates": f"""WITH {_COS}, {_FIRST} SELECT vec_id, match_id, cos, votes, method FROM f""",
+    "dup_decision": f"""WITH {_COS}, {_FIRST}, {_BEST_D},
+      x AS (SELECT vec_id, 0 AS rank, vec_id - 1 AS match_id, 'Exact Duplicate' AS status, 100::DOUBLE AS similarity, 1 AS layer, 'MD5 fingerprint matched a recent/current-batch image.' AS reason FROM embeddings WHERE vec_id % 10 = 1
+        UNION ALL SELECT r, 1, match_id, 'Perceptual Duplicate', similarity, 1, printf('Hash votes=%d/3 (pHash=%d, dHash=%d, wHash=%d).', votes, ph_d, dh_d, wh_d) FROM best
+        UNION ALL SELECT vec_id, 2, match_id, method, round(cos * 100, 2), 3, printf('%s: score=%.3f, support=%d.', method, cos, votes) FROM f WHERE method IS NOT NULL)
+      SELECT vec_id, match_id, status, similarity, CAST(layer AS INTEGER) AS layer, reason FROM x QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY rank) = 1""",
     "cluster_roots": f"WITH RECURSIVE {_P}, {_BEST.format('q')}, {_ROOTS} SELECT r AS vec_id, root AS cluster_id FROM roots",
     "cluster_report": f"""WITH RECURSIVE {_P}, {_BEST.format('q')}, {_ROOTS} SELECT root AS cluster_id, best.r AS duplicate_id, best.match_id AS original_id, CASE WHEN o.r IS NULL THEN 'Valid' ELSE 'Duplicate' END AS original_status,
       'Perceptual Duplicate' AS match_type, best.similarity FROM best JOIN roots ON roots.r = best.r LEFT JOIN best o ON o.r = best.match_id""",
