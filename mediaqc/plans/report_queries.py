@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mediaqc.config import Prices
 from mediaqc.functions import grids, replies, scalars
 from mediaqc.operators import reports
+from mediaqc.schemas import EXPORT, VERDICT, VERDICT_DEFAULTS, completed
 from mediaqc.sources import registry
 
 
@@ -39,6 +40,14 @@ def window_hash_join(spark, d):
     return recent.join(hashes, "user_id").select("event_id", "user_id", "label")
 
 
+def window_hashes(spark, d):
+    """Registry rows with a result in the window, by the operator itself."""
+    events = _events(spark, d)
+    results = events.join(_last(events)).select(F.col("user_id").alias("image_id"), F.col("ts").alias("processed_at"), "as_of", "event_id")
+    stored = _read(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), "label")
+    return registry.window_hashes(stored, results, F.col("as_of"), 10).select("image_id", "label", "processed_at")
+
+
 def upsert_latest(spark, d):
     rows = _events(spark, d).select("user_id", "ts", "event_id", "event_type", "value")
     return registry.upsert(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), "user_id", "ts", "event_id")
@@ -107,6 +116,17 @@ def export_join(spark, d):
     return _verdicts(spark, d)
 
 
+def export_full(spark, d):
+    """All columns of the export, by the operator itself: verdicts completed with defaults, and the input's own columns."""
+    v = _verdicts(spark, d)
+    stored = v.select(
+        F.col("doc_id").cast("int").alias("row_index"), F.concat(F.lit("D"), "doc_id").alias("pv_image_id"), F.col("status").alias("validation_status"),
+        F.when(F.col("status") == "Duplicate", 1).otherwise(4).alias("exit_layer"), (F.col("n_chars") / 8.0).alias("similarity_score"), F.lit(None).cast("string").alias("image_quality"),
+    )
+    rows = _read(spark, d, "documents").select(F.col("doc_id").cast("int").alias("row_index"), "lang", "source", F.lit("clash").alias("PV_Image_ID"))
+    return reports.export(completed(stored), rows)
+
+
 def invalid_subset(spark, d):
     return reports.in_status(_verdicts(spark, d), "Invalid", "Pending Review").select("doc_id", "status")
 
@@ -176,7 +196,7 @@ def batch_label_counts(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        window_ids, window_hash_join, upsert_latest, insert_or_ignore, original_status, layer_histogram, lenient_json, ai_cost, cost_totals, export_join, invalid_subset, dup_subset,
+        window_ids, window_hash_join, window_hashes, upsert_latest, insert_or_ignore, original_status, layer_histogram, lenient_json, ai_cost, cost_totals, export_join, export_full, invalid_subset, dup_subset,
         confusion_matrix, url_validate, limit_then_filter, recent_tail, chunk_progress, blur_8x8, line_artifact, edge_glow, hist_peaks, batch_label_counts,
     )
 }
@@ -196,7 +216,21 @@ def _at(r: int, k: int) -> str:
 _LAPLACE = ", ".join(f"{_at(r - 1, k)} + {_at(r + 1, k)} + {_at(r, k - 1)} + {_at(r, k + 1)} - 4 * {_at(r, k)}" for r in range(8) for k in range(8))
 _EDGE = ", ".join(f"e[{i}]" for i in [*range(1, 9), *range(57, 65), *range(1, 65, 8), *range(8, 65, 8)])
 
+_SQL_TYPES = {"string": "VARCHAR", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+_STORED = {
+    "pv_image_id": "'D' || doc_id", "validation_status": "status", "exit_layer": "CASE WHEN status = 'Duplicate' THEN 1 ELSE 4 END", "similarity_score": "n_chars / 8::DOUBLE",
+}
+
+
+def _default(name: str) -> str:
+    return _STORED.get(name) or ("'" + VERDICT_DEFAULTS[name] + "'" if isinstance(VERDICT_DEFAULTS[name], str) else str(VERDICT_DEFAULTS[name]))
+
+
+_EXPORTED = ", ".join(f'CAST({_default(f)} AS {_SQL_TYPES[VERDICT[f].dataType.simpleString()]}) AS "{name}"' for name, f in EXPORT)
+
 ORACLE = {
+    "window_hashes": "SELECT vec_id AS image_id, label, ts AS processed_at FROM events JOIN embeddings ON user_id = vec_id WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAYS",
+    "export_full": f"WITH {_V} SELECT lang, source, {_EXPORTED} FROM v",
     "window_ids": "SELECT DISTINCT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAYS",
     "window_hash_join": "SELECT event_id, user_id, label FROM events JOIN embeddings ON user_id = vec_id WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAYS",
     "upsert_latest": "SELECT user_id, ts, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
