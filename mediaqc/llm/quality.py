@@ -1,15 +1,16 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
-A text is hashed to a sparse vector: its words, the beginnings of its longer words, the shapes of its words (runs of
-capitals, small letters, digits and signs) and how much it repeats. All grades share the weights; ordered thresholds part
+A text is hashed to a sparse vector: its words, the first letters of its longer words, the shapes of its words (runs of
+capitals, small letters, digits and signs; of a shape the first 12 runs, as a feature: the word itself counts whole) and
+how much it repeats. All grades share the weights; ordered thresholds part
 them: P(grade >= k) is the logistic of score minus threshold k. The fit is made on the driver over the ``MOST_RATED``
 rated documents of the smallest hash of their id and, as the middle grades are rare, over those of each up to
 ``MOST_MIDDLE``; the loss is weighted back to the shares of the grades among all ratings. Vectors are made on the
 executors. All documents are then scored where they lie.
 
-Defined results: null and empty texts are the same document without words and are scored by that; rows without a rating
-are scored like others; a document with several ratings counts with the lowest, null ratings don't count; without
-ratings the weights are 0, each tail is 1/2 and everything is kept; repeated rows repeat; other columns are not read.
+Defined results: null and empty texts are the same document without words and are scored by that; a text of any length
+is read whole; rows without a rating are scored like others; a tail equal to the threshold is kept; a document with several ratings counts with the lowest, null ratings don't count; without
+ratings the weights are 0, each tail is 1/2 and everything is kept; repeated rows repeat; columns of any other names are not read, or carried as they came.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaqc.llm.common import documents, text_of
+from mediaqc.llm.common import Remembered, documents, slices, text_of
 
 DIMENSIONS = 1 << 18
 MOST_RATED = 8_000
@@ -33,7 +34,8 @@ MOST_RATED = 8_000
 MOST_MIDDLE = 4_000
 #: Words that differ in their endings alone share the weight of their first letters.
 BEGINNING = 5
-REMEMBERED = 400_000
+#: Words that a task remembers.
+REMEMBERED = 100_000
 #: Documents of the sample that must have a feature for it to get a weight (fewer in samples of under 1000).
 MOST_NEEDED = 6
 #: The same for what only documents of one middle grade have.
@@ -51,26 +53,27 @@ def _at(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token.encode()) % DIMENSIONS
 
 
-class _Places(dict):
-    """word -> (place of the word, of its shape, of its beginning or -1 for a short word), for at most REMEMBERED words."""
+#: Signs of a shape that count.
+SHAPE = 12
 
-    def __missing__(self, word: str) -> tuple[int, int, int]:
-        shape = word[:64].replace("a", "b")
-        for pattern, sign in _RUNS:
-            shape = pattern.sub(sign, shape)
-        bare = _EDGE.sub("", word.lower())
-        found = _at("w:" + bare), _at("s:" + shape[:12]), _at("p:" + bare[:BEGINNING]) if len(bare) > BEGINNING else -1
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = found
-        return found
+
+def _places(word: str) -> tuple[int, int, int]:
+    """Place of the word, of its shape, of its first letters or -1 for a short word."""
+    shape = word.replace("a", "b")
+    for pattern, sign in _RUNS:
+        shape = pattern.sub(sign, shape)
+    bare = _EDGE.sub("", word.lower())
+    return _at("w:" + bare), _at("s:" + shape[:SHAPE]), _at("p:" + bare[:BEGINNING]) if len(bare) > BEGINNING else -1
+
+
+def word_places() -> Remembered:
+    return Remembered(_places, REMEMBERED)
 
 
-_places = _Places()
 _ADJACENT, _DISTINCT, _EMPTY = _at("r:adjacent"), _at("r:distinct"), _at("r:empty")
 
 
-def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
+def vector(text: str, places_of: Remembered) -> tuple[np.ndarray, np.ndarray]:
     """Places and values of a text; a place may come several times, its values add up. One insult counts the same in a long text."""
     words = text.split()
     n = len(words)
@@ -78,7 +81,7 @@ def vector(text: str) -> tuple[np.ndarray, np.ndarray]:
         return np.array([_EMPTY], np.int32), np.array([1.0], np.float32)
     counts = Counter(words)
     k = len(counts)
-    places = np.array([_places[w] for w in counts], np.int32)
+    places = np.array([places_of[w] for w in counts], np.int32)
     tf = np.fromiter(counts.values(), np.float32, k)
     same = sum(map(str.__eq__, words, words[1:])) / n
     often, long = np.log1p(tf) / 2, places[:, 2] >= 0
@@ -198,8 +201,9 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, most: int = MO
     chosen = slim.join(F.broadcast(rated), "id").select("id", "grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [_merged(vector(t)) for t in batch.column(2).to_pylist()]
+        places_of = word_places()
+        for batch in slices(batches):
+            found = [_merged(vector(t, places_of)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([v[0].tobytes() for v in found], pa.binary()), pa.array([v[1].tobytes() for v in found], pa.binary()), batch.column(0).cast(pa.string())], names=["grade", "places", "parts", "id"])
 
     rows = chosen.mapInArrow(run, "grade int, places binary, parts binary, id string").collect()
@@ -215,21 +219,21 @@ def score(docs: DataFrame, model: Model, least_tail: float = LEAST_TAIL, grade:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     k = (len(model.thresholds) if grade is None else grade) - 1
 
-    def figures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def figures(texts: pa.Array, places_of: Remembered) -> tuple[np.ndarray, np.ndarray]:
         weights = shared.value.weights
-        found = [vector(t or "") for t in texts.to_pylist()]
+        found = [vector(t or "", places_of) for t in texts.to_pylist()]
         tails = shared.value.tails(np.array([float(weights[at] @ x) for at, x in found]).reshape(-1))
         return tails.sum(axis=1), tails[:, k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(at, 512) for at in range(0, batch.num_rows, 512)):
-                if carry:
-                    tail = figures(part.column(text_at))[1]
-                    yield part.filter(pa.array(tail >= least_tail))
-                else:
-                    expected, tail = figures(part.column(1))
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(expected), pa.array(tail), pa.array(tail >= least_tail)], names=["id", "expected_grade", "tail", "kept"])
+        places_of = word_places()
+        for part in slices(batches):
+            if carry:
+                tail = figures(part.column(text_at), places_of)[1]
+                yield part.filter(pa.array(tail >= least_tail))
+            else:
+                expected, tail = figures(part.column(1), places_of)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(expected), pa.array(tail), pa.array(tail >= least_tail)], names=["id", "expected_grade", "tail", "kept"])
 
     if carry:
         text_at = docs.columns.index(text_col)
