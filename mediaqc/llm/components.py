@@ -13,8 +13,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round halves the number of roots that have edges at least, so rounds grow with the logarithm of the nodes. Every
     step is a join or an aggregation by node that combines before the shuffle; no component meets in one task.
+
+    Defined results: repeated edges count once; an edge of a node with itself adds nothing, and a node with no other edge
+    has no row; edges with a null end are left out; no edges give an empty table; other columns are not read.
     """
-    left = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    left = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")  # null ends fail the test
     known = None
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -37,6 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
         rest = left.join(a, "a").join(b, "b").where("ra <> rb")
         rest = cut(rest.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
         forget(left)
+        if known is not None:
+            forget(known, up)
         known, left = now, rest
     if known is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -8,19 +8,23 @@ Parts that no other document has are dropped before the pairs are formed, so unr
 Documents of equal sets are one representative from the start. In a table's bucket all members are held against one
 centre; the centre then leaves and, for a few rounds, the next one follows, as long as the bucket has members that
 nothing links yet. What is left in buckets of many unrelated members (a passage that many documents share) goes an exact
-way without a cap: a prefix join on the rarest shingles with length and position filters finds each pair that can reach
-the similarity. Pairs are never expanded within a group. Candidates are first held against their sketches (a miss by
-more than six standard deviations drops a pair), then their full sets are intersected.
+way without a cap: a prefix join on the rarest shingles. Its key is a shingle and a class of set sizes; a frequent key is
+salted, so that no task holds more than a bounded part of it; the smaller set of a pair comes only by the shingles from
+which enough follow for any larger partner, and keys whose documents are all linked already are left out. Candidates are
+first held against their sketches (a miss by more than six standard deviations drops a pair), then their full sets are
+intersected.
 
 Defined results: documents without words (null, empty, white space) have an empty set, link with nothing and are their
 own component; fewer words than a shingle are one shingle; rows that share an id are one node; rows without an id link
-with nothing and are kept; an empty table gives an empty table; other columns are not read.
+with nothing and are kept; an empty table gives an empty table; columns of any other names are not read, or carried as
+they came. A group of equal sets that holds more than 1/COUNTERS of all rows meets a broadcast, all others a shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +32,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaqc.llm.common import cut, documents, forget, sieve, sifted, text_of
+from mediaqc.llm.common import COUNTERS, Remembered, cut, documents, forget, sieve, sifted, slices, text_of, thinned
 from mediaqc.llm.components import components
 
 WORDS = 5
 PERCENT = 75
 PARTS, ROWS = 18, 3
 CENTRES = 2
-REMEMBERED = 300_000
+#: Word hashes that a task remembers.
+REMEMBERED = 100_000
+#: Rows of one key of the prefix join that a task holds against the others of the key.
+SALT_ROWS = 4096
 
 _N = 2 * PARTS * ROWS
 _RANDOM = np.random.default_rng(20240607)
@@ -47,31 +54,21 @@ _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _LEAST_EQUAL = int(_N * (PERCENT / 100 - 6 * (0.75 * 0.25 / _N) ** 0.5))
 
 
-class _Hashes(dict):
-    """word -> hash, for at most REMEMBERED words."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = found
-        return found
-
-
-_hashes = _Hashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _Q
     return x ^ (x >> np.uint64(27))
 
 
-def shingles(text: str) -> np.ndarray:
+def word_hashes() -> Remembered:
+    return Remembered(xxhash.xxh3_64_intdigest, REMEMBERED)
+
+
+def shingles(text: str, hashes: Remembered) -> np.ndarray:
     """The sorted 64-bit hashes of the distinct shingles of a text."""
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     width = min(WORDS, len(h))
     out = h[: len(h) - width + 1].copy()
     for i in range(1, width):
@@ -102,16 +99,17 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     slim = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        hashes = word_hashes()
+        for part in slices(batches):
             n, digests, keys, lows = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingles(text)
+            for text in part.column(1).to_pylist():
+                s = shingles(text, hashes)
                 n.append(len(s))
                 digests.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
                 m = minhashes(s) if len(s) else None
                 keys.append(None if m is None else part_keys(m))
                 lows.append(None if m is None else (m >> np.uint64(32)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(lows, pa.binary())], names=["id", "n", "digest", "parts", "low"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(lows, pa.binary())], names=["id", "n", "digest", "parts", "low"])
 
     return slim.mapInArrow(run, "id long, n long, digest binary, parts array<long>, low binary")
 
@@ -122,25 +120,30 @@ def sets_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Data
     slim = sifted(slim, sieve(ids, "node"), "node").where("_maybe").drop("_maybe").join(ids, "node", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
-                sets = [shingles(t).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
+        hashes = word_hashes()
+        for part in slices(batches):
+            sets = [shingles(t, hashes).view(np.int64) for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
 
     return slim.mapInArrow(run, "node long, set array<long>")
 
 
 def buckets(nodes: DataFrame) -> DataFrame:
-    """(key, node, n): the table keys that several nodes have."""
+    """(key, node, n): the table keys that several nodes have. Counts are cut, so that both sides of a join are plain
+    exchanges, whose frequent keys the adaptive skew join splits."""
     parts = nodes.select("node", "n", F.posexplode("parts").alias("i", "part"))
-    shared = parts.groupBy("part").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("part")
+    shared = cut(parts.groupBy("part").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("part"), "shared")
     kept = parts.join(shared, "part").groupBy("node", "n").agg(
         F.collect_list(F.when(F.col("i") < PARTS, F.col("part"))).alias("x"), F.collect_list(F.when(F.col("i") >= PARTS, F.col("part"))).alias("y")
     )  # at most PARTS each
+    kept = cut(kept, "kept")
+    forget(shared)
     keys = kept.select("node", "n", F.explode("x").alias("x"), "y").select(F.col("node"), F.col("n"), F.col("x"), F.explode("y").alias("y"))
     keys = keys.select(F.xxhash64("x", "y").alias("key"), "node", "n")
-    several = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    return keys.join(several, "key")
+    several = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "several")
+    out = cut(keys.join(several, "key"), "buckets")
+    forget(kept, several)
+    return out
 
 
 def near(a, b):
@@ -167,63 +170,90 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
     full = likely.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     links = cut(full.where(common * 100 >= (F.size("x") + F.size("y") - common) * PERCENT).select("a", "b"), "links")
-    forget(sets)
-    forget(likely)
+    forget(sets, likely)
     return links
 
 
 def prefix_pairs(rest: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """All pairs (a, b) of ``rest`` (node, root) of different roots that can reach the similarity.
 
-    Sets that reach it share one of their n - ceil(0.75 n) + 1 rarest shingles, at a place from which enough follow.
+    Sets that reach it share one of their n - ceil(0.75 n) + 1 rarest shingles, at a place from which enough follow: of the
+    smaller set, of n shingles, at least 6/7 of n, as the other is as large at least.
     """
     sets = cut(sets_of(docs, rest.select("node"), id_col, text_col), "sets")
     rows = sets.select("node", F.size("set").alias("n"), F.explode("set").alias("s"))
-    counts = rows.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    counts = cut(rows.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "counts")
     per_node = rows.join(counts, "s").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("shared"))
     per_node = per_node.withColumn("alone", F.col("n") - F.size("shared"))
     first = (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - F.col("alone")).cast("int")
     prefix = per_node.withColumn("first", F.greatest(first, F.lit(0))).where("first > 0")
     posts = prefix.select("node", "n", "alone", F.posexplode(F.slice("shared", F.lit(1), F.col("first"))).alias("at", "x"))
     posts = posts.select(F.col("x.s").alias("s"), "node", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("left")).join(rest, "node")
-    posts = cut(posts, "prefixes")
-    a, b = (posts.select("s", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "left", "root")]) for k in "ab")
+    # sizes that reach the similarity are of one class or of neighbouring ones
+    posts = cut(posts.withColumn("band", F.floor(F.log(F.col("n") + 0.5) / F.lit(log(100 / PERCENT) + 1e-9)).cast("int")), "prefixes")
+    forget(sets, counts)
+    small = posts.where(F.col("left") * (100 + PERCENT) >= 2 * F.col("n") * PERCENT)
+    large = posts.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
+    here = small.groupBy("s", "band").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    there = large.groupBy("s", "band").agg(F.min("root").alias("lo_b"), F.max("root").alias("hi_b"))
+    apart = (F.col("lo") != F.col("hi")) | (F.col("lo_b") != F.col("hi_b")) | (F.col("lo") != F.col("lo_b"))
+    keys = cut(here.join(there, ["s", "band"]).where(apart).select("s", "band", F.ceil(F.col("c") / SALT_ROWS).cast("int").alias("salts")), "keys")
+    a = small.join(keys, ["s", "band"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    b = large.join(keys, ["s", "band"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    a, b = (x.select("s", "band", "salt", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "left", "root")]) for k, x in (("a", a), ("b", b)))
+    order = (F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("node_a") != F.col("node_b"))
     reach = F.least("left_a", "left_b") * (100 + PERCENT) >= (F.col("n_a") + F.col("n_b")) * PERCENT
-    pairs = a.join(b, "s").where((F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b")) & near(F.col("n_a"), F.col("n_b")) & reach)
-    return pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    pairs = a.join(b, ["s", "band", "salt"]).where(order & (F.col("root_a") != F.col("root_b")) & near(F.col("n_a"), F.col("n_b")) & reach)
+    found = cut(pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct(), "pairs")
+    forget(posts, keys)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component) of each row."""
     rows = cut(sketches(docs, id_col, text_col), "sketches")
-    classes = rows.where("id IS NOT NULL AND n > 0").groupBy("digest").agg(F.min("id").alias("node"))
-    nodes = rows.where("id IS NOT NULL AND n > 0").join(classes, "digest").where("id = node").dropDuplicates(["node", "digest"]).select("node", "n", "parts", "low")
-    nodes = cut(nodes, "nodes")
-    open_buckets = cut(buckets(nodes), "buckets")
-    links, roots = None, None
+    named = rows.where("id IS NOT NULL AND n > 0")
+    # equal sets are one node: partial aggregation, no join
+    classes = cut(named.groupBy("digest").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("n_rows"), F.min_by(F.struct("n", "parts", "low"), "id").alias("best")), "classes")
+    nodes = classes.select("node", "best.n", "best.parts", "best.low")
+    open_buckets = buckets(nodes)
+    links, roots, made = None, None, []
     for turn in range(CENTRES):
         if turn and open_buckets.isEmpty():
             break
         labelled = with_roots(open_buckets, roots)
         member = F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "root")
-        centre = labelled.groupBy("key").agg(F.min(member).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "c")
+        centre = cut(labelled.groupBy("key").agg(F.min(member).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "c"), "centres")
         held = cut(labelled.join(centre, "key").where("node <> c.node").select("key", "node", "n", "root", F.col("c.node").alias("c"), F.col("c.n").alias("c_n"), F.col("c.root").alias("c_root")), "held")
         pairs = held.where(F.col("root") != F.col("c_root")).where(near(F.col("n"), F.col("c_n"))).select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
         found = verified(pairs, nodes, docs, id_col, text_col)
+        made.append(found)
         links = found if links is None else links.unionByName(found)
+        forget(open_buckets, centre, roots)
         roots = components(links)
-        forget(open_buckets)
         again = with_roots(held.select("key", "node", "n"), roots)
-        several = again.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        several = cut(again.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "several")
         open_buckets = cut(again.join(several, "key").select("key", "node", "n"), "buckets")
-        forget(held)
+        forget(held, several)
     rest = cut(with_roots(open_buckets.select("node").distinct(), roots).select("node", "root"), "rest")
+    forget(open_buckets)
     if not rest.isEmpty():
-        found = verified(prefix_pairs(rest, docs, id_col, text_col), nodes, docs, id_col, text_col)
+        pairs = prefix_pairs(rest, docs, id_col, text_col)
+        found = verified(pairs, nodes, docs, id_col, text_col)
+        made.append(found)
         links = found if links is None else links.unionByName(found)
+        forget(roots, pairs)
         roots = components(links)
-    of_class = with_roots(classes, roots).select("digest", F.col("root").alias("component"))
-    return rows.join(of_class, "digest", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    of_class = cut(with_roots(classes.select("digest", "node", "n_rows"), roots).select("digest", "n_rows", F.col("root").alias("component")), "components")
+    forget(classes, rest, roots, *made)
+    out = [F.col("id"), F.col("n").alias("n_shingles"), F.col("component")]
+    hot = F.col("n_rows") * COUNTERS > F.lit(rows.count())  # fewer than COUNTERS classes
+    often = named.join(F.broadcast(of_class.where(hot)), "digest", "left")
+    seldom = often.where("component IS NULL").drop("component", "n_rows").join(of_class.where(~hot), "digest")
+    alone = rows.where("id IS NULL OR n = 0").withColumn("component", F.col("id"))
+    found = seldom.select(out).unionByName(often.where("component IS NOT NULL").select(out)).unionByName(alone.select(out))
+    found._reads = [rows, of_class]
+    return found
 
 
 def with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -234,16 +264,13 @@ def with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def keep_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one row a component, as they came."""
+    """The rows of ``docs`` that stay, one row a component, as they came whatever their columns are named."""
     found = near_duplicates(docs, id_col, text_col)
-    lost = cut(found.where("component IS NOT NULL AND id <> component").select(F.col("id").alias("_lost_id")).distinct(), "dropped")
-    again = cut(found.where("id = component").groupBy(F.col("id").alias("_lost_id")).count().where("count > 1").select("_lost_id"), "repeated")
-    touched = sieve(lost.unionByName(again), "_lost_id")
-    rows = sifted(docs.withColumn("_lost_id", F.col(id_col).cast("long")), touched, "_lost_id")
-    maybe = rows.where("_maybe").join(lost, "_lost_id", "left_anti")
-    once = maybe.join(again, "_lost_id", "left_semi").dropDuplicates(["_lost_id"])
-    out = docs.columns
-    return rows.where("NOT _maybe").select(out).unionByName(maybe.join(again, "_lost_id", "left_anti").select(out)).unionByName(once.select(out))
+    per_id = found.where("id IS NOT NULL").groupBy("id").agg((F.min("component") == F.col("id")).alias("stays"), F.count(F.lit(1)).alias("n_rows"))
+    changed = cut(per_id.where("NOT stays OR n_rows > 1"), "dropped")
+    forget(*found._reads)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    return thinned(rows, changed, ["id"], docs.count(), F.struct(F.length("text").alias("n"), F.col("text")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
