@@ -6,11 +6,13 @@ touch. Anchors are counted; one that occurs once belongs to no repeated window.
 all followed by the same anchor at the same distance, and which is all that ever precedes it, is joined with it: the
 nonbranching paths. A path is found again in each document's own coordinates as a run of joined anchors; its text is the
 same in all its occurrences, so all windows inside are repeated. Only windows that reach over the end of a path are
-hashed and counted one by one, at most 34 an occurrence. No list of occurrences is ever gathered.
+hashed and counted one by one, at most 34 an occurrence. No list of occurrences is ever gathered. Occurrences meet the
+counts of anchors and windows in joins of two plain exchanges, so that the adaptive skew join splits a frequent one.
 
 Defined results: null texts and texts without words have no words and lose none; documents shorter than a window lose
-none; rows repeated with their id are two places, so their windows are repeated; an empty table gives an empty table;
-other columns are not read.
+none; texts of any length are read whole; rows repeated with their id are two places, so their windows are repeated;
+k-mers of equal hash in a window are all anchors; an empty table gives an empty table; columns of any other names are not
+read.
 """
 
 from __future__ import annotations
@@ -24,28 +26,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaqc.llm.common import cut, documents, forget, sieve, sifted, text_of
+from mediaqc.llm.common import Remembered, cut, documents, forget, sieve, sifted, slices, text_of
 
 WINDOW = 35
 #: Words of an anchor. A window holds K of them, so that neighbouring anchors are at most K words apart.
 K = (WINDOW + 1) // 2
-REMEMBERED = 300_000
+#: Word hashes that a task remembers.
+REMEMBERED = 100_000
 
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-class _Hashes(dict):
-    """word -> hash, for at most REMEMBERED words."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = found
-        return found
-
-
-_hashes = _Hashes()
+def word_hashes() -> Remembered:
+    return Remembered(xxhash.xxh3_64_intdigest, REMEMBERED)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -58,9 +51,9 @@ def _join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def kmers(words: list[bytes], k: int = K) -> np.ndarray:
+def kmers(words: list[bytes], hashes: Remembered, k: int = K) -> np.ndarray:
     """Hashes of all k-mers: of two overlapping halves, each made the same way."""
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     return _grow(h, 1, k)
 
 
@@ -83,11 +76,11 @@ def _slide(x: np.ndarray, width: int, take) -> np.ndarray:
     return x
 
 
-def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def anchors(words: list[bytes], hashes: Remembered) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the k-mers that are the least of some window."""
     if len(words) < WINDOW:
         return np.empty(0, np.int32), np.empty(0, np.uint64)
-    h = kmers(words)
+    h = kmers(words, hashes)
     least = _slide(h, WINDOW - K + 1, np.minimum)
     wide = np.concatenate([np.zeros(WINDOW - K, np.uint64), least, np.zeros(WINDOW - K, np.uint64)])
     at = np.flatnonzero(_slide(wide, WINDOW - K + 1, np.maximum) == h)
@@ -118,8 +111,9 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
     """(did, th, marks): the repeated anchors of each document by position, and whether each is joined to the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [anchors(words_of(t)) for t in batch.column(2).to_pylist()]
+        hashes = word_hashes()
+        for batch in slices(batches):
+            found = [anchors(words_of(t), hashes) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([h.view(np.int64) for _, h in found], pa.list_(pa.int64()))], names=["did", "th", "at", "hs"])
 
     lists = cut(rows.select("did", "th", "text").mapInArrow(run, "did string, th int, at array<int>, hs array<long>").where("size(at) > 0"), "anchors")
@@ -136,8 +130,7 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
     places = lists.select("did", "th", F.explode(F.arrays_zip(F.col("at").alias("pos"), F.col("hs").alias("h"))).alias("x")).select("did", "th", "x.pos", "x.h")
     marks = places.join(known, "h").groupBy("did", "th").agg(F.sort_array(F.collect_set(F.struct("pos", "joined"))).alias("marks"))
     marks = cut(marks, "marks")
-    for t in (lists, counted, known):
-        forget(t)
+    forget(lists, counted, known)
     return marks
 
 
@@ -156,22 +149,22 @@ def repeated_windows(rows: DataFrame, marks: DataFrame) -> DataFrame:
     """(did, th, starts): the windows over ends of paths that occur elsewhere too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
-                starts, hashes = [], []
-                for text, m in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    words = words_of(text)
-                    at = doubtful(len(words), runs(m))
-                    starts.append(at.astype(np.int32))
-                    hashes.append(kmers(words, WINDOW)[at].view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(starts, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], names=["did", "th", "starts", "hs"])
+        hashes_of = word_hashes()
+        for part in slices(batches):
+            starts, hashes = [], []
+            for text, m in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                words = words_of(text)
+                at = doubtful(len(words), runs(m))
+                starts.append(at.astype(np.int32))
+                hashes.append(kmers(words, hashes_of, WINDOW)[at].view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(starts, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], names=["did", "th", "starts", "hs"])
 
     lists = cut(rows.where("_maybe").select("did", "th", "text").join(marks, ["did", "th"]).mapInArrow(run, "did string, th int, starts array<int>, hs array<long>"), "windows")
     places = lists.select("did", "th", F.explode(F.arrays_zip(F.col("starts").alias("start"), F.col("hs").alias("h"))).alias("x")).select("did", "th", "x.start", "x.h")
-    several = places.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    several = cut(places.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "several")
     found = places.join(several, "h").groupBy("did", "th").agg(F.collect_set("start").alias("starts"))
     found = cut(found, "repeated")
-    forget(lists)
+    forget(lists, several)
     return found
 
 
@@ -202,23 +195,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id_type = joined.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(at, 256) for at in range(0, batch.num_rows, 256)):
-                n, gone, shas, texts = [], [], [], []
-                for text, m, starts in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                    words = words_of(text)
-                    n.append(len(words))
-                    if m:
-                        out = mask(len(words), runs(m), starts or [])
-                        gone.append(int(out.sum()))
-                        words = [w for w, x in zip(words, out.tolist(), strict=True) if not x]
-                    else:
-                        gone.append(0)
-                    kept = b" ".join(words)
-                    shas.append(hashlib.sha256(kept).hexdigest())
-                    texts.append(kept.decode("utf-8", "replace") if with_text else None)
-                columns = [part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.string())] * with_text, names=names)
+        for part in slices(batches):
+            n, gone, shas, texts = [], [], [], []
+            for text, m, starts in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                words = words_of(text)
+                n.append(len(words))
+                if m:
+                    out = mask(len(words), runs(m), starts or [])
+                    gone.append(int(out.sum()))
+                    words = [w for w, x in zip(words, out.tolist(), strict=True) if not x]
+                else:
+                    gone.append(0)
+                kept = b" ".join(words)
+                shas.append(hashlib.sha256(kept).hexdigest())
+                texts.append(kept.decode("utf-8", "replace") if with_text else None)
+            columns = [part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.string())] * with_text, names=names)
 
     names = ["id", "n_words", "n_removed", "kept_sha256"] + ["text"] * with_text
     return joined.mapInArrow(run, f"id {id_type}, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
