@@ -106,3 +106,87 @@ def base_scores(rows: list[tuple[int, str | None]]) -> dict[int, tuple]:
         i: (held, len(words), sum(counts[w] > 0 for w in words), n, sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words))
         for i, (held, words) in split.items()
     }
+
+
+def lattice_scores(rows: list[tuple[int, str | None]], names: list[str], scores: list[float], data: dict[int, int], prior: float) -> dict[int, float]:
+    """doc_id -> log10 of the document's probability, every segmentation of every word written out."""
+    import math
+    import zlib
+    from collections import Counter
+
+    usable = [i for i, n in enumerate(names) if n and (scores[i] > -1e8 or n == "▁") and "▁" not in n[1:]]
+    p = [0.0] * len(names) + [0.0]
+    for rank, i in enumerate(sorted(usable, key=lambda i: (-scores[i], i))):
+        p[i] = 1 / (rank + 10)
+    total = sum(p)
+    p = [x / total for x in p]
+    for i in data.values():
+        p[i] = 1e-3 / len(data)
+    p[-1] = 0.01
+    p = [x / sum(p) for x in p]
+    place = {names[i]: i for i in usable}
+
+    def ways(w):
+        if not w:
+            return [[]]
+        out = [[place[w[:k]], *rest] for k in range(1, len(w) + 1) if w[:k] in place for rest in ways(w[k:])]
+        if w[0] not in place:
+            out += [[*(data[b] for b in w[0].encode()), *rest] for rest in ways(w[1:])]
+        return out
+
+    split = {}
+    for i, t in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        split[i] = (zlib.crc32(str(i).encode()) % 5 == 1, words)
+    counts = Counter(w for held, words in split.values() if not held for w in words)
+    segmented = {w: ways("▁" + w.replace("▁", "")) for _, words in split.values() for w in words}
+    expected = [0.0] * len(p)
+    for w, c in counts.items():
+        weight = [math.prod(p[x] for x in way) for way in segmented[w]]
+        for way, x in zip(segmented[w], weight, strict=True):
+            for piece in way:
+                expected[piece] += c * x / (2 * sum(weight))
+    expected[-1] = sum(not held for held, _ in split.values())
+    total = sum(expected) + sum(counts.values()) / 2 + prior
+    p = [(e + prior * x) / total for e, x in zip(expected, p, strict=True)]
+    begin = p[-1] + sum(p[i] for i in usable if names[i].startswith("▁")) + sum(counts.values()) / 2 / total
+    chance = {w: sum(math.prod(p[x] for x in way) for way in segmented[w]) + counts[w] / 2 / total / begin for w in segmented}
+    return {i: sum(math.log10(chance[w]) for w in words) + math.log10(p[-1] / begin) for i, (_, words) in split.items()}
+
+
+def mixed(rows: list[tuple], seed_order, weights=(1, 2, 3), epochs=3) -> dict:
+    """(id, source, size) -> sorted copies of each of its rows; ``seed_order`` gives the place of (id, source) in its stream."""
+    words: dict = {}
+    for _, source, size in rows:
+        words[source] = words.get(source, 0) + size
+    sources = sorted(words, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(sources)}
+    target, left, open_ = {}, float(sum(words.values())), set(sources)
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] >= epochs * words[s]}
+        if not full:
+            target |= {s: level * weight[s] for s in open_}
+            break
+        for s in full:
+            target[s] = float(epochs * words[s])
+            left -= target[s]
+        open_ -= full
+    out: dict = {}
+    for s in sources:
+        start = 0
+        for i, size in sorted(((i, n) for i, x, n in rows if x == s), key=lambda x: (seed_order(x[0], s), x[0] is not None, x[0] or 0, x[1])):
+            taken = sum(size > 0 and e * words[s] + start + size / 2 <= target[s] for e in range(epochs))
+            out.setdefault((i, s, size), []).append(taken)
+            start += size
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def longest_first(sizes: dict, n: int) -> dict:
+    """group -> shard: largest first, each to the shard with the least so far, ties to the lower number and the smaller key."""
+    load, out = [0] * n, {}
+    for key in sorted(sizes, key=lambda k: (-sizes[k], k)):
+        shard = min(range(n), key=lambda b: (load[b], b))
+        out[key] = shard
+        load[shard] += sizes[key]
+    return out

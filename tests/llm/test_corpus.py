@@ -1,10 +1,12 @@
 """Operators over the whole corpus."""
 
+import hashlib
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 from mediaqc.llm import ann, components, exact_dedup, lm_score, mixing, near_dedup, sharding, substring_dedup
@@ -174,6 +176,36 @@ def test_lattice_is_a_distribution_and_sums_all_segmentations():
     assert abs(expected @ np.array([len(n.encode()) if n[:1] != "▁" else len(n) - 1 for n in names] + [0]) - 4.0) < 1e-9
 
 
+def vocabulary_parts():
+    sp = sentencepiece.SentencePieceProcessor(model_file=lm_score.vocabulary())
+    n = sp.get_piece_size()
+    names = ["" if sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) else sp.id_to_piece(i) for i in range(n)]
+    return names, [sp.get_score(i) for i in range(n)], {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
+
+
+@pytest.mark.parametrize("head", [2, 1000])
+def test_lm_document_scores_equal_brute_force(spark, head):
+    """Every segmentation of every word written out, with the production vocabulary; words seen, rare, unknown and spelled in bytes."""
+    rnd = random.Random(4)
+    words = ["the", "cat", "sat", "onto", "mat", "zqx", "né", "日x", "▁a", "a▁", "🎉"]
+    rows = [(k, " ".join(rnd.choice(words[: 3 + k]) for _ in range(rnd.randint(0, 12)))) for k in range(12)] + [(50, None), (51, "unseen Words 🎊")]
+    want = brute.lattice_scores(rows, *vocabulary_parts(), lm_score.PRIOR)
+    got = lm_score.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), lm_score.vocabulary(), head=head).collect()
+    assert len(got) == len(rows) and all(abs(r.score - want[r.id]) < 1e-8 * max(1, abs(want[r.id])) for r in got)
+
+
+def test_long_words_one_by_one_equal_the_batch(spark, monkeypatch):
+    pieces = lm_score.read_pieces(lm_score.vocabulary())
+    words = ["international" * 7, "日本x" * 30, "z" * 200]
+    both = [(pieces.lattices(words), pieces.lattices(words, np.array([1.0, 2.0, 3.0])))]
+    monkeypatch.setattr(lm_score, "LONG", 10)
+    both.append((pieces.lattices(words), pieces.lattices(words, np.array([1.0, 2.0, 3.0]))))
+    assert np.allclose(both[0][0], both[1][0]) and np.allclose(both[0][1], both[1][1])
+    long = "abcdefghij" * 100_000
+    got = {r.id: r for r in lm_score.score_texts(spark.createDataFrame([(2, long), (3, "abc " + long[:500]), (4, None)], "doc_id long, text string"), lm_score.vocabulary()).collect()}
+    assert got[2].n_tokens == 2 and np.isfinite(got[2].score) and got[2].score < -1e4
+
+
 def test_mix(messy, spark):
     got = mixing.mix(messy).collect()
     assert len(got) == messy.count() and all(r.copies <= 3 and (r.size or r.copies == 0) for r in got)
@@ -215,6 +247,112 @@ def test_mix_meets_targets(spark):
         assert size == source_size and abs(target - w[s]) < 1e-6 * total and abs(taken - target) <= 60
 
 
+def unsigned_order(spark, rows, seed=7):
+    found = spark.createDataFrame(rows, "doc_id long, source string").select("doc_id", "source", F.xxhash64(F.lit(seed), "doc_id", "source").alias("h")).collect()
+    return {(r.doc_id, r.source): r.h & ((1 << 64) - 1) for r in found}
+
+
+def test_mix_equals_brute_force(spark):
+    """Sources of all sizes, a row repeated hundreds of times, empty texts; each source ends within half of its largest document."""
+    rnd = random.Random(9)
+    rows = [(k, " ".join("w" for _ in range(rnd.choice([0, 1, 5, 30, 200]))), rnd.choice(["a", "b", "b", "b", "c", "é", None])) for k in range(900)]
+    rows += [(5000, "x y z", "b")] * 2500 + [(5001, "t " * 40, "tiny")] + [(None, "n n", "a")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    plain = [(i, s, len(t.split())) for i, t, s in rows]
+    order = unsigned_order(spark, [(i, s) for i, s, _ in plain])
+    want = brute.mixed(plain, lambda i, s: order[i, s])
+    got: dict = {}
+    by: dict = {}
+    for r in mixing.mix(df).collect():
+        got.setdefault((r.id, r.source, r.size), []).append(r.copies)
+        x = by.setdefault(r.source, [0, 0, r.target])
+        x[0], x[1] = x[0] + r.size * r.copies, max(x[1], r.size)
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert all(abs(taken - target) <= largest / 2 + 1e-6 for taken, largest, target in by.values())
+    out = Counter((r.doc_id, r.source) for r in mixing.mixed(df).collect())
+    assert out == Counter({(i, s): sum(v) for (i, s, _), v in want.items() if sum(v)})
+
+
+def test_running_sums_by_ranges(spark):
+    df = mixing.cut(spark.range(500).select((F.col("id") * 37 % 500).alias("x"), F.lit(2).alias("y")), "t")
+    assert all(r.n == r.x and r.s == 2 * r.x for r in mixing.running(df, [F.col("x")], {"n": F.lit(1), "s": F.col("y")}).collect())
+
+
+def test_shards_equal_plain_longest_processing_time(messy, rows):
+    got = sharding.shard(messy, 5).collect()
+    sizes = Counter()
+    for _, t in rows:
+        sizes[hashlib.md5((t or "").encode()).digest()] += len((t or "").encode()) + 1
+    assert max(sizes.values()) <= sum(sizes.values()) / 5 or len(sizes) > 5
+    whole = {g for g, x in sizes.items() if x * 5 <= sum(sizes.values())}
+    if whole == set(sizes):  # no group has to be cut
+        want = brute.longest_first(sizes, 5)
+        text = dict(rows)
+        assert all(want[hashlib.md5((text[r.id] or "").encode()).digest()] == r.shard for r in got if r.id is not None)
+
+
+def test_shards_bundles_and_hot_empty_texts(spark):
+    """Few groups of their own, the rest in bundles; a third of all rows are empty texts, in many cells."""
+    rows = [(k, "") for k in range(3000)] + [(10_000 + k, f"text {k} " + "x" * (k % 97)) for k in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    slim = sharding.cut(sharding.slim_rows(df, "doc_id", "text"), "t")
+    _, cells_of = sharding.schedule(slim, 8, 50)
+    assert cells_of.count() <= 60 and cells_of.agg(F.max("n_cells")).first()[0] > 1000
+    got = sharding.shard(df, 8, most=50).collect()
+    load = Counter()
+    for r in got:
+        load[r.shard] += r.size
+    assert max(load.values()) - min(load.values()) <= 200 and len({r.shard for r in got if r.id < 3000}) == 1
+    for s in range(8):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+HELPERS = [
+    "_lost_id", "_digest", "_maybe", "_word", "_bits", "_order", "_id", "stays", "n_rows", "row", "digest", "id", "size", "tie", "m", "place", "end", "passes", "split", "times", "copy",
+    "_source", "_head", "_here", "_copy", "_times", "k", "number", "part", "component", "n", "node", "h", "best", "kept",
+]
+
+
+def test_stages_leave_columns_of_any_name_as_they_came(spark):
+    base = [(k, f"text {k % 40} a b c d e f {k % 40}", "s1" if k % 3 else "s2") for k in range(90)] + [(7, "text 7 a b c d e f 7", "s1")] * 3
+    df = spark.createDataFrame(base, "doc_id long, text string, source string")
+    named = df.withColumns({n: F.concat(F.lit(n), "doc_id") for n in HELPERS})
+    for stage in (exact_dedup.keep_exact, near_dedup.keep_near, mixing.mixed):
+        out = stage(named).collect()
+        assert out and out[0].asDict().keys() == named.first().asDict().keys()
+        assert all(r[n] == f"{n}{r.doc_id}" for r in out for n in HELPERS)
+        assert Counter(r.doc_id for r in out) == Counter(r.doc_id for r in stage(df).collect())
+
+
+def test_hot_groups_of_copies(spark):
+    """A third of all rows are one text, another tenth repeats one row: the same answers, and no window over a hot group."""
+    rows = [(k, "the same old text of this table") for k in range(700)] + [(9000, "one row that comes again and again")] * 200 + [(1000 + k, f"w{k} x{k} y{k} z{k} v{k} u{k}") for k in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = exact_dedup.exact_dedup(df, counters=20).where("kept").collect()
+    assert len(kept) == 1002 and exact_dedup.keep_exact(df).count() == 1002
+    got = {r.id: r.component for r in near_dedup.near_duplicates(df).collect()}
+    assert all(got[k] == 0 for k in range(700)) and near_dedup.keep_near(df).count() == 1002
+
+
+def test_prefix_join_of_a_shared_passage(spark, monkeypatch):
+    """Many documents that share most of their text, but not enough; salted in small parts."""
+    monkeypatch.setattr(near_dedup, "SALT_ROWS", 7)
+    monkeypatch.setattr(near_dedup, "CENTRES", 0)
+    rnd = random.Random(2)
+    passage = [f"p{k}" for k in range(70)]
+    rows = [(k, " ".join(passage[: rnd.choice([50, 60, 70])] + [f"q{k}_{j}" for j in range(rnd.choice([8, 15, 22]))])) for k in range(60)]
+    got = {r.id: (r.n_shingles, r.component) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.near_components(rows)
+
+
+def test_sieve_grows_and_keeps_all_keys(spark):
+    keys = mixing.cut(spark.range(50_000).select((F.col("id") * 3).alias("k")), "keys")
+    made = near_dedup.sieve(keys, "k")
+    marked = near_dedup.sifted(spark.range(150_000).select(F.col("id").alias("k")), made, "k")
+    assert made._words >= 50_000 * 16 // 64
+    assert marked.where("k % 3 = 0 AND NOT _maybe").isEmpty() and marked.where("k % 3 <> 0 AND _maybe").count() < 15_000
+
+
 def test_shards(messy, rows):
     got = sharding.shard(messy, 4).collect()
     assert Counter((r.id, r.size) for r in got) == Counter((i, len((t or "").encode()) + 1) for i, t in rows)
