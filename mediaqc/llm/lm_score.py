@@ -42,6 +42,8 @@ COUNTED, READ = 200_000, 32_000_000
 #: Weight of the vocabulary's own order against the counts, in tokens.
 PRIOR = 1000.0
 BEGIN = "▁"
+#: Stands for the sign inside a word, which has no piece there and goes by bytes.
+OTHER = "\ue581"
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _LN10 = log(10.0)
 
@@ -83,7 +85,12 @@ class Pieces:
         self.begin = self.p[-1] + self.p[:-1][self.begins[:-1]].sum()
 
     def reweighed(self, expected: np.ndarray, n_words: int) -> None:
-        """New weights from the expected counts of the pieces; the ``n_words`` training tokens are half their words' own."""
+        """New weights from the expected counts of the pieces without the words' own entries, and of the end.
+
+        A word's own entry starts with the weight of all its segmentations together, so in the lattice each has half of its
+        ``n_words`` occurrences.
+        """
+        expected = np.append(expected[:-1] / 2, expected[-1])
         total = expected.sum() + n_words / 2 + PRIOR
         self.p = (expected + PRIOR * self.p) / total
         self.word = 0.5 / total  # of each occurrence
@@ -98,22 +105,22 @@ class Pieces:
         return self.word / self.begin
 
     def lattices(self, words: list[str], counts: np.ndarray | None = None):
-        """Natural log of each word's marginal over its pieces; with ``counts`` the expected counts of the pieces instead,
-        in lattices where the word's own entry weighs as much as all its segmentations."""
+        """Natural log of each word's marginal over its pieces; with ``counts`` the expected counts of the pieces instead."""
         logs = np.log(np.maximum(self.p, 1e-300))
         out = np.zeros(len(words))
         expected = np.zeros(len(self.p))
         by_length: dict[int, list[int]] = {}
+        words = [BEGIN + w.replace(BEGIN, OTHER) for w in words]
         for k, w in enumerate(words):
             if len(w) <= LONG:
                 by_length.setdefault(len(w), []).append(k)
             else:
-                out[k] = self._one(BEGIN + w.replace(BEGIN, ""), logs.tolist(), None if counts is None else counts[k], expected)
+                out[k] = self._one(w, logs.tolist(), None if counts is None else counts[k], expected)
         for n, group in by_length.items():
-            size = max(1, 400_000 // ((n + 1) * self.widest))
+            size = max(1, 400_000 // (n * self.widest))
             for at in range(0, len(group), size):
                 part = group[at : at + size]
-                out[part] = self._same_length(n + 1, [BEGIN + words[k].replace(BEGIN, "") for k in part], logs, None if counts is None else counts[part], expected)
+                out[part] = self._same_length(n, [words[k] for k in part], logs, None if counts is None else counts[part], expected)
         return out if counts is None else expected
 
     def _same_length(self, n: int, words: list[str], logs: np.ndarray, counts, expected) -> np.ndarray:
@@ -158,12 +165,11 @@ class Pieces:
                 most = reach.max(axis=0)
                 back[:, i] = most + np.log(np.exp(reach - most).sum(axis=0))
         k, i, width = at // (n * m), at // m % n, at % m + 1
-        total = forward[:, n] + log(2)
-        share = counts[k] * np.exp(forward[k, i] + logs[ids] + back[k, i + width] - total[k])
+        share = counts[k] * np.exp(forward[k, i] + logs[ids] + back[k, i + width] - forward[k, n])
         expected += np.bincount(ids, share, len(expected))
         for a, pieces in spelled:
             k, i = a // (n * m), a // m % n
-            np.add.at(expected, pieces, counts[k] * np.exp(forward[k, i] + logs[pieces].sum() + back[k, i + 1] - total[k]))
+            np.add.at(expected, pieces, counts[k] * np.exp(forward[k, i] + logs[pieces].sum() + back[k, i + 1] - forward[k, n]))
         return forward[:, n]
 
     def _arcs(self, w: str, i: int):
@@ -189,14 +195,13 @@ class Pieces:
             for j, pieces in self._arcs(w, i):
                 forward[j] = _added(forward[j], here + sum(logs[p] for p in pieces))
         if count is not None:
-            total = forward[n] + log(2)
             back = {n: 0.0}  # of the next few columns
             for i in range(n - 1, -1, -1):
                 sum_here = -inf
                 for j, pieces in self._arcs(w, i):
                     rest = sum(logs[p] for p in pieces) + back[j]
                     sum_here = _added(sum_here, rest)
-                    share = float(count) * exp(forward[i] + rest - total)
+                    share = float(count) * exp(forward[i] + rest - forward[n])
                     for p in pieces:
                         expected[p] += share
                 back[i] = sum_here

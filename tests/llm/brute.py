@@ -139,7 +139,7 @@ def lattice_scores(rows: list[tuple[int, str | None]], names: list[str], scores:
         words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
         split[i] = (zlib.crc32(str(i).encode()) % 5 == 1, words)
     counts = Counter(w for held, words in split.values() if not held for w in words)
-    segmented = {w: ways("▁" + w.replace("▁", "")) for _, words in split.values() for w in words}
+    segmented = {w: ways("▁" + w.replace("▁", "\ue581")) for _, words in split.values() for w in words}
     expected = [0.0] * len(p)
     for w, c in counts.items():
         weight = [math.prod(p[x] for x in way) for way in segmented[w]]
