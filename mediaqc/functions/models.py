@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,20 +47,26 @@ def reply(model: Model, prompt: str, image: bytes, attempts: int = 3, sleep: Cal
     return None, 0, 0
 
 
-def ask_all(df: DataFrame, make: Callable[[], Model], prompt: str, image: str = "content", side: str = "flash", tasks: int = 8, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """Adds ``{side}_reply`` and its tokens. The number of tasks bounds the calls at a time. Paid calls: write the result
-    before going on, so that no later failure repeats them."""
+def ask_all(df: DataFrame, make: Callable[[], Model], prompt: str | Column, image: str = "content", side: str = "flash", tasks: int = 8, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Adds ``{side}_reply``, its tokens and ``{side}_error``. The number of tasks bounds the calls at a time. Paid calls: write
+    the result before going on, so that no later failure repeats them. ``prompt`` may differ by row. A client that cannot be
+    made gives its rows an error text instead of a reply."""
+    asked = df.withColumn("_prompt", prompt if isinstance(prompt, Column) else F.lit(prompt))
+    new = {"reply": "string", "prompt_tokens": "long", "output_tokens": "long", "error": "string"}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = make()
+        try:
+            model, failed = make(), None
+        except Exception as e:
+            model, failed = None, str(e)
         for pdf in batches:
-            found = [reply(model, prompt, b, sleep=sleep) for b in pdf[image]]
-            for name, values in zip(("reply", "prompt_tokens", "output_tokens"), zip(*found, strict=True) if found else ((), (), ()), strict=True):
-                pdf[f"{side}_{name}"] = list(values)
-            yield pdf
+            found = [(*(reply(model, p, b, sleep=sleep) if model is not None else (None, 0, 0)), failed) for p, b in zip(pdf["_prompt"], pdf[image], strict=True)]
+            for name, values in zip(new, zip(*found, strict=True) if found else [()] * len(new), strict=True):
+                pdf[f"{side}_{name}"] = pd.Series(list(values), index=pdf.index, dtype=object)
+            yield pdf.drop(columns="_prompt")
 
-    fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-    return df.repartition(tasks).mapInPandas(run, f"{fields}, {side}_reply string, {side}_prompt_tokens long, {side}_output_tokens long")
+    fields = ", ".join([f"`{n}` {t}" for n, t in df.dtypes] + [f"{side}_{n} {t}" for n, t in new.items()])
+    return asked.repartition(tasks).mapInPandas(run, fields)
 
 
 class Fake:

@@ -7,7 +7,7 @@ re-encoding, face cascades, key points) the figure is an input column instead.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -165,6 +165,27 @@ def features(rgb: np.ndarray, side: int = 960) -> tuple:
     return pixel_md5(rgb), *halves, moire(gs), score, score < 80, timestamp(gs), float(gs.std()), *edge_band(gs), peaks(small), branding(small)
 
 
+def measured(df: DataFrame, decode: Callable[[bytes], np.ndarray], content: str = "content") -> DataFrame:
+    """Adds the features of encoded images. A row without content, or whose image cannot be decoded or measured, gets
+    ``load_ok`` false and null features; it neither vanishes nor ends the job. ``decode`` gives H x W x 3 bytes."""
+    names = [f.split()[0] for f in FEATURES.split(", ")]
+
+    def one(data) -> tuple:
+        try:
+            return *features(decode(bytes(data))), True
+        except Exception:  # whatever a codec or an odd image raises
+            return *([None] * len(names)), False
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [one(b) if b is not None else (*([None] * len(names)), False) for b in pdf[content]]
+            columns = dict(zip([*names, "load_ok"], zip(*found, strict=True) if found else [()] * (len(names) + 1), strict=True))
+            yield pdf.drop(columns="load_ok", errors="ignore").assign(**{n: pd.Series(list(v), index=pdf.index, dtype=object) for n, v in columns.items()})
+
+    kept = ", ".join(f"`{n}` {t}" for n, t in df.dtypes if n != "load_ok")
+    return df.mapInPandas(run, f"{kept}, {FEATURES}, load_ok boolean")
+
+
 def extract(images: DataFrame) -> DataFrame:
     """Features of images as Spark's image source decodes them (BGR or gray), one pass an image."""
 

@@ -149,6 +149,38 @@ def registered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return done
 
 
+def screened(rows: DataFrame, t: Thresholds = Thresholds()) -> tuple[DataFrame, DataFrame]:
+    """Digests and hash votes of new rows against all earlier ones that registered: (records, new rows that register).
+
+    ``rows`` has seq (the order), image_id, md5, the halves of the hashes (null for none) and ``old``, true for stored rows,
+    which have registered. Rows of one digest have the same hashes, so the first of them decides for all: if it registers,
+    the others are its exact duplicates; else they are near-duplicates as it is, of the best registered row before each.
+    """
+    parts = [f"{n}_{s}" for n in HASHES for s in ("hi", "lo")]
+    slim = cut(rows.select("seq", "image_id", "md5", "old", *parts), "screened")
+    first = cut(slim.where("md5 IS NOT NULL").groupBy("md5").agg(F.min("seq").alias("first")), "firsts")
+    heads = slim.join(first, "md5").where("seq = first").unionByName(slim.where("md5 IS NULL").withColumn("first", F.col("seq")))
+    hashed = heads.where(reduce(lambda a, b: a & b, [F.col(p).isNotNull() for p in parts]))
+    pairs = vote_pairs(hashed.select("seq", *parts), t).join(heads.where("NOT old").select(F.col("seq").alias("r")), "r", "left_semi")
+    pairs = cut(pairs, "pairs")
+    done = cut(registered(heads.select(F.col("seq").alias("node")), pairs), "registered")
+    cached = done.where("registered").select(F.col("node").alias("l"))
+    copies = slim.where("md5 IS NOT NULL AND NOT old").join(first, "md5").where("seq <> first").select("seq", "first")
+    exact = copies.join(cached.withColumnRenamed("l", "first"), "first").select(F.col("seq").alias("r"), F.col("first").alias("match_id"))
+    others = copies.join(cached.withColumnRenamed("l", "first"), "first", "left_anti").select("seq")
+    late = slim.join(others, "seq", "left_semi").select("seq", *parts).withColumn("late", F.lit(True))
+    known = slim.join(cached.withColumnRenamed("l", "seq"), "seq", "left_semi").select("seq", *parts).withColumn("late", F.lit(False))
+    near = pairs.join(cached, "l", "left_semi")
+    if not late.isEmpty():
+        both = vote_pairs(known.unionByName(late).drop("late"), t).join(others.withColumnRenamed("seq", "r"), "r", "left_semi").join(cached, "l", "left_semi")
+        near = near.unionByName(both.select(near.columns))
+    found = record(exact, best_match(near, t), None)
+    names = slim.select(F.col("seq").alias("match_id"), F.col("image_id").alias("matched"))
+    records = found.join(names, "match_id").join(slim.select(F.col("seq").alias("r"), "image_id"), "r")
+    records = records.select("image_id", F.col("r").alias("seq"), F.col("matched").alias("match_id"), "status", "similarity", "layer", "reason")
+    return records, slim.where("NOT old").join(records.select("seq"), "seq", "left_anti").drop("old")
+
+
 def cosine_pairs(vectors: DataFrame, k: int, floor: float, id_col: str = "seq", vec_col: str = "emb") -> DataFrame:
     """(l, r, cos, rank): for each row its k nearest earlier rows with a cosine of at least ``floor``.
 
