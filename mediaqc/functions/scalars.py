@@ -17,9 +17,13 @@ def url_ok(url: Column) -> Column:
     return F.coalesce(named & scheme & host, F.lit(False))
 
 
+#: The id inside a sheet's address.
+SHEET_ID = "/d/([^/]*)"
+
+
 def sheet_id(address: Column) -> Column:
     """The id of a sheet: what follows /d/ up to the next slash, else the trimmed input."""
-    return F.when(address.contains("/d/"), F.split_part(F.split_part(address, F.lit("/d/"), F.lit(2)), F.lit("/"), F.lit(1))).otherwise(F.trim(address))
+    return F.when(address.rlike(SHEET_ID), F.regexp_extract(address, SHEET_ID, 1)).otherwise(F.trim(address))
 
 
 def image_id(source: Column, row_index: Column) -> Column:

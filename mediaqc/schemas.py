@@ -6,50 +6,137 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_KINDS = {
-    "s": T.StringType(), "i": T.IntegerType(), "l": T.LongType(), "d": T.DoubleType(), "b": T.BooleanType(), "t": T.TimestampType(),
-    "as": T.ArrayType(T.StringType()), "af": T.ArrayType(T.FloatType()),
-}
-_DEFAULTS = {"s": "", "i": 0, "d": 0.0, "b": False}
+STRING, INT, LONG, DOUBLE, BOOLEAN, TIME = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType(), T.TimestampType()
+TEXTS, FLOATS = T.ArrayType(STRING), T.ArrayType(T.FloatType())
 
-# fixed values: names, kinds and defaults other than empty, 0 or false
-_VERDICT = (
-    "pv_image_id:s validation_status:s duplicate_status:s matched_image_id:s original_status:s similarity_score:d exit_layer:i "
-    "has_face:b face_count:i is_screenshot:b is_manipulated:b has_required_branding:b branding_details:s image_quality:s "
-    "ai_confidence:d gps_lat:d gps_lon:d gps_valid:b cluster_id:s forensic_reasoning:s error_reason:s flash_model:s pro_model:s "
-    "flash_prompt_tokens:i flash_output_tokens:i flash_total_tokens:i flash_cost_usd:d flash_cost_inr:d "
-    "pro_prompt_tokens:i pro_output_tokens:i pro_total_tokens:i pro_cost_usd:d pro_cost_inr:d "
-    "total_ai_tokens:i total_ai_cost_usd:d total_ai_cost_inr:d usd_inr_rate:d processing_time_ms:i processed_at:s row_index:i"
-)
-_OTHER_DEFAULTS = {"validation_status": "Pending Review", "duplicate_status": "Unique", "usd_inr_rate": 83.0, "row_index": -1}
-_EXPORT = (
-    "PV_Image_ID:pv_image_id PV_Validation_Status:validation_status PV_Duplicate_Status:duplicate_status PV_Matched_Image_ID:matched_image_id "
-    "PV_Original_Status:original_status PV_Similarity_Score_%:similarity_score PV_Exit_Layer:exit_layer PV_Has_Face:has_face "
-    "PV_Face_Count:face_count PV_Is_Screenshot:is_screenshot PV_Is_Manipulated:is_manipulated PV_Has_Branding:has_required_branding "
-    "PV_Branding_Details:branding_details PV_Image_Quality:image_quality PV_AI_Confidence_%:ai_confidence PV_GPS_Lat:gps_lat PV_GPS_Lon:gps_lon "
-    "PV_GPS_Valid:gps_valid PV_Cluster_ID:cluster_id PV_Forensic_Reasoning:forensic_reasoning PV_Error_Reason:error_reason "
-    "PV_Flash_Model:flash_model PV_Pro_Model:pro_model PV_Flash_Total_Tokens:flash_total_tokens PV_Flash_Cost_INR:flash_cost_inr "
-    "PV_Pro_Total_Tokens:pro_total_tokens PV_Pro_Cost_INR:pro_cost_inr PV_Total_AI_Tokens:total_ai_tokens PV_Total_AI_Cost_INR:total_ai_cost_inr "
-    "PV_Processing_Time_ms:processing_time_ms PV_Processed_At:processed_at"
-)
+# fixed values: the columns of a verdict, their types and defaults
+VERDICT_COLUMNS = [
+    ("pv_image_id", STRING, ""),
+    ("validation_status", STRING, "Pending Review"),
+    ("duplicate_status", STRING, "Unique"),
+    ("matched_image_id", STRING, ""),
+    ("original_status", STRING, ""),
+    ("similarity_score", DOUBLE, 0.0),
+    ("exit_layer", INT, 0),
+    ("has_face", BOOLEAN, False),
+    ("face_count", INT, 0),
+    ("is_screenshot", BOOLEAN, False),
+    ("is_manipulated", BOOLEAN, False),
+    ("has_required_branding", BOOLEAN, False),
+    ("branding_details", STRING, ""),
+    ("image_quality", STRING, ""),
+    ("ai_confidence", DOUBLE, 0.0),
+    ("gps_lat", DOUBLE, 0.0),
+    ("gps_lon", DOUBLE, 0.0),
+    ("gps_valid", BOOLEAN, False),
+    ("cluster_id", STRING, ""),
+    ("forensic_reasoning", STRING, ""),
+    ("error_reason", STRING, ""),
+    ("flash_model", STRING, ""),
+    ("pro_model", STRING, ""),
+    ("flash_prompt_tokens", INT, 0),
+    ("flash_output_tokens", INT, 0),
+    ("flash_total_tokens", INT, 0),
+    ("flash_cost_usd", DOUBLE, 0.0),
+    ("flash_cost_inr", DOUBLE, 0.0),
+    ("pro_prompt_tokens", INT, 0),
+    ("pro_output_tokens", INT, 0),
+    ("pro_total_tokens", INT, 0),
+    ("pro_cost_usd", DOUBLE, 0.0),
+    ("pro_cost_inr", DOUBLE, 0.0),
+    ("total_ai_tokens", INT, 0),
+    ("total_ai_cost_usd", DOUBLE, 0.0),
+    ("total_ai_cost_inr", DOUBLE, 0.0),
+    ("usd_inr_rate", DOUBLE, 83.0),
+    ("processing_time_ms", INT, 0),
+    ("processed_at", STRING, ""),
+    ("row_index", INT, -1),
+]
+# fixed values: the columns of the export and what they hold
+EXPORT = [
+    ("PV_Image_ID", "pv_image_id"),
+    ("PV_Validation_Status", "validation_status"),
+    ("PV_Duplicate_Status", "duplicate_status"),
+    ("PV_Matched_Image_ID", "matched_image_id"),
+    ("PV_Original_Status", "original_status"),
+    ("PV_Similarity_Score_%", "similarity_score"),
+    ("PV_Exit_Layer", "exit_layer"),
+    ("PV_Has_Face", "has_face"),
+    ("PV_Face_Count", "face_count"),
+    ("PV_Is_Screenshot", "is_screenshot"),
+    ("PV_Is_Manipulated", "is_manipulated"),
+    ("PV_Has_Branding", "has_required_branding"),
+    ("PV_Branding_Details", "branding_details"),
+    ("PV_Image_Quality", "image_quality"),
+    ("PV_AI_Confidence_%", "ai_confidence"),
+    ("PV_GPS_Lat", "gps_lat"),
+    ("PV_GPS_Lon", "gps_lon"),
+    ("PV_GPS_Valid", "gps_valid"),
+    ("PV_Cluster_ID", "cluster_id"),
+    ("PV_Forensic_Reasoning", "forensic_reasoning"),
+    ("PV_Error_Reason", "error_reason"),
+    ("PV_Flash_Model", "flash_model"),
+    ("PV_Pro_Model", "pro_model"),
+    ("PV_Flash_Total_Tokens", "flash_total_tokens"),
+    ("PV_Flash_Cost_INR", "flash_cost_inr"),
+    ("PV_Pro_Total_Tokens", "pro_total_tokens"),
+    ("PV_Pro_Cost_INR", "pro_cost_inr"),
+    ("PV_Total_AI_Tokens", "total_ai_tokens"),
+    ("PV_Total_AI_Cost_INR", "total_ai_cost_inr"),
+    ("PV_Processing_Time_ms", "processing_time_ms"),
+    ("PV_Processed_At", "processed_at"),
+]
 
-VERDICT_FIELDS = [tuple(x.split(":")) for x in _VERDICT.split()]
-VERDICT = T.StructType([T.StructField(n, _KINDS[k]) for n, k in VERDICT_FIELDS])
-VERDICT_DEFAULTS = {n: _OTHER_DEFAULTS.get(n, _DEFAULTS[k]) for n, k in VERDICT_FIELDS}
-EXPORT = [tuple(x.rsplit(":", 1)) for x in _EXPORT.split()]
+VERDICT = T.StructType([T.StructField(name, kind) for name, kind, _ in VERDICT_COLUMNS])
+VERDICT_DEFAULTS = {name: default for name, _, default in VERDICT_COLUMNS}
 
-
-def _struct(fields: str) -> T.StructType:
-    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (x.split(":") for x in fields.split())])
-
-
-FORENSICS = _struct(
-    "has_moire:b moire_score:d has_bezel:b bezel_score:d ela_score:d is_blurry:b blur_score:d face_count:i has_gps:b gps_lat:d gps_lon:d "
-    "ss_software:b flags:as score:d is_borderline_moire:b is_photo_of_photo:b ioi_score:d ioi_signals:as"
-)
-REGISTRY = _struct("image_id:s md5:s ph_hi:l ph_lo:l dh_hi:l dh_lo:l wh_hi:l wh_lo:l seq:l created_at:t")
-VECTORS = _struct("image_id:s emb:af seq:l")
-CLUSTERS = _struct("cluster_id:s image_id:s is_original:i created_at:t")
+# fixed values
+FORENSICS = T.StructType([
+    T.StructField("has_moire", BOOLEAN),
+    T.StructField("moire_score", DOUBLE),
+    T.StructField("has_bezel", BOOLEAN),
+    T.StructField("bezel_score", DOUBLE),
+    T.StructField("ela_score", DOUBLE),
+    T.StructField("is_blurry", BOOLEAN),
+    T.StructField("blur_score", DOUBLE),
+    T.StructField("face_count", INT),
+    T.StructField("has_gps", BOOLEAN),
+    T.StructField("gps_lat", DOUBLE),
+    T.StructField("gps_lon", DOUBLE),
+    T.StructField("ss_software", BOOLEAN),
+    T.StructField("flags", TEXTS),
+    T.StructField("score", DOUBLE),
+    T.StructField("is_borderline_moire", BOOLEAN),
+    T.StructField("is_photo_of_photo", BOOLEAN),
+    T.StructField("ioi_score", DOUBLE),
+    T.StructField("ioi_signals", TEXTS),
+])
+# fixed values
+REGISTRY = T.StructType([
+    T.StructField("image_id", STRING),
+    T.StructField("md5", STRING),
+    T.StructField("ph_hi", LONG),
+    T.StructField("ph_lo", LONG),
+    T.StructField("dh_hi", LONG),
+    T.StructField("dh_lo", LONG),
+    T.StructField("wh_hi", LONG),
+    T.StructField("wh_lo", LONG),
+    T.StructField("seq", LONG),
+    T.StructField("created_at", TIME),
+])
+# fixed values
+VECTORS = T.StructType([
+    T.StructField("image_id", STRING),
+    T.StructField("emb", FLOATS),
+    T.StructField("seq", LONG),
+])
+# fixed values
+CLUSTERS = T.StructType([
+    T.StructField("cluster_id", STRING),
+    T.StructField("image_id", STRING),
+    T.StructField("is_original", INT),
+    T.StructField("created_at", TIME),
+])
 
 
 def completed(df: DataFrame, schema: T.StructType = VERDICT, defaults: dict | None = None) -> DataFrame:

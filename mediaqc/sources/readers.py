@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib.util
+import re
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -10,34 +12,34 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaqc.functions.scalars import url_ok
+from mediaqc.functions.scalars import SHEET_ID, url_ok
 
 MOST_BYTES = 20 * 1024 * 1024
 IMAGE_GLOB = "*.{jpg,jpeg,png,webp,bmp,JPG,JPEG,PNG,WEBP,BMP}"
 
 
 def read_csv(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    reader = spark.read.option("header", True)
-    return reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
+    """A table with a header line; types are looked for where no schema is given."""
+    options = {"header": True} if schema is not None else {"header": True, "inferSchema": True}
+    return spark.read.csv(path, schema=schema, **options)
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
     """The first sheet of a workbook, by the driver: a workbook is one small file. Needs openpyxl."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as e:
-        raise RuntimeError("reading workbooks needs openpyxl") from e
-    return spark.createDataFrame(pd.read_excel(path, engine="openpyxl"))
+    if importlib.util.find_spec("openpyxl") is None:
+        raise RuntimeError("reading workbooks needs openpyxl")
+    return spark.createDataFrame(pd.read_excel(path))
+
+
+#: What reads a file, by the end of its name.
+READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"csv": read_csv, "xlsx": read_excel, "xlsm": read_excel, "xls": read_excel}
 
 
 def read_table_file(spark: SparkSession, path: str) -> DataFrame:
-    """By the name's extension; anything else is refused."""
-    name = path.lower()
-    if name.endswith(".csv"):
-        return read_csv(spark, path)
-    if name.endswith((".xlsx", ".xls", ".xlsm")):
-        return read_excel(spark, path)
-    raise ValueError(f"not a table that can be read: {path}")
+    reader = READERS.get(path.rpartition(".")[2].lower())
+    if reader is None:
+        raise ValueError(f"no reader for {path}; there are readers for {', '.join(READERS)}")
+    return reader(spark, path)
 
 
 class SheetClient(Protocol):
@@ -49,15 +51,40 @@ class SheetClient(Protocol):
 
 
 def read_sheet(spark: SparkSession, client: SheetClient, address: str) -> tuple[DataFrame, str]:
-    sheet = address.split("/d/")[1].split("/")[0] if "/d/" in address else address.strip()
+    """The records of a sheet and its id; ``address`` is the id itself or any address that holds it."""
+    found = re.search(SHEET_ID, address)
+    sheet = found[1] if found else address.strip()
     return spark.createDataFrame(pd.DataFrame(client.records(sheet))), sheet
 
 
+#: Tables that a session may be asked for, by kind of source.
+SOURCES: dict[str, Callable] = {}
+
+
+def source(kind: str):
+    """Registers a reader for a kind of source."""
+
+    def add(reader: Callable) -> Callable:
+        SOURCES[kind] = reader
+        return reader
+
+    return add
+
+
+def read_source(spark: SparkSession, kind: str, *where, **options) -> DataFrame:
+    """Rows to verify from any kind of source."""
+    if kind not in SOURCES:
+        raise ValueError(f"unknown source {kind}; known are {', '.join(sorted(SOURCES))}")
+    return SOURCES[kind](spark, *where, **options)
+
+
+@source("urls")
 def url_list(spark: SparkSession, path: str) -> DataFrame:
     """Trimmed lines that begin with http."""
     return spark.read.text(path).select(F.trim("value").alias("url")).where(F.col("url").startswith("http"))
 
 
+@source("images")
 def images(spark: SparkSession, path: str) -> DataFrame:
     """Decoded images; files that cannot be decoded are left out."""
     return spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", IMAGE_GLOB).load(path).select("image.*")
@@ -67,6 +94,9 @@ def image_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", IMAGE_GLOB).load(path)
 
 
+SOURCES |= {"table": read_table_file, "sheet": lambda spark, client, address: read_sheet(spark, client, address)[0]}
+
+
 class Fetcher(Protocol):
     """Gets (content type, bytes) of a url, or raises."""
 

@@ -184,3 +184,38 @@ def test_stream(spark, tmp_path):
     got = registry.read_table(spark, out, batches.RESULTS, nested=True)
     assert {(r.image_id, r.status, r.match_id) for r in got.collect()} == {("a", "Valid", ""), ("b", "Duplicate", "a"), ("c", "Valid", ""), ("d", "Duplicate", "a"), ("e", "Valid", "")}
     assert batches.progress(got, 10).first().asDict() == {"valid": 3, "invalid": 0, "duplicate": 2, "error": 0, "done": 5, "total": 10, "left": 5}
+
+
+def test_sheets_and_sources(spark, tmp_path):
+    class Client:
+        tabs = []
+
+        def records(self, sheet):
+            return [{"sheet": sheet, "n": 1}]
+
+        def append_tab(self, sheet, title, rows):
+            self.tabs.append((title, rows))
+
+    for address in ("https://docs/x/d/abc-1/edit#gid=0", " abc-1 "):
+        assert readers.read_source(spark, "sheet", Client(), address).first().asDict() == {"sheet": "abc-1", "n": 1}
+    assert writers.write_sheet(spark.createDataFrame([(k, None) for k in range(5)], "a int, b string"), Client(), "s", "T", page=3) == 5
+    assert [(t, len(r)) for t, r in Client.tabs] == [("T", 3), ("T (2)", 3), ("T (3)", 2)] and all(r[0] == ["a", "b"] for _, r in Client.tabs) and Client.tabs[0][1][1] == [0, ""]
+    (tmp_path / "u.txt").write_text(" http://a/b \nnothing\n")
+    assert [r.url for r in readers.read_source(spark, "urls", f"file://{tmp_path}/u.txt").collect()] == ["http://a/b"]
+    with pytest.raises(ValueError, match="unknown source"):
+        readers.read_source(spark, "tape")
+    with pytest.raises(ValueError, match="no reader"):
+        readers.read_table_file(spark, "x.pdf")
+
+
+def test_small_expressions(spark):
+    from mediaqc.functions import hashing, models
+
+    row = spark.createDataFrame([("00000001ffffffff", 429, "slow", None, ["a", "", None, "b"], '{"x": "y", "n": "2"}')], "h string, code int, msg string, whole string, parts array<string>, j string")
+    hi, lo = hashing.from_hex(F.col("h"))
+    tree = replies.lenient_json(F.col("j"))
+    got = row.select(hi.alias("hi"), lo.alias("lo"), scalars.rate_limited(F.col("code"), F.col("msg")).alias("limited"), replies.joined_parts(F.col("whole"), F.col("parts")).alias("text"),
+                     replies.text(tree, "x", F.lit("")).alias("x"), replies.number(tree, "n", F.lit(0.0)).alias("n"), replies.number(tree, "none", F.lit(7.0)).alias("d"), scalars.sheet_id(F.lit("a/d/q/r")).alias("id")).first()
+    assert tuple(got) == (1, 0xFFFFFFFF, True, "ab", "y", 2.0, 7.0, "q")
+    tokens = models.token_totals(spark.createDataFrame([(3, None)], "flash_prompt_tokens long, flash_output_tokens long"), "flash").first()
+    assert tokens.flash_total_tokens == 3
