@@ -219,3 +219,21 @@ def test_small_expressions(spark):
     assert tuple(got) == (1, 0xFFFFFFFF, True, "ab", "y", 2.0, 7.0, "q")
     tokens = models.token_totals(spark.createDataFrame([(3, None)], "flash_prompt_tokens long, flash_output_tokens long"), "flash").first()
     assert tokens.flash_total_tokens == 3
+
+
+def test_stream_near_duplicates_errors_and_judge(spark, tmp_path):
+    parts = ", ".join(f"{p} long" for p in batches.PARTS)
+    schema = f"image_id string, md5 string, seq long, {parts}"
+    src, out = f"{tmp_path}/in", f"file://{tmp_path}/out"
+    h = [1 << 20, 77, 5, 6, 7, 8]
+    far = [x ^ 0xFFFFFFFF for x in h]
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    judge = lambda df: df.withColumn("status", F.when(F.col("image_id") == "f", "Invalid").otherwise("Valid"))
+    go = lambda: batches.run(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), out, f"{tmp_path}/cp", lambda s, n: F.lit(dt.datetime(2024, 1, 1 + n)), judge=judge)
+    put([("a", "m1", 1, *h), ("b", "m2", 2, h[0] ^ 3, *h[1:]), ("f", "m3", 3, *far), ("e", None, 4, *[None] * 6)])
+    go()
+    put([("c", "m4", 5, h[0], h[1] ^ 1, *h[2:]), ("d", "m1", 6, *h), ("g", "m2", 7, h[0] ^ 3, *h[1:])])
+    go()
+    got = {r.image_id: (r.status, r.match_id, r.kind) for r in registry.read_table(spark, out, batches.RESULTS, nested=True).collect()}
+    near, exact = "Perceptual Duplicate", "Exact Duplicate"
+    assert got == {"a": ("Valid", "", ""), "b": ("Duplicate", "a", near), "f": ("Invalid", "", ""), "e": ("Error", "", ""), "c": ("Duplicate", "a", near), "d": ("Duplicate", "a", exact), "g": ("Duplicate", "a", near)}
