@@ -20,14 +20,16 @@ MOST_MET = 1 / 8
 LEAST_BLOCK, BLOCK, PRODUCT = 256, 16_384, 512
 
 
-def exact_first(df: DataFrame, id_col: str, digest: Column) -> DataFrame:
-    """Adds first_id, the smallest id of an equal digest, to rows whose columns may have any other name.
+def exact_first(df: DataFrame, id_col: str, digest: Column, out: str = "first_id") -> DataFrame:
+    """Adds ``out``, the smallest id of an equal digest, to rows whose columns may have any other name.
 
     Partial aggregation, and a join of two plain exchanges, which the adaptive skew join splits at a hot digest.
     """
+    if out in df.columns:
+        raise ValueError(f"the rows have a column {out} already")
     keyed = df.select(F.struct("*").alias("row"), digest.alias("digest"), F.col(id_col).alias("id"))
-    first = cut(keyed.groupBy("digest").agg(F.min("id").alias("first_id")), "first")
-    return keyed.join(first, "digest").select("row.*", "first_id")
+    first = cut(keyed.groupBy("digest").agg(F.min("id").alias("first")), "first")
+    return keyed.join(first, "digest").select("row.*", F.col("first").alias(out))
 
 
 def votes(t: Thresholds) -> Column:

@@ -106,3 +106,22 @@ def test_cosine_decision_counts_a_single_vote(spark):
     first = spark.createDataFrame([(1, 2, 0.40), (1, 3, 0.40), (1, 4, 0.40), (1, 5, 0.46)], "l long, r long, cos double")
     got = {(r.vec_id, r.votes) for r in dedup_queries.decided(first, h).collect()}
     assert got == {(2, 1), (4, 2), (5, 0)}
+
+
+def test_exact_first_leaves_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "x", "d1", "r1"), (2, "x", "d2", "r2"), (3, "y", "d3", "r3")], "id long, text string, digest string, row string").withColumn("_digest", F.col("digest")).withColumn("first", F.lit(9))
+    got = sorted(dup.exact_first(df, "id", F.md5("text")).collect())
+    assert [tuple(r) for r in got] == [(1, "x", "d1", "r1", "d1", 9, 1), (2, "x", "d2", "r2", "d2", 9, 1), (3, "y", "d3", "r3", "d3", 9, 3)]
+    with pytest.raises(ValueError, match="already"):
+        dup.exact_first(df.withColumn("first_id", F.lit(0)), "id", F.md5("text"))
+
+
+def test_record_takes_the_first_kind(spark):
+    digests = spark.createDataFrame([(5, 1)], "r long, match_id long")
+    hashes = spark.createDataFrame([(5, 2, 3, 99.0, 0, 0, 0), (6, 2, 2, 81.5, 1, 20, 2)], "r long, match_id long, votes int, similarity double, ph_d int, dh_d int, wh_d int")
+    vectors = spark.createDataFrame([(6, 3, 0.99, 1, "CLIP Semantic"), (7, 3, 0.987654, 2, "CLIP Semantic")], "r long, match_id long, score double, votes int, method string")
+    found = dup.explained(dup.record(digests, hashes, vectors).withColumn("original_status", F.lit("Valid")))
+    got = {r.r: (r.match_id, r.status, r.similarity, r.layer, r.forensic_reasoning) for r in found.collect()}
+    assert got[5] == (1, "Exact Duplicate", 100.0, 1, "MD5 fingerprint matched a recent/current-batch image. Matched 1. Similarity 100.0%. Original: Valid.")
+    assert got[6] == (2, "Perceptual Duplicate", 81.5, 1, "Hash votes=2/3 (pHash=1, dHash=20, wHash=2). Matched 2. Similarity 81.5%. Original: Valid.")
+    assert got[7] == (3, "CLIP Semantic", 98.77, 3, "CLIP Semantic: score=0.988, support=2. Matched 3. Original: Valid.")
