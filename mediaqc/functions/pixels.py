@@ -151,9 +151,53 @@ def branding(rgb: np.ndarray, least: float = 0.015) -> bool:
     return any(x > least for x in shares)
 
 
+def oriented(rgb: np.ndarray, orientation: int) -> np.ndarray:
+    """The image upright, by the orientation that a camera noted (1 to 8; anything else leaves it as it is)."""
+    if orientation in (5, 6, 7, 8):
+        rgb = rgb.swapaxes(0, 1)
+    if orientation in (3, 4, 7, 8):
+        rgb = rgb[::-1]
+    return rgb[:, ::-1] if orientation in (2, 3, 6, 7) else rgb
+
+
+def edges(g: np.ndarray, low: float = 50, high: float = 150) -> np.ndarray:
+    """Thin edges of a gray image: ridges of the gradient that are strong, or weak and joined to strong ones."""
+    x = np.pad(g.astype(np.float64), 1, mode="edge")
+    smooth = lambda a, b, c: a + 2 * b + c
+    across = smooth(x[:-2], x[1:-1], x[2:])
+    down = smooth(x[:, :-2], x[:, 1:-1], x[:, 2:])
+    dx, dy = across[:, 2:] - across[:, :-2], down[2:] - down[:-2]
+    size = np.abs(dx) + np.abs(dy)
+    m = np.pad(size, 1)
+    h, w = g.shape
+    side = lambda r, c: m[1 + r : 1 + r + h, 1 + c : 1 + c + w]
+    # the neighbours along the gradient, in one of four directions
+    slope = np.abs(dy) / np.maximum(np.abs(dx), 1e-12)
+    flat, steep, same = slope < np.tan(np.pi / 8), slope > np.tan(3 * np.pi / 8), dx * dy > 0
+    ahead = np.where(flat, side(0, 1), np.where(steep, side(1, 0), np.where(same, side(1, 1), side(1, -1))))
+    behind = np.where(flat, side(0, -1), np.where(steep, side(-1, 0), np.where(same, side(-1, -1), side(-1, 1))))
+    ridge = (size > behind) & (size >= ahead)
+    weak, found = ridge & (size > low), ridge & (size > high)
+    rows, columns = np.nonzero(found)
+    while len(rows):  # only what was reached last spreads on
+        near = np.stack([(rows + r, columns + c) for r in (-1, 0, 1) for c in (-1, 0, 1) if r or c], 1).reshape(2, -1)
+        near = near[:, (near[0] >= 0) & (near[0] < h) & (near[1] >= 0) & (near[1] < w)]
+        fresh = np.zeros_like(found)
+        fresh[near[0], near[1]] = True
+        fresh &= weak & ~found
+        found |= fresh
+        rows, columns = np.nonzero(fresh)
+    return found
+
+
+def poster(g: np.ndarray, share: float = 0.18) -> bool:
+    """Print and posters have edges nearly everywhere."""
+    return bool(g.size) and float(edges(g).mean()) > share
+
+
 FEATURES = (
     "md5 string, ph_hi long, ph_lo long, dh_hi long, dh_lo long, wh_hi long, wh_lo long, raw_moire double, blur_score double, is_blurry boolean, "
-    "has_timestamp boolean, gray_std double, edge_mean double, edge_std double, hist_peaks int, has_branding_colors boolean"
+    "has_timestamp boolean, gray_std double, edge_mean double, edge_std double, hist_peaks int, has_branding_colors boolean, poster boolean"
 )
 
 
@@ -162,7 +206,7 @@ def features(rgb: np.ndarray, side: int = 960) -> tuple:
     g, gs = gray(rgb), gray(small)
     halves = [x for f in (phash, dhash, whash) for x in divmod(f(g), 1 << 32)]
     score = blur(gs)
-    return pixel_md5(rgb), *halves, moire(gs), score, score < 80, timestamp(gs), float(gs.std()), *edge_band(gs), peaks(small), branding(small)
+    return pixel_md5(rgb), *halves, moire(gs), score, score < 80, timestamp(gs), float(gs.std()), *edge_band(gs), peaks(small), branding(small), poster(gs)
 
 
 def measured(df: DataFrame, decode: Callable[[bytes], np.ndarray], content: str = "content") -> DataFrame:

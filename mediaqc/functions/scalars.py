@@ -68,3 +68,8 @@ def throughput(done: Column, total: Column, elapsed: Column) -> tuple[Column, Co
     """Rows a second (0 in the first second) and the seconds that remain (null without a rate)."""
     rate = F.when(elapsed > 1, done / elapsed).otherwise(F.lit(0.0))
     return rate, F.when(rate > 0, (total - done) / rate)
+
+
+def screenshot_software(software: Column) -> Column:
+    """The name of a program that takes pictures of screens."""
+    return F.coalesce(F.lower(software).rlike("screenshot|screen capture|grab"), F.lit(False))

@@ -255,6 +255,15 @@ def keypoint_scan(cands: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
     return hits.groupBy("r").agg(first).select("r", F.col("b.l").alias("match_id"), F.greatest("b.cos", "b.kp").alias("score"), F.format_string("ORB Multi-Angle (%d inliers)", "b.inliers").alias("method"))
 
 
+def recent(pairs: DataFrame, places: DataFrame, n: int) -> DataFrame:
+    """The pairs (l, r) whose l is among the ``n`` rows before r: what a store that forgets its oldest images still holds.
+
+    ``places`` has seq and place, dense in the order in which images were stored.
+    """
+    l, r = (places.select(F.col("seq").alias(k), F.col("place").alias(f"place_{k}")) for k in "lr")
+    return pairs.join(l, "l").join(r, "r").where((F.col("place_l") < F.col("place_r")) & (F.col("place_r") - F.col("place_l") <= n)).select(*pairs.columns)
+
+
 def face_veto(t: Thresholds = Thresholds()) -> Column:
     """Faces that differ cancel a match unless the scene matches strongly; an unknown similarity (null) never does."""
     strong = F.col("method").startswith("ORB") & (F.col("votes") >= t.strong_inliers) & (F.col("score") >= t.strong_score)

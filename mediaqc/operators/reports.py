@@ -42,6 +42,17 @@ def present(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[c for c in columns if c in df.columns])
 
 
+def shown(status: Column, names: dict[str, str], other: str = "") -> Column:
+    """What is shown for a status: a style, a badge or an icon."""
+    pairs = [F.lit(x) for pair in names.items() for x in pair]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), status), F.lit(other))
+
+
+def in_chunks(df: DataFrame, size: int, row_index: str = "row_index") -> DataFrame:
+    """Adds ``chunk``, rows in the order in which chunks are appended: by chunk, then by index."""
+    return df.withColumn("chunk", F.floor(F.col(row_index) / size).cast("long")).orderBy("chunk", row_index)
+
+
 def bound(df: DataFrame, url: str, row_index: str, limit: int = 0, only_http: bool = True) -> DataFrame:
     """Row limit first, then the url filter, then dense numbers from 0 in the old order."""
     if limit > 0:

@@ -18,7 +18,7 @@ from mediaqc.schemas import completed
 from mediaqc.sources import readers, registry
 
 #: What detectors outside this engine would give; rows that lack them count as unremarkable.
-DETECTED = {"poster": False, "has_bezel": False, "bezel_score": 0.0, "ela_score": 0.0, "ss_software": False, "face_count": 1}
+DETECTED = {"has_bezel": False, "bezel_score": 0.0, "ela_score": 0.0, "ss_software": False, "face_count": 1}
 
 
 @dataclass

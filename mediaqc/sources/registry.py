@@ -48,6 +48,29 @@ def insert_if_absent(old: DataFrame, new: DataFrame, key: str, *order: str) -> D
     return old.unionByName(first.join(old.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
+def add_members(clusters: DataFrame, duplicates: DataFrame, at: Column) -> DataFrame:
+    """``clusters`` and a member for each duplicate (cluster_id, image_id) that is not in it yet. Members are never originals."""
+    new = duplicates.select("cluster_id", "image_id", F.lit(0).alias("is_original"), at.alias("created_at")).dropDuplicates(["cluster_id", "image_id"])
+    return clusters.unionByName(new.join(clusters.select("cluster_id", "image_id"), ["cluster_id", "image_id"], "left_anti"))
+
+
+def add_vectors(vectors: DataFrame, new: DataFrame) -> DataFrame:
+    """``vectors`` (image_id, emb, seq) and the rows of ``new`` that have a vector and are not in it yet, scaled to length 1.
+
+    All rows that are no duplicates by digest or votes belong here, also those that turn out duplicates by their vector, as
+    later rows are compared with them too.
+    """
+    length = F.sqrt(F.aggregate("emb", F.lit(0.0), lambda s, x: s + x * x)) + 1e-10
+    unit = new.where(F.col("emb").isNotNull()).withColumn("length", length)
+    unit = unit.select("image_id", F.zip_with("emb", F.array_repeat("length", F.size("emb")), lambda x, n: (x / n).cast("float")).alias("emb"), "seq")
+    return insert_if_absent(vectors, unit, "image_id", "seq")
+
+
+def unchecked(late: DataFrame, checked: DataFrame, *keys: str) -> DataFrame:
+    """The candidates that came late and are still to be looked at."""
+    return late.join(checked.select(*keys), list(keys), "left_anti")
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType, spare: str | None = None, nested: bool = False) -> DataFrame:
     """A stored table, else its spare copy, else an empty one; ``nested`` if it is a folder of tables."""
     fs = spark._jvm.org.apache.hadoop.fs

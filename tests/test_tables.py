@@ -237,3 +237,39 @@ def test_stream_near_duplicates_errors_and_judge(spark, tmp_path):
     got = {r.image_id: (r.status, r.match_id, r.kind) for r in registry.read_table(spark, out, batches.RESULTS, nested=True).collect()}
     near, exact = "Perceptual Duplicate", "Exact Duplicate"
     assert got == {"a": ("Valid", "", ""), "b": ("Duplicate", "a", near), "f": ("Invalid", "", ""), "e": ("Error", "", ""), "c": ("Duplicate", "a", near), "d": ("Duplicate", "a", exact), "g": ("Duplicate", "a", near)}
+
+
+def test_orientation_and_edges():
+    a = np.arange(6).reshape(2, 3)
+    up = {1: a, 2: a[:, ::-1], 3: a[::-1, ::-1], 4: a[::-1], 5: a.T, 6: np.rot90(a, -1), 7: np.rot90(a, 2).T, 8: np.rot90(a)}
+    assert all(np.array_equal(pixels.oriented(a, k), v) for k, v in up.items()) and np.array_equal(pixels.oriented(a, 0), a)
+    g = np.zeros((40, 40), np.uint8)
+    g[:, 20:] = 200
+    found = pixels.edges(g)
+    assert found.sum() == 40 and len(set(np.nonzero(found)[1])) == 1 and not pixels.poster(g)
+    ramp = np.zeros((40, 40), np.uint8)
+    ramp[:, 20:] = np.linspace(20, 200, 40).astype(np.uint8)[:, None]  # weak at one end, strong at the other: one edge
+    assert pixels.edges(ramp).sum() > 30 and pixels.edges(np.full((9, 9), 7, np.uint8)).sum() == 0
+    lines = np.tile(np.array([0, 0, 0, 255, 255, 255], np.uint8), (60, 10))
+    assert pixels.poster(lines)
+
+
+def test_stored_members_vectors_and_recency(spark):
+    from mediaqc.operators import duplicates
+
+    at = F.lit(dt.datetime(2024, 1, 1))
+    clusters = spark.createDataFrame([], schemas.CLUSTERS)
+    one = registry.add_members(clusters, spark.createDataFrame([("c", "a"), ("c", "a"), ("c", "b")], "cluster_id string, image_id string"), at)
+    two = registry.add_members(one, spark.createDataFrame([("c", "b"), ("d", "b")], "cluster_id string, image_id string"), at)
+    assert sorted((r.cluster_id, r.image_id, r.is_original) for r in two.collect()) == [("c", "a", 0), ("c", "b", 0), ("d", "b", 0)]
+    new = spark.createDataFrame([("a", [3.0, 4.0], 1), ("a", [1.0, 0.0], 2), ("b", None, 3)], "image_id string, emb array<float>, seq long")
+    got = registry.add_vectors(registry.add_vectors(spark.createDataFrame([], schemas.VECTORS), new), new).collect()
+    assert [(r.image_id, r.seq) for r in got] == [("a", 1)] and abs(got[0].emb[0] - 0.6) < 1e-6
+    late = registry.unchecked(spark.createDataFrame([(1,), (2,)], "l long"), spark.createDataFrame([(1,)], "l long"), "l")
+    assert [r.l for r in late.collect()] == [2]
+    places = spark.range(10).select(F.col("id").alias("seq"), F.col("id").alias("place"))
+    pairs = spark.createDataFrame([(1, 4), (2, 4), (3, 4), (5, 4)], "l long, r long")
+    assert sorted(r.l for r in duplicates.recent(pairs, places, 2).collect()) == [2, 3]
+    shown = spark.createDataFrame([("Valid",), ("?",), (None,)], "s string").select(reports.shown(F.col("s"), {"Valid": "ok"}, "-").alias("x"))
+    assert [r.x for r in shown.collect()] == ["ok", "-", "-"]
+    assert [r.chunk for r in reports.in_chunks(spark.range(5).withColumnRenamed("id", "row_index"), 2).collect()] == [0, 0, 1, 1, 2]
