@@ -1,4 +1,10 @@
-"""From raw documents to token ids. Each stage reads all that the one before it kept."""
+"""From raw documents to token ids. Each stage reads all that the one before it kept.
+
+Defined results of all stages: null texts count as empty; texts of any length are read whole; an empty table gives an empty
+table; further columns are carried as they came whatever their names (not by the last stage, which returns ids); nulls in any
+other column are ordinary values, and rows without an id are documents of their own. What each does with empty texts, ties
+and repeated rows stands with it.
+"""
 
 from __future__ import annotations
 
@@ -12,27 +18,42 @@ ORACLE_SQL = None
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go.
+
+    Empty texts are judged as one like any other; a tail equal to the threshold stays; repeated rows are judged alike.
+    """
     return quality.score(docs, quality.production(spark, docs, sf_dir), carry=True)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays."""
+    """One row of each group of equal texts stays: the longest, then the smallest id, null ids last; of repeated rows one.
+
+    Empty texts and those of white space only are one group.
+    """
     return exact_dedup.keep_exact(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, that of the smallest id; of rows that repeat an id one.
+
+    Texts without words and rows without an id are like nothing and stay.
+    """
     return near_dedup.keep_near(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it: not at all, once or repeated."""
+    """Each document as often as the mix of sources takes it: not at all, once or repeated.
+
+    Texts without words are not taken; the null source is one of its own; repeated rows count one by one.
+    """
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each row, with digests of the ids and of the bytes decoded from them."""
+    """The token ids of each row, with digests of the ids and of the bytes decoded from them.
+
+    An empty text has no ids; repeated rows repeat.
+    """
     return bpe.round_trip(docs, *bpe.vocabulary(), with_ids=True).withColumnRenamed("id", "doc_id")
 
 

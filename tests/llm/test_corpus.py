@@ -139,6 +139,23 @@ def test_ann_third_of_equal_vectors(spark):
     assert hits / (20 * 60) >= 0.97
 
 
+def test_ann_recall_on_the_embeddings(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.v for r in rows])
+    got = {}
+    for r in ann.query(spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    hits = 0
+    for q, found in got.items():
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        best = set(ids[np.lexsort((ids, -s))[:20]].tolist())
+        hits += len(best & {i for i, _ in found.values()})
+        assert sorted(found) == list(range(1, 21)) and all(abs(s[ids == i][0] - v) < 1e-12 for i, v in found.values())
+    assert set(got) == set(ids[ids % 20 == 0].tolist()) and hits / (20 * len(got)) >= 0.9
+
+
 def test_lm(messy, spark):
     named = messy.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     data = [(r.doc_id, r.text) for r in named.select("doc_id", "text").collect()]
