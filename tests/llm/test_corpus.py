@@ -219,8 +219,10 @@ def test_long_words_one_by_one_equal_the_batch(spark, monkeypatch):
     both.append((pieces.lattices(words), pieces.lattices(words, np.array([1.0, 2.0, 3.0]))))
     assert np.allclose(both[0][0], both[1][0]) and np.allclose(both[0][1], both[1][1])
     long = "abcdefghij" * 100_000
-    got = {r.id: r for r in lm_score.score_texts(spark.createDataFrame([(2, long), (3, "abc " + long[:500]), (4, None)], "doc_id long, text string"), lm_score.vocabulary()).collect()}
-    assert got[2].n_tokens == 2 and np.isfinite(got[2].score) and got[2].score < -1e4
+    got = {r.id: r for r in lm_score.score_texts(spark.createDataFrame([(7, long), (2, "abc " + long[:500]), (4, None)], "doc_id long, text string"), lm_score.vocabulary()).collect()}
+    # held out, so the word has no entry of its own, but pieces alone
+    assert got[7].held_out and got[7].n_tokens == 2 and np.isfinite(got[7].score) and got[7].score < -1e4
+    assert not got[2].held_out and got[2].n_known == 3 and -20 < got[2].score < 0
 
 
 def test_mix(messy, spark):
