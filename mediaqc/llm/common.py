@@ -45,10 +45,11 @@ class Remembered(dict):
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches a few rows at a time, so that what Python makes of them is small."""
+    """The batches a few rows at a time, so that what Python makes of them is small; at the end the worker gives back what Arrow held."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 #: Bits a key of a sieve, and words of 64 bits at most: 134 million bits, about 100 MB as a broadcast table.
