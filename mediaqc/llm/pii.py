@@ -10,7 +10,8 @@ Positions are found without any Python: splitting by the pattern gives the gaps
 gap and match lengths give the starts, in code points.
 
 Defined results: a null or empty text has no spans; a text of any length is read whole; overlapping spans of different
-kinds all stay; each row is judged alone, so repeated rows repeat; other columns are not read.
+kinds all stay; each row is judged alone, so repeated rows repeat; other columns are not read. The counts of a text without
+spans are 0 and its digest is that of the empty string.
 """
 
 from __future__ import annotations
@@ -161,11 +162,22 @@ def spelled(spans: Column, kinds: list[Kind] = KINDS) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def query(spark, sf_dir: str) -> DataFrame:
-    found = find_spans(documents(spark, sf_dir))
+def how_many(k: int) -> Column:
+    """The number of spans of kind ``k``. The lambda has one parameter: Spark gives a second one the place of the element."""
+    return F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k].name}")
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """(doc_id, a count for each base kind, digest of the base spans, all spans, counts of the added kinds, scores)."""
+    found = find_spans(docs)
     n_base = sum(kind.base for kind in KINDS)
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{kind.name}") for k, kind in enumerate(KINDS)]
+    counts = [how_many(k) for k in range(len(KINDS))]
     base = F.filter("spans", lambda x: x["kind"] < n_base)
     return found.select(
-        F.col("id").alias("doc_id"), *counts, F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"), F.transform("spans", lambda x: x["score"]).alias("scores")
-    )
+        F.col("id").alias("doc_id"), *counts[:n_base], F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"),
+        *counts[n_base:], F.transform("spans", lambda x: x["score"]).alias("scores"),
+    )
+
+
+def query(spark, sf_dir: str) -> DataFrame:
+    return report(documents(spark, sf_dir))

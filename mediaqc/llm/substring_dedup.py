@@ -5,8 +5,9 @@ hash is taken (an anchor, about one word in ten), so that equal windows have an
 touch. Anchors are counted; one that occurs once belongs to no repeated window. A repeated anchor whose occurrences are
 all followed by the same anchor at the same distance, and which is all that ever precedes it, is joined with it: the
 nonbranching paths. A path is found again in each document's own coordinates as a run of joined anchors; its text is the
-same in all its occurrences, so all windows inside are repeated. Only windows that reach over the end of a path are
-hashed and counted one by one, at most 34 an occurrence. No list of occurrences is ever gathered. Occurrences meet the
+same in all its occurrences, so all windows inside are repeated: two anchors that touch, hashed apart, cover each step of it.
+Only windows that reach over the end of a path are counted one by one, at most 34 an occurrence; at their coordinates the
+source is read again, and a second hash of its words verifies what the first says. No list of occurrences is ever gathered. Occurrences meet the
 counts of anchors and windows in joins of two plain exchanges, so that the adaptive skew join splits a frequent one.
 
 Defined results: null texts and texts without words have no words and lose none; documents shorter than a window lose
@@ -31,14 +32,16 @@ from mediaqc.llm.common import Remembered, cut, documents, forget, sieve, sifted
 WINDOW = 35
 #: Words of an anchor. A window holds K of them, so that neighbouring anchors are at most K words apart.
 K = (WINDOW + 1) // 2
+#: Seed of the second word hash.
+VERIFYING = 1
 #: Word hashes that a task remembers.
 REMEMBERED = 100_000
 
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def word_hashes() -> Remembered:
-    return Remembered(xxhash.xxh3_64_intdigest, REMEMBERED)
+def word_hashes(seed: int = 0) -> Remembered:
+    return Remembered(lambda word: xxhash.xxh3_64_intdigest(word, seed), REMEMBERED)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -100,13 +103,18 @@ def runs(marks: list[dict]) -> list[tuple[int, int]]:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, did, th, text): did and th are never null and tell apart rows that share an id but not the text."""
+    """(id, did, th, text): did and th are never null and tell apart rows that share an id, or have none, but not the text."""
     text = text_of(text_col)
     return docs.select(F.col(id_col).alias("id"), text.alias("text")).select(
-        "id", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("did"), F.hash("text").alias("th"), "text"
+        "id", F.coalesce(F.concat(F.lit("="), F.col("id").cast("string")), F.lit("")).alias("did"), digest("text").alias("th"), "text"
     )
 
 
+def digest(text_col: str):
+    """128 bits of a text."""
+    return F.unhex(F.md5(F.col(text_col).cast("binary")))
+
+
 def repeated_anchors(rows: DataFrame) -> DataFrame:
     """(did, th, marks): the repeated anchors of each document by position, and whether each is joined to the next."""
 
@@ -116,7 +124,7 @@ def repeated_anchors(rows: DataFrame) -> DataFrame:
             found = [anchors(words_of(t), hashes) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _ in found], pa.list_(pa.int32())), pa.array([h.view(np.int64) for _, h in found], pa.list_(pa.int64()))], names=["did", "th", "at", "hs"])
 
-    lists = cut(rows.select("did", "th", "text").mapInArrow(run, "did string, th int, at array<int>, hs array<long>").where("size(at) > 0"), "anchors")
+    lists = cut(rows.select("did", "th", "text").mapInArrow(run, "did string, th binary, at array<int>, hs array<long>").where("size(at) > 0"), "anchors")
     following = F.zip_with("hs", F.slice("hs", 2, F.size("hs")), lambda h, n: n)
     gaps = F.zip_with("at", F.slice("at", 2, F.size("at")), lambda a, b: b - a)
     pairs = lists.select(F.explode(F.arrays_zip(F.col("hs").alias("h"), following.alias("next"), gaps.alias("gap"))).alias("x")).select("x.h", "x.next", "x.gap")
@@ -146,23 +154,25 @@ def doubtful(n: int, spans: list[tuple[int, int]]) -> np.ndarray:
 
 
 def repeated_windows(rows: DataFrame, marks: DataFrame) -> DataFrame:
-    """(did, th, starts): the windows over ends of paths that occur elsewhere too."""
+    """(did, th, starts): the windows over ends of paths that occur elsewhere too, by a hash and a second, independent one of their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes_of = word_hashes()
+        hashes_of, others_of = word_hashes(), word_hashes(VERIFYING)
         for part in slices(batches):
-            starts, hashes = [], []
+            starts, hashes, others = [], [], []
             for text, m in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                 words = words_of(text)
                 at = doubtful(len(words), runs(m))
                 starts.append(at.astype(np.int32))
-                hashes.append(kmers(words, hashes_of, WINDOW)[at].view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(starts, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], names=["did", "th", "starts", "hs"])
-
-    lists = cut(rows.where("_maybe").select("did", "th", "text").join(marks, ["did", "th"]).mapInArrow(run, "did string, th int, starts array<int>, hs array<long>"), "windows")
-    places = lists.select("did", "th", F.explode(F.arrays_zip(F.col("starts").alias("start"), F.col("hs").alias("h"))).alias("x")).select("did", "th", "x.start", "x.h")
-    several = cut(places.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "several")
-    found = places.join(several, "h").groupBy("did", "th").agg(F.collect_set("start").alias("starts"))
+                for found, of in ((hashes, hashes_of), (others, others_of)):
+                    found.append(kmers(words, of, WINDOW)[at].view(np.int64) if len(at) else at.astype(np.int64))
+            lists = [pa.array(starts, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["did", "th", "starts", "hs", "vs"])
+
+    lists = cut(rows.where("_maybe").select("did", "th", "text").join(marks, ["did", "th"]).mapInArrow(run, "did string, th binary, starts array<int>, hs array<long>, vs array<long>"), "windows")
+    places = lists.select("did", "th", F.explode(F.arrays_zip(F.col("starts").alias("start"), F.col("hs").alias("h"), F.col("vs").alias("v"))).alias("x")).select("did", "th", "x.start", "x.h", "x.v")
+    several = cut(places.groupBy("h", "v").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "v"), "several")
+    found = places.join(several, ["h", "v"]).groupBy("did", "th").agg(F.collect_set("start").alias("starts"))
     found = cut(found, "repeated")
     forget(lists, several)
     return found

@@ -30,6 +30,11 @@ def base_spans(text: str | None) -> str:
     return ",".join(f"{name}:{s}:{e}" for s, _, e, name in sorted(found))
 
 
+def base_counts(text: str | None) -> tuple[int, int, int, int]:
+    spans = [x.split(":")[0] for x in base_spans(text).split(",") if x]
+    return tuple(spans.count(k) for k in ("email", "ip", "card", "phone"))
+
+
 def sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 

@@ -421,3 +421,15 @@ def test_substrings_fuzz(spark, seed):
     assert got == Counter(brute.without_repeats(rows)) and sum(r[2] for r in got) > 1000
     kept = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True)
     assert all(brute.sha(r.text) == r.kept_sha256 for r in kept.collect())
+
+
+def test_substring_without_ids(spark):
+    """Texts without ids whose 32-bit hashes are equal, of unequal and of equal lengths, are told apart."""
+    passage = " ".join(f"p{k}" for k in range(60))
+    own = F.concat(F.lit(passage), F.lit(" "), F.expr("array_join(transform(sequence(0, cast(id % 50 as int)), x -> concat('w', cast(id * 100 + x as string))), ' ')"))
+    texts = spark.range(300_000).select(own.alias("text")).withColumn("h", F.hash("text"))
+    pairs = [r.t for r in texts.groupBy("h").agg(F.collect_list("text").alias("t")).where("size(t) > 1").collect()]
+    assert pairs and any(len({len(t.split()) for t in p}) > 1 for p in pairs)
+    rows = [(None, t) for p in pairs for t in p] + [(None, None), (None, ""), (1, pairs[0][0])]
+    got = Counter(tuple(r) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter(brute.without_repeats(rows))

@@ -18,6 +18,21 @@ def test_pii_equals_brute_force(messy, rows):
     assert pii.find_spans(messy.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("table", ["messy", "documents"])
+def test_pii_report_equals_brute_force(spark, messy, table):
+    """All columns of the query, on awkward rows and on a whole table."""
+    docs = messy if table == "messy" else spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = pii.report(docs)
+    assert out.columns[:7] == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    want = Counter((r.doc_id, *brute.base_counts(r.text), brute.sha(brute.base_spans(r.text))) for r in docs.select("doc_id", "text").collect())
+    got = out.collect()
+    assert Counter(tuple(r)[:6] for r in got) == want and any(n for _, *ns, _ in want for n in ns)
+    for r in got:
+        names = Counter(x.split(":")[0] for x in r.spans.split(",") if x)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone, r.n_iban, r.n_ssn] == [names[k] for k in ("email", "ip", "card", "phone", "iban", "ssn")]
+        assert len(r.scores) == sum(names.values())
+
+
 def test_pii_kinds_and_context(spark):
     texts = [
         "card 4111 1111 1111 1111 not 4111 1111 1111 1112", "999.1.1.1 1.2.3.4.5.6.7.8 007.0.00.255", "+1 (555) 010-9999, +12 34", "a.b@c.d_e@f.gh x@y",
@@ -132,6 +147,16 @@ def test_quality_cases(spark, messy):
     assert quality.score(messy.limit(0), model).collect() == [] and quality.score(messy.limit(0), model, carry=True).collect() == []
 
 
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    """A rated row repeated 20,000 times, and an id with 3,000 texts, bring one vector each to the driver."""
+    taken = []
+    monkeypatch.setattr(quality, "fit", lambda vectors, grades, n, **more: taken.append(sorted(grades.tolist())) or quality.Model(thresholds=np.zeros(n - 1)))
+    rows = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("some text").alias("text"))
+    many = spark.range(3_000).select(F.lit(2).cast("long").alias("doc_id"), F.concat(F.lit("t "), F.col("id").cast("string")).alias("text"))
+    quality.train(rows.union(many), spark.createDataFrame([(1, 0), (2, 2)], "doc_id long, grade int"))
+    assert taken == [[0, 2]]
+
+
 def test_gradient_is_that_of_the_loss():
     """A tiny fit reaches the likelihood that a fine search over its two weights finds."""
     v = [(np.array([k], np.int32), np.array([1.0], np.float32)) for k in [0] * 30 + [1] * 30]
