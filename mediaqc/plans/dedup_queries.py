@@ -172,8 +172,7 @@ ORACLE = {
     "registered_rows": f"WITH RECURSIVE {_P}, {_REG} SELECT vec_id FROM done",
     "hash_duplicates": f"WITH RECURSIVE {_P}, {_REG}, {_BEST.format('(SELECT q.* FROM q JOIN done ON done.vec_id = q.l)')} SELECT r AS vec_id, match_id, votes, similarity FROM best",
     "cosine_topk": f"WITH {_COS} SELECT r, l, cos, place FROM t WHERE place <= 24",
-    "cosine_decision": f"""WITH {_COS} SELECT t.r AS vec_id, t.l AS match_id, round(cos * 100, 2) AS similarity, coalesce(votes, 0) AS votes, 'CLIP Semantic' AS method
-      FROM t LEFT JOIN p ON p.l = t.l AND p.r = t.r WHERE place = 1 AND (cos >= 0.45::DOUBLE OR cos >= 0.35::DOUBLE AND coalesce(votes, 0) >= 2)""",
+    "cosine_decision": f"""WITH {_COS}, {_FIRST} SELECT vec_id, match_id, round(cos * 100, 2) AS similarity, votes, method FROM f WHERE method IS NOT NULL""",
     "first_candidates": f"""WITH {_COS}, {_FIRST} SELECT vec_id, match_id, cos, votes, method FROM f""",
     "dup_decision": f"""WITH {_COS}, {_FIRST}, {_BEST_D},
       x AS (SELECT vec_id, 0 AS rank, vec_id - 1 AS match_id, 'Exact Duplicate' AS status, 100::DOUBLE AS similarity, 1 AS layer, 'MD5 fingerprint matched a recent/current-batch image.' AS reason FROM embeddings WHERE vec_id % 10 = 1
