@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mediaqc.llm import ann, bpe, exact_dedup, lm_score, mixing, near_dedup, pii, quality, sharding, substring_dedup
+from mediaqc.llm import ann, bpe, exact_dedup, exact_search, lm_score, mixing, near_dedup, pii, quality, sharding, substring_dedup
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_exact_dedup": exact_dedup.query,
         "op9_shard_documents": sharding.query,
         "op10_quality_classifier": quality.query,
+        "op11_exact_search": exact_search.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.ORACLE}
+    return {"op8_exact_dedup": exact_dedup.ORACLE, "op11_exact_search": exact_search.ORACLE}

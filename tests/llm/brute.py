@@ -195,3 +195,17 @@ def longest_first(sizes: dict, n: int) -> dict:
         out[key] = shard
         load[shard] += sizes[key]
     return out
+
+
+def best_products(rows: list[tuple], k: int, step: int) -> list[tuple]:
+    """(query, rank, id, score), all pairs compared in whole numbers of any size."""
+    import math
+
+    ok = {(i, tuple(x + 0.0 for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    whole = {(i, tuple(math.floor(min(max(256 * x, -1.7976931348623157e308), 1.7976931348623157e308)) for x in v)) for i, v in ok}
+    out = []
+    for i, q in whole:
+        if i % step == 0:
+            scores = [(-max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(q, v, strict=True)))), j) for j, v in whole if j != i and len(v) == len(q)]
+            out += [(i, n, j, -s) for n, (s, j) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out)
