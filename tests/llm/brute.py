@@ -209,3 +209,32 @@ def best_products(rows: list[tuple], k: int, step: int) -> list[tuple]:
             scores = [(-max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(q, v, strict=True)))), j) for j, v in whole if j != i and len(v) == len(q)]
             out += [(i, n, j, -s) for n, (s, j) in enumerate(sorted(scores)[:k], 1)]
     return sorted(out)
+
+
+def trie(rows: list[tuple], block: int = 20, heads: int = 4) -> list[tuple]:
+    """(node, depth, parent, n_convs, n_children, n_leaves, saved, ends) of every node; ``rows`` are (conv_id, turn, role, text)."""
+    import math
+    import zlib
+
+    own: dict = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            own.setdefault(c, []).append(((turn is not None, turn or 0), role or "", text or ""))
+    own = {c: [t[1:] for t in sorted(ts)] for c, ts in own.items()}
+    full = {}
+    for c, ts in own.items():
+        h = zlib.crc32(str(c).encode()) % heads
+        full[c] = own.get(c - int(math.fmod(c, block)), [])[:h] + ts[h:]
+    members: dict = {}
+    for c, ts in full.items():
+        for d in range(len(ts) + 1):
+            members.setdefault(tuple(ts[:d]), []).append(c)
+    out = []
+    for seq, cs in members.items():
+        below = [s for s in members if s[: len(seq)] == seq]
+        children = {s[: len(seq) + 1] for s in below if len(s) > len(seq)}
+        leaves = sum(not any(len(z) > len(s) and z[: len(s)] == s for z in below) for s in below)
+        saved = sum((len(members[s]) - 1) * len(re.findall(r"[^\x20\x09-\x0D]+", s[-1][1])) for s in below if s)
+        parent = min(members[seq[:-1]]) if seq else None
+        out.append((min(cs), len(seq), parent, len(cs), len(children), leaves, saved, sha(",".join(str(c) for c in sorted(cs) if len(full[c]) == len(seq)))))
+    return sorted(out, key=lambda r: r[:2])
