@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mediaqc.llm import ann, bpe, exact_dedup, exact_search, lm_score, mixing, near_dedup, pii, prefix_trie, quality, sharding, substring_dedup
+from mediaqc.llm import ann, bpe, exact_dedup, exact_search, lm_score, mixing, near_dedup, pii, prefix_trie, quality, resampling, sharding, substring_dedup
 
 
 def queries() -> dict:
@@ -19,8 +19,10 @@ def queries() -> dict:
         "op10_quality_classifier": quality.query,
         "op11_exact_search": exact_search.query,
         "op12_prefix_trie": prefix_trie.query,
+        "op13_importance_resampling": resampling.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exact_dedup.ORACLE, "op11_exact_search": exact_search.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE}
+    modules = {"op8_exact_dedup": exact_dedup, "op11_exact_search": exact_search, "op12_prefix_trie": prefix_trie, "op13_importance_resampling": resampling}
+    return {name: module.ORACLE for name, module in modules.items()}

@@ -238,3 +238,32 @@ def trie(rows: list[tuple], block: int = 20, heads: int = 4) -> list[tuple]:
         parent = min(members[seq[:-1]]) if seq else None
         out.append((min(cs), len(seq), parent, len(cs), len(children), leaves, saved, sha(",".join(str(c) for c in sorted(cs) if len(full[c]) == len(seq)))))
     return sorted(out, key=lambda r: r[:2])
+
+
+def resampled(rows: list[tuple], target: list[str | None], buckets: int = 10_000) -> list[tuple]:
+    """(id, n_features, weight, score, rank) of each row (id, text), ranks by falling score, then id (null last)."""
+    import math
+    import zlib
+    from collections import Counter
+
+    def grams(text):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        return words, [zlib.crc32(x.encode()) % buckets for x in words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]]
+
+    source, wanted, made = Counter(), Counter(), []
+    for i, text in rows:
+        words, found = grams(text)
+        source.update(found)
+        made.append((i, len(words), found))
+    for text in target:
+        wanted.update(grams(text)[1])
+    s_all, t_all = sum(source.values()) + buckets, sum(wanted.values()) + buckets
+    out = []
+    for i, n, found in made:
+        weight = sum(math.floor(1000 * math.log((wanted[b] + 1) * s_all / ((source[b] + 1) * t_all))) for b in found) // max(len(found), 1)
+        h = int(sha(f"7:{'' if i is None else i}")[:8], 16)
+        out.append([i, len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, n])
+    fit = sorted((r for r in out if r[5] >= 20), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    for place, r in enumerate(fit[: 25 * len(fit) // 100], 1):
+        r[4] = place
+    return sorted((tuple(r[:5]) for r in out), key=str)
