@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaqc.config import EXACT, SUPPORTED, VOTED, Thresholds
 from mediaqc.functions.hashing import HASHES, hamming, whole
+from mediaqc.operators.vectors import nearest_earlier
 from mediaqc.plans.lineage import cut, forget
 
 #: Of all pairs of rows, bands may bring together this share; beyond it they prune nothing.
 MOST_MET = 1 / 8
-#: Rows of a block of vectors, at least and at most, and of a matrix product.
-LEAST_BLOCK, BLOCK, PRODUCT = 256, 16_384, 512
 
 
 def exact_first(df: DataFrame, id_col: str, digest: Column, out: str = "first_id") -> DataFrame:
@@ -186,44 +182,9 @@ def screened(rows: DataFrame, t: Thresholds = Thresholds()) -> tuple[DataFrame,
 def cosine_pairs(vectors: DataFrame, k: int, floor: float, id_col: str = "seq", vec_col: str = "emb") -> DataFrame:
     """(l, r, cos, rank): for each row its k nearest earlier rows with a cosine of at least ``floor``.
 
-    Exact: rows are packed in blocks, each pair of blocks goes through matrix products, and only its k best a row go on. A
-    row is sent n / BLOCK times. A floor below the ranking leaves the ranks above it as they are.
+    Exact, see ``vectors.nearest_earlier``. A floor below the ranking leaves the ranks above it as they are.
     """
-    v = F.col(vec_col).cast("array<double>")
-    packed = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
-    n, tasks = packed.count(), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_blocks = max(1, -(-n // BLOCK), min(-(-n // LEAST_BLOCK), round((2 * tasks) ** 0.5)))  # n_blocks ** 2 / 2 pairs
-    blocks = packed.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows"))
-    left = blocks.select(F.col("block").alias("a"), F.explode(F.sequence(F.col("block"), F.lit(n_blocks - 1))).alias("b"), F.col("rows").alias("x"))
-    right = blocks.select(F.explode(F.sequence(F.lit(0), F.col("block"))).alias("a"), F.col("block").alias("b"), F.col("rows").alias("y"))
-
-    def unpack(rows):
-        ids = np.array([r["id"] for r in rows], np.int64)
-        m = np.array([np.asarray(r["v"], np.float64) for r in rows])
-        return ids, m / np.maximum(np.sqrt((m * m).sum(axis=1)), 1e-300)[:, None]
-
-    def nearest(ids, m, others, mo):
-        for at in range(0, len(ids), PRODUCT):
-            own = ids[at : at + PRODUCT]
-            s = np.round(m[at : at + PRODUCT] @ mo.T, 6)
-            i, j = np.nonzero((s >= floor) & (others[None, :] < own[:, None]))
-            o = np.lexsort((others[j], -s[i, j], i))
-            i, j = i[o], j[o]
-            first = np.searchsorted(i, np.arange(len(own)))
-            best = np.arange(len(i)) - first[i] < k
-            yield pd.DataFrame({"l": others[j[best]], "r": own[i[best]], "cos": s[i[best], j[best]]})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for x, y, same in zip(pdf["x"], pdf["y"], pdf["a"] == pdf["b"], strict=True):
-                (ia, ma), (ib, mb) = unpack(x), unpack(y)
-                yield from nearest(ib, mb, ia, ma)
-                if not same:
-                    yield from nearest(ia, ma, ib, mb)
-
-    found = left.join(right, ["a", "b"]).mapInPandas(run, "l long, r long, cos double")
-    order = Window.partitionBy("r").orderBy(F.desc("cos"), "l")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return nearest_earlier(vectors, k, floor, id_col, vec_col)
 
 
 def candidates(pairs: DataFrame, allowed: DataFrame | None, n: int) -> DataFrame:
