@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mediaqc.config import EXACT, SUPPORTED, VOTED, Thresholds
 from mediaqc.functions.hashing import HASHES, hamming, whole
+from mediaqc.operators.graphs import registered
 from mediaqc.operators.vectors import nearest_earlier
 from mediaqc.plans.lineage import cut, forget
 
@@ -121,32 +122,6 @@ def explained(found: DataFrame) -> DataFrame:
     return found.withColumn("forensic_reasoning", F.when(F.col("layer") == 1, near).otherwise(F.format_string("%s Matched %s. Original: %s.", "reason", match, original)))
 
 
-def registered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, registered): in order, a row registers unless an earlier registered row is its duplicate.
-
-    ``nodes`` has node, ``edges`` (l, r) with l < r. Done in rounds: a row with a registered earlier neighbour is a
-    duplicate; one whose earlier neighbours are all duplicates registers. A round joins only what the last one decided and
-    writes only what is decided or still open, so all rounds together write each row a few times; their number follows
-    the longest chain.
-    """
-    left = cut(edges.select("l", "r").distinct(), "edges")
-    degree = left.groupBy(F.col("r").alias("node")).agg(F.count(F.lit(1)).alias("d"))
-    waiting = cut(degree, "waiting")
-    now = cut(nodes.select("node").join(waiting, "node", "left_anti").withColumn("registered", F.lit(True)), "now")
-    done = now
-    while not waiting.isEmpty():
-        told = left.join(now.withColumnRenamed("node", "l"), "l").groupBy(F.col("r").alias("node")).agg(F.max("registered").alias("hit"), F.count(F.lit(1)).alias("c"))
-        both = cut(waiting.join(told, "node", "left").select("node", F.coalesce("hit", F.lit(False)).alias("hit"), (F.col("d") - F.coalesce("c", F.lit(0))).alias("d")), "told")
-        decided = F.col("hit") | (F.col("d") == 0)
-        now = cut(both.where(decided).select("node", (~F.col("hit")).alias("registered")), "now")
-        rest = cut(both.where(~decided).select("node", "d"), "waiting")
-        open_ = cut(left.join(rest.select(F.col("node").alias("r")), "r", "left_semi"), "edges")
-        forget(waiting, both, left)
-        waiting, left, done = rest, open_, done.unionByName(now)
-    forget(waiting, left)
-    return done
-
-
 def screened(rows: DataFrame, t: Thresholds = Thresholds()) -> tuple[DataFrame, DataFrame]:
     """Digests and hash votes of new rows against all earlier ones that registered: (records, new rows that register).
 
