@@ -52,13 +52,11 @@ def judged(df: DataFrame, contents: DataFrame, services: Services, t: Thresholds
 
     def flash(open_: DataFrame) -> DataFrame:
         asked = cut(models.ask_all(open_.join(contents, "image_id"), services.flash, services.prompt, side="flash", sleep=services.sleep).drop("content"), "flash")
-        asked = asked.withColumn("flash_tree", replies.lenient_json(F.col("flash_reply")))
-        return asked.withColumns(replies.flash_columns(F.col("flash_tree"), F.col("face_count") > 0, F.col("face_count"))).drop("flash_tree")
+        return replies.with_flash(asked, F.col("face_count") > 0, F.col("face_count"))
 
     def pro(open_: DataFrame) -> DataFrame:
         asked = cut(models.ask_all(open_.join(contents, "image_id"), services.pro, context(services.prompt), side="pro", sleep=services.sleep).drop("content"), "pro")
-        asked = asked.withColumn("pro_tree", replies.lenient_json(F.col("pro_reply")))
-        return asked.withColumns(replies.pro_columns(F.col("pro_tree"))).drop("pro_tree")
+        return replies.with_pro(asked)
 
     stages: list[cascade.Stage] = [cascade.failed()]
     for name, inputs, decision in rules.verdict(t):
