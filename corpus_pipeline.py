@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mediaqc.llm import bpe, exact_dedup, mixing, near_dedup, quality
-from mediaqc.llm.common import cut, documents
+from mediaqc.llm.common import cut, documents, forget
 
 #: No SQL can express the classifier, the shuffled mix and the encoding.
 ORACLE_SQL = None
@@ -67,9 +67,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. A stage's table is deleted when the next one is written; that of the last but one stays, as the result reads it."""
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        found = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = cut(docs, name)
+            found = cut(found, name)
+            forget(docs)
+        docs = found
     return docs
