@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from mediaqc.config import Prices
 from mediaqc.functions import grids, replies, scalars
 from mediaqc.operators import reports
+from mediaqc.plans.lineage import shared_folder
 from mediaqc.schemas import EXPORT, VERDICT, VERDICT_DEFAULTS, completed
-from mediaqc.sources import registry
+from mediaqc.sources import layout, registry
 
 
 #: A rate that leaves no sum half-way between two roundings, where engines differ.
@@ -53,6 +56,26 @@ def upsert_latest(spark, d):
     return registry.upsert(rows.where("event_id % 2 = 0"), rows.where("event_id % 2 = 1"), "user_id", "ts", "event_id")
 
 
+def stored_window(spark, d):
+    """A look-back over a stored table, from the folders of its days; the time of the last event is a value, so that they are pruned."""
+    events = _events(spark, d).select("event_id", "ts", "event_type", "user_id")
+    last = events.agg(F.max("ts")).first()[0]
+    by = layout.Layout("event_id", "ts", 8)
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    layout.create(events, path, by)
+    return layout.recent(layout.read(spark, path, events.schema), F.lit(last and str(last)).cast("timestamp_ntz"), 10, by).select(*events.columns)
+
+
+def stored_upsert(spark, d):
+    """The last event of each user in a stored table, after two upserts that rewrite the folders of their users."""
+    events = _events(spark, d).select("user_id", "ts", "event_id", "event_type", "value")
+    by = layout.Layout("user_id", "ts", 4)
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    for k in (0, 1):
+        layout.upsert(spark, path, events.where(F.col("event_id") % 2 == k), events.schema, by, ("ts", "event_id"))
+    return layout.read(spark, path, events.schema).select(*events.columns)
+
+
 def insert_or_ignore(spark, d):
     rows = _events(spark, d).select("user_id", "event_id", "event_type")
     old = registry.insert_if_absent(rows.limit(0), rows.where("event_type = 'view'"), "user_id", "event_id")
@@ -196,7 +219,7 @@ def batch_label_counts(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        window_ids, window_hash_join, window_hashes, upsert_latest, insert_or_ignore, original_status, layer_histogram, lenient_json, ai_cost, cost_totals, export_join, export_full, invalid_subset, dup_subset,
+        window_ids, window_hash_join, window_hashes, upsert_latest, stored_window, stored_upsert, insert_or_ignore, original_status, layer_histogram, lenient_json, ai_cost, cost_totals, export_join, export_full, invalid_subset, dup_subset,
         confusion_matrix, url_validate, limit_then_filter, recent_tail, chunk_progress, blur_8x8, line_artifact, edge_glow, hist_peaks, batch_label_counts,
     )
 }
@@ -234,6 +257,8 @@ ORACLE = {
     "window_ids": "SELECT DISTINCT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAYS",
     "window_hash_join": "SELECT event_id, user_id, label FROM events JOIN embeddings ON user_id = vec_id WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAYS",
     "upsert_latest": "SELECT user_id, ts, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "stored_upsert": "SELECT user_id, ts, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "stored_window": "SELECT event_id, ts, event_type, user_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 10 DAYS",
     "insert_or_ignore": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_type <> 'view', event_id) = 1",
     "original_status": "SELECT d.doc_id, CAST(d.doc_id // 2 AS VARCHAR) AS match_id, coalesce(CASE WHEN quality = 1 THEN 'Valid' WHEN quality = 0 THEN 'Invalid' END, '') AS original_status FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id // 2",
     "layer_histogram": "SELECT CAST(k AS INTEGER) AS exit_layer, (SELECT count(*) FROM events WHERE CAST(floor(value) AS BIGINT) % 8 = k) AS n FROM range(1, 7) t(k)",

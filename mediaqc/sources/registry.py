@@ -30,21 +30,29 @@ def status_of(matches: DataFrame, results: DataFrame, matched: str = "match_id")
     return matches.join(status, matched, "left").withColumn("original_status", F.coalesce("original_status", F.lit("")))
 
 
+def _free(name: str, *tables: DataFrame) -> str:
+    """``name``, or a longer one that no table has."""
+    while any(name in t.columns for t in tables):
+        name += "_"
+    return name
+
+
 def upsert(old: DataFrame | None, new: DataFrame, key: str, *order: str) -> DataFrame:
     """The last row of each key by ``order``; rows of ``new`` win over ``old`` where it ties. Combines before the shuffle."""
-    rows = new.withColumn("_new", F.lit(1))
+    is_new = _free("new", new, *([] if old is None else [old]))
+    rows = new.withColumn(is_new, F.lit(1))
     if old is not None:
-        rows = old.withColumn("_new", F.lit(0)).unionByName(rows, allowMissingColumns=True)
-    others = [c for c in rows.columns if c not in (key, "_new")]
-    best = rows.groupBy(key).agg(F.max(F.struct(*order, "_new", *[c for c in others if c not in order])).alias("_b"))
-    return best.select(key, *[F.col(f"_b.{c}").alias(c) for c in others])
+        rows = old.withColumn(is_new, F.lit(0)).unionByName(rows, allowMissingColumns=True)
+    others, best = [c for c in rows.columns if c not in (key, is_new)], _free("best", rows)
+    found = rows.groupBy(key).agg(F.max(F.struct(*order, is_new, *[c for c in others if c not in order])).alias(best))
+    return found.select(key, *[F.col(best)[c].alias(c) for c in others])
 
 
 def insert_if_absent(old: DataFrame, new: DataFrame, key: str, *order: str) -> DataFrame:
     """``old`` and, for each other key, the first row of ``new`` by ``order``."""
-    others = [c for c in new.columns if c != key]
-    first = new.groupBy(key).agg(F.min(F.struct(*order, *[c for c in others if c not in order])).alias("_b"))
-    first = first.select(key, *[F.col(f"_b.{c}").alias(c) for c in others])
+    others, best = [c for c in new.columns if c != key], _free("best", new)
+    first = new.groupBy(key).agg(F.min(F.struct(*order, *[c for c in others if c not in order])).alias(best))
+    first = first.select(key, *[F.col(best)[c].alias(c) for c in others])
     return old.unionByName(first.join(old.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
