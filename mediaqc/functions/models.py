@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mediaqc.functions import calls
+
 
 class Model(Protocol):
     """Answers a prompt about an image with (text, prompt tokens, output tokens), or raises."""
@@ -47,23 +49,37 @@ def reply(model: Model, prompt: str, image: bytes, attempts: int = 3, sleep: Cal
     return None, 0, 0
 
 
-def ask_all(df: DataFrame, make: Callable[[], Model], prompt: str | Column, image: str = "content", side: str = "flash", tasks: int = 8, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
-    """Adds ``{side}_reply``, its tokens and ``{side}_error``. The number of tasks bounds the calls at a time. Paid calls: write
-    the result before going on, so that no later failure repeats them. ``prompt`` may differ by row. A client that cannot be
-    made gives its rows an error text instead of a reply."""
-    asked = df.withColumn("_prompt", prompt if isinstance(prompt, Column) else F.lit(prompt))
+def ask_all(
+    df: DataFrame, make: Callable[[], Model], prompt: str | Column, image: str = "content", side: str = "flash", tasks: int = 8, sleep: Callable[[float], None] = time.sleep, flight: int = 5, rate: float | None = None,
+) -> DataFrame:
+    """Adds ``{side}_reply``, its tokens and ``{side}_error``. ``tasks`` times ``flight`` bounds the calls at a time (40 unless
+    told otherwise), ``rate`` those a second in a task. Paid calls: write the result before going on, so that no later failure
+    repeats them. ``prompt`` may differ by row. A client that cannot be made gives its rows an error text instead of a reply."""
+    said = "said"
+    while said in df.columns:
+        said += "_"
+    asked = df.withColumn(said, prompt if isinstance(prompt, Column) else F.lit(prompt))
     new = {"reply": "string", "prompt_tokens": "long", "output_tokens": "long", "error": "string"}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        permits = calls.Permits(rate) if rate else None
         try:
             model, failed = make(), None
         except Exception as e:
             model, failed = None, str(e)
+
+        def one(row: tuple[str, bytes]) -> tuple:
+            if model is None:
+                return None, 0, 0, failed
+            if permits:
+                permits.take()
+            return (*reply(model, *row, sleep=sleep), None)
+
         for pdf in batches:
-            found = [(*(reply(model, p, b, sleep=sleep) if model is not None else (None, 0, 0)), failed) for p, b in zip(pdf["_prompt"], pdf[image], strict=True)]
+            found = list(calls.in_order(one, zip(pdf[said], pdf[image], strict=True), flight))
             for name, values in zip(new, zip(*found, strict=True) if found else [()] * len(new), strict=True):
                 pdf[f"{side}_{name}"] = pd.Series(list(values), index=pdf.index, dtype=object)
-            yield pdf.drop(columns="_prompt")
+            yield pdf.drop(columns=said)
 
     fields = ", ".join([f"`{n}` {t}" for n, t in df.dtypes] + [f"{side}_{n} {t}" for n, t in new.items()])
     return asked.repartition(tasks).mapInPandas(run, fields)

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mediaqc.functions import calls
 from mediaqc.functions.scalars import SHEET_ID, url_ok
 
 MOST_BYTES = 20 * 1024 * 1024
@@ -103,29 +104,43 @@ class Fetcher(Protocol):
     def get(self, url: str) -> tuple[str, bytes]: ...
 
 
-def fetch(df: DataFrame, make: Callable[[], Fetcher], url: str = "url", attempts: int = 2, pause: float = 1.5, sleep=time.sleep) -> DataFrame:
-    """Adds ``content`` and ``load_ok``. One client a task; urls not worth fetching are not asked for."""
-    ready = df.withColumn("_ok", url_ok(F.col(url)))
+def fetch(
+    df: DataFrame, make: Callable[[], Fetcher], url: str = "url", attempts: int = 2, pause: float = 1.5, sleep=time.sleep, flight: int = 8, rate: float | None = None, most: int = 64 << 20,
+) -> DataFrame:
+    """Adds ``content`` and ``load_ok``, in place of columns of these names. Urls not worth fetching are not asked for.
 
-    def one(client: Fetcher, address: str) -> bytes | None:
-        for k in range(attempts):
-            try:
-                kind, content = client.get(address)
-            except Exception:
-                if k + 1 < attempts:
-                    sleep(pause * 2**k)
-                continue
-            if "html" in kind.lower() or "json" in kind.lower() or len(content) > MOST_BYTES:
-                return None
-            return content
-        return None
+    A task has one client (of whose ``get`` up to ``flight`` run at a time), at most ``rate`` calls a second, and hands rows on
+    whenever their contents reach ``most`` bytes.
+    """
+    kept = df.drop("content", "load_ok")
+    flag = "ok"
+    while flag in kept.columns:
+        flag += "_"
+    ready = kept.withColumn(flag, url_ok(F.col(url)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = make()
+        client, permits = make(), calls.Permits(rate) if rate else None
+
+        def one(row: tuple[str, bool]) -> bytes | None:
+            address, ok = row
+            for k in range(attempts if ok else 0):
+                try:
+                    if permits:
+                        permits.take()
+                    kind, content = client.get(address)
+                except calls.Refused:
+                    return None
+                except Exception:
+                    if k + 1 < attempts:
+                        sleep(pause * 2**k)
+                    continue
+                return None if "html" in kind.lower() or "json" in kind.lower() or len(content) > MOST_BYTES else content
+            return None
+
         for pdf in batches:
-            pdf["content"] = [one(client, u) if ok else None for u, ok in zip(pdf[url], pdf["_ok"], strict=True)]
-            pdf["load_ok"] = [c is not None for c in pdf["content"]]
-            yield pdf.drop(columns="_ok")
+            found = calls.in_order(one, zip(pdf[url], pdf[flag], strict=True), flight)
+            for rows, contents in calls.answered(pdf.drop(columns=flag), found, lambda c: len(c or b""), most):
+                yield rows.assign(content=pd.Series(contents, index=rows.index, dtype=object), load_ok=[c is not None for c in contents])
 
-    fields = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+    fields = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes)
     return ready.mapInPandas(run, f"{fields}, content binary, load_ok boolean")
