@@ -297,33 +297,62 @@ def test_running_sums_by_ranges(spark):
     assert all(r.n == r.x and r.s == 2 * r.x for r in mixing.running(df, [F.col("x")], {"n": F.lit(1), "s": F.col("y")}).collect())
 
 
-def test_shards_equal_plain_longest_processing_time(messy, rows):
-    got = sharding.shard(messy, 5).collect()
+def whole_shards(rows, n):
+    """Shard of each text by plain scheduling of all groups one by one, and whether no group has to be cut."""
     sizes = Counter()
     for _, t in rows:
         sizes[hashlib.md5((t or "").encode()).digest()] += len((t or "").encode()) + 1
-    assert max(sizes.values()) <= sum(sizes.values()) / 5 or len(sizes) > 5
-    whole = {g for g, x in sizes.items() if x * 5 <= sum(sizes.values())}
-    if whole == set(sizes):  # no group has to be cut
-        want = brute.longest_first(sizes, 5)
-        text = dict(rows)
-        assert all(want[hashlib.md5((text[r.id] or "").encode()).digest()] == r.shard for r in got if r.id is not None)
+    return brute.longest_first(sizes, n), max(sizes.values()) * n <= sum(sizes.values())
+
+
+def test_shards_equal_plain_longest_processing_time(spark):
+    """Groups one by one, with ties in size, hot sizes, copies, and more groups than any number that the driver would take one by one."""
+    rnd = random.Random(8)
+    texts = [f"{k} " + "x" * rnd.choice([3, 3, 3, 40, 41, rnd.randint(0, 900)]) for k in range(24_000)]
+    rows = [(k, t) for k, t in enumerate(texts + rnd.choices(texts, k=3000) + ["", ""])] + [(99_999, None)]
+    want, whole = whole_shards(rows, 7)
+    got = {r.id: r.shard for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 7).collect()}
+    assert whole and len(want) > 24_000
+    assert got == {i: want[hashlib.md5((t or "").encode()).digest()] for i, t in rows}
+
+
+def test_shards_cut_what_exceeds_a_share(messy, rows):
+    got = sharding.shard(messy, 5).collect()
+    assert len(got) == len(rows) and sum(r.size for r in got) == sum(len((t or "").encode()) + 1 for _, t in rows)
+    for s in range(5):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    assert sharding.shard(messy.limit(0), 5).collect() == []
 
 
-def test_shards_bundles_and_hot_empty_texts(spark):
-    """Few groups of their own, the rest in bundles; a third of all rows are empty texts, in many cells."""
+def test_runs_equal_a_heap():
+    rnd = random.Random(4)
+    for _ in range(300):
+        loads = [rnd.randint(0, 60) for _ in range(rnd.randint(1, 6))]
+        size, n = rnd.randint(1, 25), rnd.randint(1, 40)
+        want, slow = [], list(loads)
+        for _ in range(n):
+            b = min(range(len(slow)), key=lambda b: (slow[b], b))
+            want.append(b)
+            slow[b] += size
+        stretches = sharding.run(loads, size, n)
+        of = lambda j: [(j - at, bins) for at, bins in stretches if at <= j][-1]
+        assert [bins[k % len(bins)] for k, bins in map(of, range(n))] == want and loads == slow
+
+
+def test_shards_and_hot_empty_texts(spark):
+    """A third of all rows are empty texts, met by a broadcast; then one text is nearly all rows and is cut into pieces."""
     rows = [(k, "") for k in range(3000)] + [(10_000 + k, f"text {k} " + "x" * (k % 97)) for k in range(6000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    slim = sharding.cut(sharding.slim_rows(df, "doc_id", "text"), "t")
-    _, cells_of = sharding.schedule(slim, 8, 50)
-    assert cells_of.count() <= 60 and cells_of.agg(F.max("n_cells")).first()[0] > 1000
-    got = sharding.shard(df, 8, most=50).collect()
+    got = sharding.shard(df, 8).collect()
     load = Counter()
     for r in got:
         load[r.shard] += r.size
     assert max(load.values()) - min(load.values()) <= 200 and len({r.shard for r in got if r.id < 3000}) == 1
     for s in range(8):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    same = spark.createDataFrame([(k, "all the same") for k in range(4000)] + [(9000 + k, f"t{k}") for k in range(50)], "doc_id long, text string")
+    load = Counter(r.shard for r in sharding.shard(same, 4).collect())
+    assert len(load) == 4 and max(load.values()) - min(load.values()) <= 60
 
 
 HELPERS = [
