@@ -12,6 +12,7 @@ from mediaqc.config import Thresholds
 from mediaqc.functions.hashing import HASHES
 from mediaqc.operators import duplicates
 from mediaqc.sources import registry
+from mediaqc.streaming.live import Live, counts
 
 PARTS = [f"{n}_{side}" for n in HASHES for side in ("hi", "lo")]
 RESULTS = T.StructType(
@@ -46,30 +47,45 @@ def decide(new: DataFrame, history: DataFrame, as_of: Column, days: int, judge:
 
 def run(
     stream: DataFrame, path: str, checkpoint: str, as_of: Callable[[SparkSession, int], Column], days: int = 10, watch: Callable[[int, DataFrame], None] | None = None,
-    judge: Callable[[DataFrame], DataFrame] | None = None, t: Thresholds = Thresholds(), wait: bool = True,
+    judge: Callable[[DataFrame], DataFrame] | None = None, t: Thresholds = Thresholds(), wait: bool = True, live: Live | None = None,
 ):
     """Process all that is there in micro-batches into the table at ``path``; returns the query, ended unless ``wait`` is false.
 
     A batch that is run again after a failure replaces its own rows, so nothing is counted twice. ``stop()`` of the query
-    cancels it between batches: what is written stays, and the next run goes on from there.
+    cancels it between batches: what is written stays, and the next run goes on from there. ``live`` counts what is stored while
+    the query runs; unless it is waited for, take it off the session's listeners when done.
     """
+    spark = stream.sparkSession
+    if live is not None:
+        live.start(registry.read_table(spark, path, RESULTS, nested=True))
+        spark.streams.addListener(live)
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         history = registry.read_table(spark, path, RESULTS, nested=True).where(F.coalesce("batch", F.lit(-1)) < number)
         out = decide(batch, history, as_of(spark, number), days, judge, t).withColumn("batch", F.lit(number).cast("long"))
         part = f"{path}/part_{number:09d}"
-        out.write.mode("overwrite").parquet(part)
+        if live is None:
+            out.write.mode("overwrite").parquet(part)
+        else:
+            counted, seen = live.observed(out)
+            counted.write.mode("overwrite").parquet(part)
+            live.stored(number, seen)
         if watch is not None:
             watch(number, registry.read_table(spark, part, RESULTS))
 
     query = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    if live is not None:
+        live.query = str(query.id)
     if wait:
-        query.awaitTermination()
+        try:
+            query.awaitTermination()
+        finally:
+            if live is not None:
+                spark.streams.removeListener(live)
     return query
 
 
 def progress(results: DataFrame, total: int) -> DataFrame:
     """Counts by status, and how much is done."""
-    counts = results.agg(*[F.count_if(F.col("status") == s).alias(s.lower()) for s in ("Valid", "Invalid", "Duplicate", "Error")], F.count(F.lit(1)).alias("done"))
-    return counts.withColumn("total", F.lit(total)).withColumn("left", F.lit(total) - F.col("done"))
+    return results.agg(*counts()).withColumn("total", F.lit(total)).withColumn("left", F.lit(total) - F.col("done"))
