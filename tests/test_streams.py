@@ -1,4 +1,4 @@
-"""Counters of a running query."""
+"""Counters of a running query, and digests as keyed state."""
 
 import datetime as dt
 import time
@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mediaqc.sources import registry
-from mediaqc.streaming import batches
+from mediaqc.streaming import batches, state
 from mediaqc.streaming.live import Live
 
 SCHEMA = "image_id string, md5 string, seq long, at timestamp"
@@ -59,3 +59,37 @@ def test_counters_equal_what_is_stored(spark, tmp_path):
         go(Live(20))
     fail[0] = False
     assert go(Live(20)).snapshot()["done"] == 11 and seen == [4, 7, 11]  # batch 2 ran twice and counts once
+
+
+@pytest.fixture
+def ending(spark):
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    state.ends(spark)
+    yield spark
+    spark.conf.set(name, before)
+
+
+def test_digest_state_equals_the_micro_batches(ending, tmp_path):
+    spark = ending
+    src, out, kept = f"{tmp_path}/in", f"file://{tmp_path}/out", f"{tmp_path}/state"
+    for rows in BATCHES:  # the query ends and starts again between the batches
+        put(spark, src, rows)
+        batches.run(stream(spark, src).drop("at"), out, f"{tmp_path}/cp1", lambda s, n: F.lit(DAY(6 * n)))
+        found = state.by_digest(stream(spark, src), 10).writeStream.format("parquet").option("path", kept).option("checkpointLocation", f"{tmp_path}/cp2")
+        found.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    want = {r.image_id: (r.status, r.match_id) for r in registry.read_table(spark, out, batches.RESULTS, nested=True).collect()}
+    rows = spark.read.parquet(kept).collect()
+    assert {r.image_id: (r.status, r.match_id) for r in rows} == want and len(rows) == len(want) == 13
+    assert want["d"] == ("Duplicate", "a") and want["f"] == ("Valid", "") and want["g"] == ("Duplicate", "f") and want["n"] == ("Error", "")
+    assert {r.image_id: r["at"] for r in rows} == {r[0]: r[3] for b in BATCHES for r in b}
+
+
+def test_late_rows_meet_what_is_registered(ending, tmp_path):
+    spark = ending
+    src, kept = f"{tmp_path}/in", f"{tmp_path}/state"
+    for rows in ([("new", "x", 9, DAY(20))], [("late", "x", 1, DAY(2)), ("next", "x", 10, DAY(29))]):
+        put(spark, src, rows)
+        query = state.by_digest(stream(spark, src), 10).writeStream.format("parquet").option("path", kept).option("checkpointLocation", f"{tmp_path}/cp")
+        query.trigger(availableNow=True).start().awaitTermination()
+    assert {r.image_id: r.match_id for r in spark.read.parquet(kept).collect()} == {"new": "", "late": "new", "next": "new"}
