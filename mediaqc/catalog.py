@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mediaqc.plans import dedup_queries, keypoint_queries, report_queries, rule_queries
+from mediaqc.plans import dedup_queries, image_queries, keypoint_queries, report_queries, rule_queries
 
-_MODULES = [dedup_queries, keypoint_queries, rule_queries, report_queries]
+_MODULES = [dedup_queries, image_queries, keypoint_queries, rule_queries, report_queries]
 
 
 def queries() -> dict:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mediaqc.functions import transforms
+
 HASHES = ("ph", "dh", "wh")
 
 
@@ -33,6 +35,18 @@ def sign_hashes(vector: Column) -> dict[str, Column]:
     return {f"{n}_{side}": out[f"{n}_{side}"] for n in HASHES for side in ("hi", "lo")}
 
 
+def transform_hashes(grid: Column, side: int = 8) -> dict[str, Column]:
+    """Hashes of a grid of side x side (8, 16, 32, ...) by transforms: which of the 64 lowest frequencies are above their
+    median (ph), and which of the 64 coarsest cells, by Haar wavelets without the mean, are above theirs (wh)."""
+    out = {}
+    for name, values in (("ph", transforms.low_cosines(grid, side)), ("wh", transforms.coarse_haar(grid, side))):
+        ordered = transforms.let(values, lambda v: F.struct(v.alias("values"), F.array_sort(v).alias("sorted")))
+        median = lambda s: (F.element_at(s["sorted"], 32) + F.element_at(s["sorted"], 33)) / 2
+        both = transforms.let(ordered, lambda s: F.struct(*[_bits(F.slice(s["values"], first, 32), 32, median(s), lambda held, x: x > held).alias(half) for half, first in (("hi", 1), ("lo", 33))]))
+        out |= {f"{name}_{half}": both[half] for half in ("hi", "lo")}
+    return out
+
+
 def hamming(name: str, a: str = "a", b: str = "b") -> Column:
     """The number of bits that differ between the hashes of sides ``a`` and ``b``."""
     return sum((F.bit_count(F.col(f"{a}.{name}_{s}").bitwiseXOR(F.col(f"{b}.{name}_{s}"))) for s in ("hi", "lo")), F.lit(0)).cast("int")
