@@ -184,11 +184,11 @@ def keypoint_decision(t: Thresholds = Thresholds()) -> tuple[Column, Column]:
 
 
 def keypoint_scan(cands: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """(r, match_id, score): the first candidate by rank that matches by keypoints, from those of enough cosine."""
+    """(r, match_id, score, method, votes): the first candidate by rank that matches by keypoints, from those of enough cosine; votes are its inliers."""
     dup, score = keypoint_decision(t)
     hits = cands.where(F.col("cos") >= t.cosine_floor).withColumn("dup", dup).withColumn("kp", score).where("dup")
     first = F.min(F.struct("place", "l", "cos", "kp", "inliers")).alias("b")
-    return hits.groupBy("r").agg(first).select("r", F.col("b.l").alias("match_id"), F.greatest("b.cos", "b.kp").alias("score"), F.format_string("ORB Multi-Angle (%d inliers)", "b.inliers").alias("method"))
+    return hits.groupBy("r").agg(first).select("r", F.col("b.l").alias("match_id"), F.greatest("b.cos", "b.kp").alias("score"), F.format_string("ORB Multi-Angle (%d inliers)", "b.inliers").alias("method"), F.col("b.inliers").alias("votes"))
 
 
 def recent(pairs: DataFrame, places: DataFrame, n: int) -> DataFrame:

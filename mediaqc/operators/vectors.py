@@ -176,13 +176,15 @@ def _searched(visits: DataFrame, held: DataFrame, k: int, floor: float) -> DataF
     return out
 
 
-def nearest_earlier(vectors: DataFrame, k: int, floor: float, id_col: str = "seq", vec_col: str = "emb", with_work: bool = False) -> DataFrame:
+def nearest_earlier(vectors: DataFrame, k: int, floor: float, id_col: str = "seq", vec_col: str = "emb", with_work: bool = False, asks: str | None = None) -> DataFrame:
     """(l, r, cos, rank): for each row its k nearest earlier rows with a cosine of at least ``floor``. Exact.
 
-    ``with_work`` returns (rows, met) instead, met being the pairs that were scored.
+    ``asks`` is a column that is true for the rows to be answered (None: all); the others are only found. ``with_work``
+    returns (rows, met) instead, met being the pairs that were scored.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
+    asking = F.coalesce(F.col(asks), F.lit(False)) if asks else F.lit(True)
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), asking.alias("asks")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     rows = rows.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     n = rows.count()
     part = rows.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // SAMPLE))) == 0).limit(2 * SAMPLE)
@@ -198,9 +200,9 @@ def nearest_earlier(vectors: DataFrame, k: int, floor: float, id_col: str = "seq
                 angles = _angles(m, centres.value)
                 cluster = angles.argmin(axis=1)
                 angle = angles[np.arange(len(m)), cluster]
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(m), pa.array(cluster.astype(np.int32)), pa.array(angle)], names=["id", "v", "cluster", "angle"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(m), pa.array(cluster.astype(np.int32)), pa.array(angle), part.column(2)], names=["id", "v", "cluster", "angle", "asks"])
 
-    placed = rows.mapInArrow(assign, "id long, v array<double>, cluster int, angle double")
+    placed = rows.mapInArrow(assign, "id long, v array<double>, cluster int, angle double, asks boolean")
     placed = cut(placed.withColumn("ring", F.floor(F.col("angle") * F.lit(RINGS / np.pi)).cast("int")), "placed")
     lot = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     held = cut(placed.withColumn("lot", lot).where(F.col("lot") <= k).drop("lot"), "held")
@@ -212,11 +214,12 @@ def nearest_earlier(vectors: DataFrame, k: int, floor: float, id_col: str = "seq
     shelf_of = spark.createDataFrame([(b, s) for b, s in enumerate(blocks.shelf.tolist())], "block int, shelf int")
     numbered = lambda df: df.join(F.broadcast(table), ["cluster", "ring"]).select("id", "v", number.alias("block"))
     shelved = cut(numbered(held).join(F.broadcast(shelf_of), "block"), "shelved")
-    first = _searched(_visits(numbered(placed).withColumn("bar", F.lit(float(floor))), centres, shared, floor, True), shelved, k, floor)
+    asked = placed.where("asks")
+    first = _searched(_visits(numbered(asked).withColumn("bar", F.lit(float(floor))), centres, shared, floor, True), shelved, k, floor)
     found = [first]
     if len(blocks.cluster) > 1:
         bars = first.where("met = 0").groupBy("r").agg(F.min("cos").alias("bar"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("r").alias("id"), "bar")
-        barred = numbered(placed).join(bars, "id", "left").withColumn("bar", F.coalesce("bar", F.lit(float(floor))))
+        barred = numbered(asked).join(bars, "id", "left").withColumn("bar", F.coalesce("bar", F.lit(float(floor))))
         found.append(_searched(_visits(barred, centres, shared, floor, False), shelved, k, floor))
     forget(held, placed, shelved)
     both = found[0] if len(found) == 1 else found[0].unionByName(found[1])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mediaqc.config import Prices, Thresholds
 from mediaqc.functions import models, pixels, replies, scalars
-from mediaqc.operators import duplicates, reports, rules
+from mediaqc.operators import duplicates, lookalikes, reports, rules
 from mediaqc.plans import cascade
 from mediaqc.plans.lineage import cut
 from mediaqc.schemas import completed
@@ -76,9 +76,41 @@ def costs(prices: Prices) -> dict[str, Column]:
     return out
 
 
-def verified(rows: DataFrame, services: Services, stored: DataFrame | None, hashes: DataFrame | None, as_of: Column, days: int = 10, t: Thresholds = Thresholds(), prices: Prices = Prices()) -> tuple[DataFrame, DataFrame]:
-    """(verdicts, new registry rows) of ``rows`` (row_index, url, others) against the stored results and the registry of the window."""
-    seen = cut(measured(rows, services), "measured")
+#: Columns of input rows that only the third layer reads: vectors of the image and the face, key points.
+SEEN = ("emb", "face", "points")
+
+
+def looked(seen: DataFrame, rows: DataFrame, records: DataFrame, vectors: DataFrame | None, hashes: DataFrame | None, recent: DataFrame | None, t: Thresholds) -> DataFrame:
+    """Records, as of ``duplicates.screened``, of the rows that the first layer left open and that look like an earlier one.
+
+    ``vectors`` are the stored ones (image_id, seq, emb, and face and points if there are any); ``recent`` (image_id) are the
+    stored images that count, None for all.
+    """
+    has = [c for c in SEEN if c in rows.columns]
+    parts = lookalikes.PARTS
+    open_ = seen.where("load_ok").select("image_id", "row_index", *parts).join(records.select("image_id"), "image_id", "left_anti")
+    all_ = open_.join(rows.select("row_index", *has), "row_index").select((F.lit(1 << 40) + F.col("row_index")).alias("seq"), "image_id", F.lit(False).alias("old"), *has, *parts)
+    if vectors is not None:
+        old = vectors.select("seq", "image_id", F.lit(True).alias("old"), *[c for c in SEEN if c in vectors.columns])
+        known = None if hashes is None else hashes.select("image_id", *parts).dropDuplicates(["image_id"])
+        all_ = all_.unionByName(old if known is None else old.join(known, "image_id", "left"), allowMissingColumns=True)
+    all_ = cut(all_, "vectors")
+    allowed = None
+    if recent is not None:
+        allowed = all_.where("NOT old").select("seq").union(all_.where("old").join(recent, "image_id", "left_semi").select("seq")).withColumnRenamed("seq", "l")
+    found = duplicates.record(None, None, lookalikes.found(all_, t, allowed))
+    names = all_.select(F.col("seq").alias("match_id"), F.col("image_id").alias("matched"))
+    named = found.join(names, "match_id").join(all_.select(F.col("seq").alias("r"), "image_id"), "r")
+    return named.select("image_id", F.col("r").alias("seq"), F.col("matched").alias("match_id"), "status", "similarity", "layer", "reason")
+
+
+def verified(rows: DataFrame, services: Services, stored: DataFrame | None, hashes: DataFrame | None, as_of: Column, days: int = 10, t: Thresholds = Thresholds(), prices: Prices = Prices(), vectors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(verdicts, new registry rows) of ``rows`` (row_index, url, others) against the stored results and the registry of the window.
+
+    Rows with a column emb are also compared with earlier ones by their vectors, key points and faces (``looked``), with
+    ``vectors`` as the stored ones. Numbers (seq) of stored rows are unique and below 2^40, those of the batch follow them.
+    """
+    seen = cut(measured(rows.drop(*SEEN), services), "measured")
     parts = [f"{n}_{s}" for n in duplicates.HASHES for s in ("hi", "lo")]
     new = seen.where("load_ok").select((F.lit(1 << 40) + F.col("row_index")).alias("seq"), "image_id", "md5", F.lit(False).alias("old"), *parts)
     if hashes is not None:
@@ -86,6 +118,9 @@ def verified(rows: DataFrame, services: Services, stored: DataFrame | None, hash
         new = new.unionByName(window.select("seq", "image_id", "md5", F.lit(True).alias("old"), *parts))
     records, registering = duplicates.screened(new, t)
     records = cut(records, "records")
+    if "emb" in rows.columns:
+        recent = registry.window_ids(stored, as_of, days) if stored is not None else None
+        records = cut(records.unionByName(looked(seen, rows, records, vectors, hashes, recent, t)), "records")
     status = seen.sparkSession.createDataFrame([], "image_id string, validation_status string") if stored is None else stored
     known = duplicates.explained(registry.status_of(records, status.select("image_id", "validation_status")))
     again = known.select(
@@ -106,6 +141,18 @@ def verified(rows: DataFrame, services: Services, stored: DataFrame | None, hash
     return cut(out, "verdicts"), registering
 
 
+def vectors_kept(vectors: DataFrame, verdicts: DataFrame, rows: DataFrame) -> DataFrame:
+    """``vectors`` (image_id, emb, seq) and those of the batch, but of duplicates of the first layer and of images that failed."""
+    kept = verdicts.where("validation_status <> 'Error' AND NOT (validation_status = 'Duplicate' AND exit_layer = 1)")
+    new = kept.select("row_index", F.col("pv_image_id").alias("image_id")).join(rows.select("row_index", "emb"), "row_index")
+    return registry.add_vectors(vectors, new.select("image_id", "emb", (F.lit(1 << 40) + F.col("row_index")).alias("seq")))
+
+
+def members_kept(clusters: DataFrame, verdicts: DataFrame, at: Column) -> DataFrame:
+    """``clusters`` and the batch's duplicates as members of the cluster of what they match."""
+    return registry.add_members(clusters, verdicts.where("validation_status = 'Duplicate'").select("cluster_id", F.col("pv_image_id").alias("image_id")), at)
+
+
 def exported(verdicts: DataFrame, rows: DataFrame) -> DataFrame:
     """Input rows with their verdicts, in the export's columns."""
     return reports.export(verdicts, rows)
