@@ -6,6 +6,8 @@ queries pass their own, the same on both sides.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from mediaqc.config import Thresholds
@@ -43,6 +45,22 @@ def hash_vote_pairs(spark, d):
     return dup.vote_pairs(hashes(spark, d), T)
 
 
+def order_hashes(spark, d):
+    """Hashes at distances near the production thresholds: orders of a customer share theirs but for a few bits."""
+    word = lambda text, k: F.conv(F.substring(F.md5(text.cast("binary")), 8 * k + 1, 8), 16, 10).cast("long")
+
+    def half(name: str, side: str):
+        flips = [word(F.concat(F.lit(f"{name}{side}"), F.col("o_orderkey").cast("string")), k) for k in range(4)]
+        return word(F.concat(F.lit(f"{name}{side}c"), F.col("o_custkey").cast("string")), 0).bitwiseXOR(reduce(lambda a, b: a.bitwiseAND(b), flips)).alias(f"{name}_{side}")
+
+    return _read(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), *[half(n, s) for n in HASHES for s in ("hi", "lo")])
+
+
+def hash_vote_bands(spark, d):
+    """At the production thresholds pairs are found by bands."""
+    return dup.vote_pairs(order_hashes(spark, d))
+
+
 def hash_best_match(spark, d):
     return dup.best_match(dup.vote_pairs(hashes(spark, d), T), T).select("r", "match_id", "votes", "similarity")
 
@@ -124,7 +142,7 @@ def cluster_report(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (exact_dup_md5, dup_status_kpi, sign_hash, hash_vote_pairs, hash_best_match, registered_rows, hash_duplicates, cosine_topk, cosine_decision, first_candidates, dup_decision, cluster_roots, cluster_report)
+    for f in (exact_dup_md5, dup_status_kpi, sign_hash, hash_vote_pairs, hash_vote_bands, hash_best_match, registered_rows, hash_duplicates, cosine_topk, cosine_decision, first_candidates, dup_decision, cluster_roots, cluster_report)
 }
 
 
@@ -143,6 +161,10 @@ d AS MATERIALIZED (SELECT a.vec_id AS l, b.vec_id AS r, {_D} FROM h a JOIN h b O
 p AS MATERIALIZED (SELECT *, (ph_d <= 20)::INT + (dh_d <= 18)::INT + (wh_d <= 20)::INT AS votes FROM d WHERE (ph_d <= 20)::INT + (dh_d <= 18)::INT + (wh_d <= 20)::INT >= 2),
 q AS MATERIALIZED (SELECT *, (greatest(0::DOUBLE, 1::DOUBLE - ph_d / 20::DOUBLE) + greatest(0::DOUBLE, 1::DOUBLE - dh_d / 18::DOUBLE) + greatest(0::DOUBLE, 1::DOUBLE - wh_d / 20::DOUBLE)) / 3::DOUBLE AS conf FROM p)
 """
+_WORD = "CAST('0x' || substr(md5({0}), {1}, 8) AS BIGINT)"
+_ORDER_HASHES = ", ".join(
+    f"xor({_WORD.format(f"'{n}{side}c' || o_custkey", 1)}, {' & '.join(_WORD.format(f"'{n}{side}' || o_orderkey", 8 * k + 1) for k in range(4))}) AS {n}_{side}" for n in HASHES for side in ("hi", "lo")
+)
 _BEST = """best AS MATERIALIZED (SELECT r, l AS match_id, votes, round(70::DOUBLE + conf * 30::DOUBLE, 2) AS similarity FROM {0} QUALIFY row_number() OVER (PARTITION BY r ORDER BY votes DESC, conf DESC, l) = 1)"""
 _REG = """
 nb AS MATERIALIZED (SELECT vec_id, rn, coalesce(list(l) FILTER (WHERE l IS NOT NULL), CAST([] AS BIGINT[])) AS ns FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rn FROM h) o LEFT JOIN p ON p.r = o.vec_id GROUP BY vec_id, rn),
@@ -168,6 +190,9 @@ ORACLE = {
     "dup_status_kpi": "WITH s AS (SELECT CASE WHEN row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) > 1 THEN 'Duplicate' ELSE 'Valid' END AS status FROM documents) SELECT status, count(*) AS n, round(count(*) * 100::DOUBLE / (SELECT count(*) FROM s), 1) AS pct FROM s GROUP BY status",
     "sign_hash": f"WITH {_H} SELECT * FROM h",
     "hash_vote_pairs": f"WITH {_P} SELECT l, r, ph_d, dh_d, wh_d, votes FROM p",
+    "hash_vote_bands": f"""WITH h AS MATERIALIZED (SELECT o_orderkey AS vec_id, {_ORDER_HASHES} FROM orders),
+      d AS (SELECT a.vec_id AS l, b.vec_id AS r, {_D} FROM h a JOIN h b ON a.vec_id < b.vec_id)
+      SELECT l, r, ph_d, dh_d, wh_d, (ph_d <= 6)::INT + (dh_d <= 8)::INT + (wh_d <= 5)::INT AS votes FROM d WHERE (ph_d <= 6)::INT + (dh_d <= 8)::INT + (wh_d <= 5)::INT >= 2""",
     "hash_best_match": f"WITH {_P}, {_BEST.format('q')} SELECT * FROM best",
     "registered_rows": f"WITH RECURSIVE {_P}, {_REG} SELECT vec_id FROM done",
     "hash_duplicates": f"WITH RECURSIVE {_P}, {_REG}, {_BEST.format('(SELECT q.* FROM q JOIN done ON done.vec_id = q.l)')} SELECT r AS vec_id, match_id, votes, similarity FROM best",
