@@ -156,6 +156,39 @@ def test_ann_recall_on_the_embeddings(spark):
     assert set(got) == set(ids[ids % 20 == 0].tolist()) and hits / (20 * len(got)) >= 0.9
 
 
+def test_ann_recall_in_tight_groups(spark):
+    """Rows far from the origin that differ by less than a step of 8 bits over whole components: the nearest are not found by chance."""
+    rng = np.random.default_rng(6)
+    n = 2000
+    x = rng.normal(size=(8, 24))[rng.integers(0, 8, n)] + 0.003 * rng.normal(size=(n, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, lambda i: i % 40 == 0, 20).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    hits = 0
+    for q in range(0, n, 40):
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20].tolist()) & got[q])
+    assert hits / (20 * 50) >= 0.9
+
+
+def test_ann_widens_until_enough_is_found(spark, monkeypatch):
+    """With beams that are too narrow for the rows the search goes on until a sample of the queries has its nearest."""
+    monkeypatch.setattr(ann, "BEAM", 10)
+    monkeypatch.setattr(ann, "GOOD", 1.0)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(600, 48))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, lambda i: i % 30 == 0, 5).collect():
+        got.setdefault(r.query_id, set()).add(r.id)
+    for q in range(0, 600, 30):
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -np.inf
+        assert got[q] == set(np.argsort(-s)[:5].tolist())
+
+
 def test_lm(messy, spark):
     named = messy.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     data = [(r.doc_id, r.text) for r in named.select("doc_id", "text").collect()]
