@@ -3,8 +3,8 @@
 Tier one: a minimal perfect hash over the vocabulary's tokens resolves pre-tokens that are themselves tokens. Tier two:
 any other pre-token is a chain of linked bytes whose adjacent pairs wait in a heap by rank; the lowest rank merges until
 no pair is in the vocabulary. The hash (about 0.5 MB for 50,000 tokens, bounded by the vocabulary) and the rank table are
-broadcast; texts are encoded where they lie, without a shuffle. A task remembers the answers for at most ``REMEMBERED``
-pre-tokens of up to 64 characters, some tens of MB, and forgets them when it ends. The chain of a pre-token takes about
+broadcast; texts are encoded where they lie, without a shuffle. A task remembers the answers for two generations of at most
+``REMEMBERED`` pre-tokens of up to 64 characters, 4 bytes an id, some tens of MB, and forgets them when it ends. The chain of a pre-token takes about
 120 bytes a byte while it is merged.
 
 Defined results: a null text counts as empty; an empty text has no ids; text of any length is encoded whole; special
@@ -16,9 +16,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,25 @@ def _slot(h: int, d: int, n: int) -> int:
     return (x ^ (x >> 29)) % n
 
 
+class Generations(Remembered):
+    """As ``Remembered``, but what is full becomes the old generation instead of being lost; what is asked for again comes back from it."""
+
+    def __init__(self, make, most: int):
+        super().__init__(make, most)
+        self.old: dict = {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class PerfectHash:
     """Hash and displace: n keys to n slots. A bucket of one key holds its slot itself, as -slot - 1."""
 
@@ -79,14 +98,15 @@ class PerfectHash:
                 s = next(free)
                 self.displaced[b] = -s - 1
                 self.ids[s] = keys[0][1]
+        self.displaced, self.ids = array("i", self.displaced.tobytes()), array("i", self.ids.tobytes())  # plain numbers are read faster
 
     def find(self, key: bytes, tokens: list[bytes]) -> int:
         """The id of ``key``, or -1: any key has a slot, so the token found there must be the key itself."""
         if not self.n:
             return -1
         h = xxhash.xxh3_64_intdigest(key)
-        d = int(self.displaced[h % self.m])
-        i = int(self.ids[-d - 1 if d < 0 else _slot(h, d, self.n)])
+        d = self.displaced[h % self.m]
+        i = self.ids[-d - 1 if d < 0 else _slot(h, d, self.n)]
         return i if tokens[i] == key else -1
 
 
@@ -99,13 +119,16 @@ def merge(piece: bytes, rank_of: dict[bytes, int]) -> list[int]:
     heap = [r * n + i for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
     heapify(heap)
     while heap:
-        rank, i = divmod(heappop(heap), n)
-        j = after[i]
+        entry = heappop(heap)
+        i = entry % n
         left = parts[i]
-        if not left or j >= n:
+        if not left:
             continue  # merged meanwhile
+        j = after[i]
+        if j >= n:
+            continue
         both = left + parts[j]
-        if get(both) != rank:
+        if get(both) != entry // n:
             continue
         parts[i], parts[j] = both, b""
         k = after[i] = after[j]
@@ -126,15 +149,20 @@ class Codec:
         self.tokens, self.table = tokens, table
         self.rank_of = {t: i for i, t in enumerate(tokens)}
         self.split = regex.compile(pattern).findall
-        self.ids_of = Remembered(self.word, REMEMBERED)
+        self.decimals = list(map(str, range(len(tokens))))
+        self.ids_of = Generations(self.word, REMEMBERED)
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def word(self, word: str) -> bytes:
+        """The ids of a pre-token, 4 bytes each."""
         piece = word.encode()
         i = self.table.find(piece, self.tokens)
-        return (i,) if i >= 0 else tuple(merge(piece, self.rank_of))
+        return array("i", (i,) if i >= 0 else merge(piece, self.rank_of)).tobytes()
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.ids_of.__getitem__, self.split(text))))
+        return array("i", b"".join(map(self.ids_of.__getitem__, self.split(text)))).tolist()
+
+    def spelled(self, ids) -> str:
+        return ",".join(map(self.decimals.__getitem__, ids))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -156,7 +184,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     def figures(codec: Codec, text: str):
         ids = codec.encode(text)
-        return *((ids,) if with_ids else ()), len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
+        return *((ids,) if with_ids else ()), len(ids), hashlib.sha256(codec.spelled(ids).encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
 
     return _map(docs, path, pattern, id_col, text_col, "ids array<int>, " * with_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string", figures)
 

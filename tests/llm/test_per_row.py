@@ -91,6 +91,25 @@ def test_bpe_equals_tiktoken_and_round_trips(codec, messy, rows):
     assert bpe.encode(messy.limit(0), path, pattern).collect() == []
 
 
+def test_bpe_keeps_what_is_asked_for_again(codec, monkeypatch):
+    """Words that come again and again are merged once, however many others come between."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 100)
+    v, _, enc = codec
+    made = Counter()
+
+    class Counting(bpe.Codec):
+        def word(self, word):
+            made[word] += 1
+            return super().word(word)
+
+    c = Counting(v.tokens, v.table, bpe.vocabulary()[1])
+    common = [f" qzx{chr(97 + k // 26)}{chr(97 + k % 26)}vw" for k in range(40)]
+    for k in range(30):
+        text = "".join(common + [f" wq{chr(97 + k)}{chr(97 + j)}kj" for j in range(26)])
+        assert c.encode(text) == enc.encode_ordinary(text)
+    assert [made[w] for w in common] == [1] * 40 and len(c.ids_of) + len(c.ids_of.old) <= 200
+
+
 def test_quality_held_out(spark):
     d = "/root/testdata/sf0.1"
     docs = spark.read.parquet(f"{d}/documents.parquet")
