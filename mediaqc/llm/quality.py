@@ -130,7 +130,6 @@ def fit(
     model = Model(thresholds=np.zeros(n_grades - 1))
     if not vectors:
         return model
-    vectors = [_merged(v) for v in vectors]
     n = len(vectors)
     known = _known(vectors, grades, n_grades)
     used = np.flatnonzero(known)
@@ -139,11 +138,10 @@ def fit(
     number[used] = np.arange(d)
     blocks = []  # so that a step's temporary arrays are small
     for start in range(0, n, FIT_BLOCK):
-        part = vectors[start : start + FIT_BLOCK]
+        part = [_merged(v) for v in vectors[start : start + FIT_BLOCK]]
         row = np.repeat(np.arange(len(part), dtype=np.int32), [len(v[0]) for v in part])
         at, x = number[np.concatenate([v[0] for v in part])], np.concatenate([v[1] for v in part])
         blocks.append((slice(start, start + len(part)), row[at >= 0], at[at >= 0], x[at >= 0]))
-    del vectors
     here = np.bincount(grades, minlength=n_grades)
     part = np.full(n, 1 / n)  # of the loss, by row
     if shares is not None:
@@ -208,11 +206,14 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, most: int = MO
             found = [_merged(vector(t, places_of)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([v[0].tobytes() for v in found], pa.binary()), pa.array([v[1].tobytes() for v in found], pa.binary()), batch.column(0).cast(pa.string())], names=["grade", "places", "parts", "id"])
 
-    rows = chosen.mapInArrow(run, "grade int, places binary, parts binary, id string").collect()
-    rows = sorted({(r.id, r.grade, bytes(r.places), bytes(r.parts)) for r in rows})
-    vectors = [(np.frombuffer(p, np.int32), np.frombuffer(v, np.float32)) for _, _, p, v in rows]
-    graded = np.array([g for _, g, _, _ in rows], np.int64)
-    del rows
+    # as Arrow buffers, passed through the driver's JVM as they arrive; the vectors are views of them
+    table = chosen.mapInArrow(run, "grade int, places binary, parts binary, id string").toArrow()
+    ids, graded = table.column("id").to_pylist(), table.column("grade").to_numpy().astype(np.int64)
+    order = sorted(range(len(ids)), key=ids.__getitem__)  # an id is one row
+    places, parts = table.column("places"), table.column("parts")
+    vectors = [(np.frombuffer(places[k].as_buffer(), np.int32), np.frombuffer(parts[k].as_buffer(), np.float32)) for k in order]
+    graded = graded[order]
+    del table, ids
     return fit(vectors, graded, n_grades, shares=shares)
 
 

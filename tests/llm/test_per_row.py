@@ -1,6 +1,7 @@
 """Operators that judge each row alone: personal data, byte-level BPE, quality."""
 
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -183,3 +184,18 @@ def test_gradient_is_that_of_the_loss():
     m = quality.fit(v, g, 3, rounds=800, rate=0.05, decay=0.0)
     tails = m.tails(m.weights[[0, 1]].astype(float))
     assert abs(tails[0, 0] - 10 / 30) < 0.06 and abs(tails[1, 1] - 20 / 30) < 0.06
+
+
+def test_quality_driver_holds_the_sample_once(spark, monkeypatch):
+    """Python holds what comes to the driver once, and the blocks of the fit, but no further copies."""
+    n, given, fit = 8000, [], quality.fit
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(250)), lambda k: F.concat(F.lit("word"), F.pmod(F.xxhash64("id", k), F.lit(3000))))).alias("text"))
+    ratings = spark.range(n).select(F.col("id").alias("doc_id"), F.pmod("id", F.lit(3)).cast("int").alias("grade"))
+    monkeypatch.setattr(quality, "fit", lambda vectors, *a, **b: given.append(sum(x.nbytes + y.nbytes for x, y in vectors)) or fit(vectors, *a, rounds=3, **b))
+    tracemalloc.start()
+    try:
+        quality.train(docs, ratings)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 3.6 * given[0], (peak, given)  # blocks of 12 bytes a feature beside the 8 that came, and fixed arrays
