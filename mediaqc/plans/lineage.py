@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: With it Spark deletes the shuffle files of a query when it ends, and not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Where it is unset, a temporary one, but only if all runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,13 +26,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, lost executors cost nothing.
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, lost executors cost nothing,
+    and the shuffle files of the write are gone when it ends.
 
     The files lie in a folder for each value of the columns ``by``, so that a filter on them reads no others.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.partitionBy(*by).parquet(path) if by else df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out

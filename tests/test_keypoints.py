@@ -58,3 +58,31 @@ def test_matches_equal_all_with_all(spark):
         if near and near[0][0] < keypoints.RATIO * (near[1][0] if len(near) > 1 else keypoints.REACH + 1):
             want.add((i, near[0][1]))
     assert got == want and want
+
+
+def test_chunks_and_passes_equal_all_with_all(spark, monkeypatch):
+    """Images of several chunks, several passes and matrices: the same matches and figures; a point travels once a pair, not once a band."""
+    rnd = random.Random(3)
+    a = image(rnd, 45)
+    images = {1: a, 2: shown(rnd, a, 40, 1.2, 9, -30, 12) + shown(rnd, a[:20], 40, 1.2, 9, -30, 14), 3: image(rnd, 7), 4: shown(rnd, a[:9], 10, 1, 0, 0, 3)}
+    images[3][0][4] = None
+    points, asked = table(spark, images), pairs(spark, [(1, 2), (1, 3), (1, 4), (4, 2), (2, 1), (1, 1)])
+
+    def run():
+        found = keypoints.matches(asked, points).select("l", "r", "a", "b").collect()
+        return sorted((r.l, r.r, r.a.kp, r.b.kp, r.a.x, r.b.y) for r in found), sorted(map(tuple, keypoints.compared(asked, points).collect()))
+
+    whole = run()
+    sent, deal = [], keypoints._dealt
+
+    def counted(*args):
+        sent.append(deal(*args).count())
+        return deal(*args)
+
+    monkeypatch.setattr(keypoints, "_dealt", counted)
+    assert run() == whole and len(whole[0]) > 100
+    want = sum(len(images[i]) for p in asked.collect() for i in p)
+    assert sent == [want] * 2
+    for name, n in (("CHUNK", 16), ("PASS", 200), ("MATRIX", 64)):
+        monkeypatch.setattr(keypoints, name, n)
+    assert run() == whole and len(sent) > 4
