@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaqc.config import EXACT, SUPPORTED, VOTED, Thresholds
-from mediaqc.functions.hashing import HASHES, hamming, whole
+from mediaqc.functions.hashing import HASHES
+from mediaqc.operators import votes as hash_votes
 from mediaqc.operators.graphs import registered
 from mediaqc.operators.vectors import nearest_earlier
 from mediaqc.plans.lineage import cut, forget
@@ -39,50 +40,38 @@ def confidence(t: Thresholds) -> Column:
     return sum((F.greatest(F.lit(0.0), 1.0 - F.col(f"{n}_d") / F.lit(max(limit, 1))) for n, limit in limits.items()), F.lit(0.0)) / 3.0
 
 
-def _cuts(limit: int) -> list[tuple[int, int]]:
-    """The bits of a hash in limit + 1 bands: at a distance of ``limit`` one of them is equal."""
-    ends = [64 * k // (limit + 1) for k in range(limit + 2)]
-    return list(zip(ends, ends[1:], strict=False))
-
-
-def _band_pairs(t: Thresholds) -> tuple[list[Column], float]:
-    """A key for each pair of bands of two hashes, and the share of all pairs of random rows that keys bring together."""
-    limits = dict(zip(HASHES, (t.phash, t.dhash, t.whash), strict=True))
-    values = {
-        n: [(F.shiftrightunsigned(whole(n), low).bitwiseAND(F.lit((1 << (high - low)) - 1)) if high - low < 64 else whole(n), high - low) for low, high in _cuts(limit)]
-        for n, limit in limits.items()
-    }
-    keys, met = [], 0.0
-    for one, other in (("ph", "dh"), ("ph", "wh"), ("dh", "wh")):
-        for i, (a, bits_a) in enumerate(values[one]):
-            for j, (b, bits_b) in enumerate(values[other]):
-                keys.append(F.xxhash64(F.lit(f"{one}{i}{other}{j}"), a, b))
-                met += 2.0 ** -(bits_a + bits_b)
-    return keys, met
-
-
-def _grid(h: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """Both sides of a join of all rows with all, in as many cells as there are tasks: a row is sent by the root of their number."""
-    g = max(1, round(int(h.sparkSession.conf.get("spark.sql.shuffle.partitions")) ** 0.5))
-    place, every = F.pmod(F.xxhash64(id_col), F.lit(g)), F.sequence(F.lit(0), F.lit(g - 1))
-    return h.withColumn("key", F.explode(F.transform(every, lambda k: place * g + k))), h.withColumn("key", F.explode(F.transform(every, lambda k: k * g + place)))
+def _share(t: Thresholds) -> float:
+    """The share of all pairs of random rows that have a band of two hashes equal."""
+    bands = [[2.0 ** (low - high) for low, high in hash_votes.cuts(limit)] for limit in (t.phash, t.dhash, t.whash)]
+    return sum(sum(bands[a]) * sum(bands[b]) for a, b in ((0, 1), (0, 2), (1, 2)))
 
 
 def vote_pairs(h: DataFrame, t: Thresholds = Thresholds(), id_col: str = "seq") -> DataFrame:
     """(l, r, ph_d, dh_d, wh_d, votes) of all rows l < r that at least ``t.votes`` (two or three) hashes bring together. Exact.
 
-    Two hashes agree, so that a band of one and a band of the other are equal: rows meet by pairs of bands. Thresholds that
-    leave bands of a few bits bring nearly all rows together anyway; those go through a grid of all pairs.
+    Thresholds that leave bands of a few bits bring nearly all rows together by them; there all rows are compared, see ``votes``.
     """
     if t.votes < 2:
         raise ValueError("a single vote is not enough to find pairs by bands")
-    h = h.select(id_col, *(f"{n}_{s}" for n in HASHES for s in ("hi", "lo")))
-    keys, met = _band_pairs(t)
-    a, b = _grid(h, id_col) if met > MOST_MET else (h.withColumn("key", F.explode(F.array_distinct(F.array(*keys)))),) * 2
-    pairs = a.alias("a").join(b.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col(f"a.{id_col}") < F.col(f"b.{id_col}")))
-    out = pairs.select(F.col(f"a.{id_col}").alias("l"), F.col(f"b.{id_col}").alias("r"), *[hamming(n).alias(f"{n}_d") for n in HASHES])
-    out = out.withColumn("votes", votes(t)).where(F.col("votes") >= t.votes)
-    return out if met > MOST_MET else out.distinct()
+    rows, kind = hash_votes.rows(h, id_col), dict(h.dtypes)[id_col]
+    out = hash_votes.met(rows, rows, t) if _share(t) > MOST_MET else hash_votes.banded(rows, t)
+    return out.withColumns({c: F.col(c).cast(kind) for c in "lr"})
+
+
+def best_votes(h: DataFrame, t: Thresholds = Thresholds(), id_col: str = "seq") -> DataFrame:
+    """As best_match of vote_pairs, but only each row's best pairs leave the tasks. Of equal hashes the first row is the best match."""
+    if t.votes < 2:
+        raise ValueError("a single vote is not enough to find pairs by bands")
+    rows = hash_votes.rows(h, id_col)
+    heads = cut(rows.groupBy(*HASHES).agg(F.min("id").alias("id")).select(rows.columns), "heads")
+    return best_match(hash_votes.met(rows, heads, t, best=True), t)
+
+
+def registered_rows(h: DataFrame, t: Thresholds = Thresholds(), id_col: str = "seq") -> DataFrame:
+    """(id, and the hashes) of the rows that register by their votes; those without hashes do."""
+    done = hash_votes.registered_ids(hash_votes.rows(h, id_col), t)
+    bare = h.where(F.col(id_col).isNotNull() & reduce(lambda a, b: a | b, [F.col(f"{n}_{s}").isNull() for n in HASHES for s in ("hi", "lo")]))
+    return done.unionByName(bare.select(F.col(id_col).cast("long").alias("id"), *[F.lit(None).cast("long").alias(n) for n in HASHES]))
 
 
 def best_match(pairs: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
