@@ -62,7 +62,7 @@ def hash_vote_bands(spark, d):
 
 
 def hash_best_match(spark, d):
-    return dup.best_match(dup.vote_pairs(hashes(spark, d), T), T).select("r", "match_id", "votes", "similarity")
+    return dup.best_votes(hashes(spark, d), T).select("r", "match_id", "votes", "similarity")
 
 
 def _registered(spark, d):
