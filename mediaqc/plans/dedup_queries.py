@@ -14,6 +14,7 @@ from mediaqc.config import Thresholds
 from mediaqc.functions.hashing import HASHES, hamming, sign_hashes
 from mediaqc.operators import duplicates as dup
 from mediaqc.operators import reports
+from mediaqc.plans.lineage import cut
 
 T = Thresholds(phash=20, dhash=18, whash=20, cosine_strong=0.45, cosine=0.35, cosine_floor=0.25)
 
@@ -131,7 +132,7 @@ def cluster_roots(spark, d):
 
 
 def cluster_report(spark, d):
-    matches = hash_best_match(spark, d)
+    matches = cut(hash_best_match(spark, d), "matches")
     roots = dup.cluster_roots(matches).withColumnRenamed("r", "vec_id")
     rows = matches.withColumnRenamed("r", "vec_id").join(roots, "vec_id").select(
         F.col("root").alias("cluster_id"), F.col("vec_id").alias("duplicate_id"), F.col("match_id").alias("original_id"), F.lit("Perceptual Duplicate").alias("match_type"), "similarity", F.lit("Duplicate").alias("status")
