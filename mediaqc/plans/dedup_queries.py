@@ -73,7 +73,7 @@ def _registered(spark, d):
 
 
 def registered_rows(spark, d):
-    return _registered(spark, d)[0].where("registered").select(F.col("node").alias("vec_id"))
+    return dup.registered_rows(hashes(spark, d), T).select(F.col("id").alias("vec_id"))
 
 
 def hash_duplicates(spark, d):
