@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from mediaqc.config import Thresholds
 from mediaqc.functions.hashing import HASHES, hamming, sign_hashes
 from mediaqc.operators import duplicates as dup
-from mediaqc.operators import reports
+from mediaqc.operators import reports, votes
 from mediaqc.plans.lineage import cut
 
 T = Thresholds(phash=20, dhash=18, whash=20, cosine_strong=0.45, cosine=0.35, cosine_floor=0.25)
@@ -66,21 +66,15 @@ def hash_best_match(spark, d):
     return dup.best_votes(hashes(spark, d), T).select("r", "match_id", "votes", "similarity")
 
 
-def _registered(spark, d):
-    h = hashes(spark, d)
-    pairs = dup.vote_pairs(h, T)
-    return dup.registered(h.select(F.col("seq").alias("node")), pairs), pairs
-
-
 def registered_rows(spark, d):
     return dup.registered_rows(hashes(spark, d), T).select(F.col("id").alias("vec_id"))
 
 
 def hash_duplicates(spark, d):
     """Each row's best match among the earlier rows that registered."""
-    done, pairs = _registered(spark, d)
-    against = pairs.join(done.where("registered").select(F.col("node").alias("l")), "l", "left_semi")
-    return dup.best_match(against, T).select(F.col("r").alias("vec_id"), "match_id", "votes", "similarity")
+    h = hashes(spark, d)
+    found = votes.met(votes.rows(h), dup.registered_rows(h, T).where("ph IS NOT NULL"), T, best=True)
+    return dup.best_match(found, T).select(F.col("r").alias("vec_id"), "match_id", "votes", "similarity")
 
 
 def _topk(spark, d):
@@ -122,7 +116,7 @@ def dup_decision(spark, d):
     digest = F.when(F.col("vec_id") % 10 == 1, F.col("vec_id") - 1).otherwise(F.col("vec_id"))
     exact = dup.exact_first(e.select("vec_id"), "vec_id", digest).where("vec_id <> first_id").select(F.col("vec_id").alias("r"), F.col("first_id").alias("match_id"))
     h = hashes(spark, d)
-    voted = dup.best_match(dup.vote_pairs(h, T), T)
+    voted = dup.best_votes(h, T)
     near = judged(_topk(spark, d).where("place = 1"), h).where("method IS NOT NULL").select("r", F.col("l").alias("match_id"), F.col("cos").alias("score"), "votes", "method")
     return dup.record(exact, voted, near).withColumnRenamed("r", "vec_id")
 
