@@ -151,6 +151,12 @@ def cosine_pairs(vectors: DataFrame, k: int, floor: float, id_col: str = "seq",
     return nearest_earlier(vectors, k, floor, id_col, vec_col)
 
 
+def cosine_candidates(vectors: DataFrame, k: int, floor: float, allowed: str, n: int, id_col: str = "seq", vec_col: str = "emb") -> DataFrame:
+    """(l, r, cos, place): ``candidates`` of ``cosine_pairs``, of which only the first n allowed ones leave the tasks. ``allowed`` is a column; if it is true of no row, all are."""
+    some = not vectors.where(F.col(allowed)).isEmpty()
+    return nearest_earlier(vectors, k, floor, id_col, vec_col, allowed=allowed if some else None, first=n).drop("rank")
+
+
 def candidates(pairs: DataFrame, allowed: DataFrame | None, n: int) -> DataFrame:
     """The first n allowed of the ranked pairs. ``allowed`` has l; None or, as it is for vectors, no rows allow all."""
     if allowed is not None and not allowed.isEmpty():

@@ -77,10 +77,9 @@ def hash_duplicates(spark, d):
     return dup.best_match(found, T).select(F.col("r").alias("vec_id"), "match_id", "votes", "similarity")
 
 
-def _topk(spark, d):
-    e = _read(spark, d, "embeddings").select(F.col("vec_id").alias("seq"), F.col("embedding").alias("emb"), "label")
-    pairs = dup.cosine_pairs(e, T.top_k, T.cosine_floor)
-    return dup.candidates(pairs, e.where("label <> 3").select(F.col("seq").alias("l")), T.candidates)
+def _topk(spark, d, first=T.candidates):
+    e = _read(spark, d, "embeddings").select(F.col("vec_id").alias("seq"), F.col("embedding").alias("emb"), (F.col("label") != 3).alias("allowed"))
+    return dup.cosine_candidates(e, T.top_k, T.cosine_floor, "allowed", first)
 
 
 def cosine_topk(spark, d):
