@@ -88,7 +88,7 @@ def cosine_topk(spark, d):
 
 def cosine_decision(spark, d):
     """Judges each row's first candidate by its cosine and all of its hash votes, a single one included."""
-    return decided(_topk(spark, d).where("place = 1"), hashes(spark, d))
+    return decided(_topk(spark, d, 1), hashes(spark, d))
 
 
 def decided(first, h):
