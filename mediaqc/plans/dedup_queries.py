@@ -106,7 +106,7 @@ def judged(first, h):
 
 def first_candidates(spark, d):
     """Each row's first candidate, all of its hash votes, and the method if that makes it a duplicate (one vote is support)."""
-    return judged(_topk(spark, d).where("place = 1"), hashes(spark, d)).select(F.col("r").alias("vec_id"), F.col("l").alias("match_id"), F.round("cos", 6).alias("cos"), "votes", "method")
+    return judged(_topk(spark, d, 1), hashes(spark, d)).select(F.col("r").alias("vec_id"), F.col("l").alias("match_id"), F.round("cos", 6).alias("cos"), "votes", "method")
 
 
 def dup_decision(spark, d):
