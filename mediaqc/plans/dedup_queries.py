@@ -116,7 +116,7 @@ def dup_decision(spark, d):
     exact = dup.exact_first(e.select("vec_id"), "vec_id", digest).where("vec_id <> first_id").select(F.col("vec_id").alias("r"), F.col("first_id").alias("match_id"))
     h = hashes(spark, d)
     voted = dup.best_votes(h, T)
-    near = judged(_topk(spark, d).where("place = 1"), h).where("method IS NOT NULL").select("r", F.col("l").alias("match_id"), F.col("cos").alias("score"), "votes", "method")
+    near = judged(_topk(spark, d, 1), h).where("method IS NOT NULL").select("r", F.col("l").alias("match_id"), F.col("cos").alias("score"), "votes", "method")
     return dup.record(exact, voted, near).withColumnRenamed("r", "vec_id")
 
 
